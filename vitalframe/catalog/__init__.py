@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def registry() -> dict:
     """Name -> (callable(spark, table directory), SQL or None)."""
-    from vitalframe.catalog import detection
+    from vitalframe.catalog import detection, evaluation, signals
 
     out: dict = {}
-    for module in (detection,):
+    for module in (detection, evaluation, signals):
         out.update(module.QUERIES)
     return out

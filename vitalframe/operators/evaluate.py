@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,35 +159,36 @@ def overall_metrics(
 
 
 def classification_report(rows: DataFrame, actual: str, predicted: str, labels: Sequence) -> DataFrame:
-    """Per-label rows plus accuracy, macro and weighted averages, unrounded."""
-    scored = class_metrics(rows, actual, predicted, labels)
-    per_label = scored.select(
-        F.col("label").cast("string").alias("label"), "precision", "recall", "f1", "support"
+    """Per-label rows plus accuracy, macro and weighted averages, unrounded.
+
+    The input is read once; the summary rows come from the few label rows.
+    """
+    metrics = ("precision", "recall", "f1")
+    scored = class_metrics(rows, actual, predicted, labels).withColumn(
+        "label", F.col("label").cast("string")
     )
-    weight = F.col("support")
+    total = F.sum("support")
 
-    def weighted(c: str) -> Column:
-        return safe_ratio(F.sum(F.col(c) * weight), F.sum(weight)).alias(c)
+    def line(name: str, values: Sequence[Column]) -> Column:
+        return F.struct(
+            F.lit(name).alias("label"),
+            *[v.alias(m) for v, m in zip(values, metrics)],
+            total.alias("support"),
+        )
 
-    macro = scored.agg(
-        F.lit("macro avg").alias("label"),
-        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
-        F.sum("support").alias("support"),
-    )
-    mean = scored.agg(
-        F.lit("weighted avg").alias("label"),
-        *[weighted(c) for c in ("precision", "recall", "f1")],
-        F.sum("support").alias("support"),
-    )
-    rate = safe_ratio(F.sum("tp"), F.sum("support"))
-    accuracy = scored.agg(
-        F.lit("accuracy").alias("label"),
-        rate.alias("precision"),
-        rate.alias("recall"),
-        rate.alias("f1"),
-        F.sum("support").alias("support"),
+    rate = safe_ratio(F.sum("tp"), total)
+    weighted = [safe_ratio(F.sum(F.col(m) * F.col("support")), total) for m in metrics]
+    packed = scored.agg(
+        F.concat(
+            F.array_sort(F.collect_list(F.struct("label", *metrics, "support"))),
+            F.array(
+                line("accuracy", [rate] * 3),
+                line("macro avg", [F.avg(m) for m in metrics]),
+                line("weighted avg", weighted),
+            ),
+        ).alias("lines")
     )
-    return per_label.unionByName(accuracy).unionByName(macro).unionByName(mean)
+    return packed.select(F.inline("lines"))
 
 
 def latency_summary(trials: DataFrame) -> DataFrame:
@@ -250,20 +253,74 @@ def trial_grid(seeds: DataFrame) -> DataFrame:
 
 
 def metrics_report(trials: DataFrame) -> DataFrame:
-    """The whole benchmark report as one row (write it with ``write_report``)."""
-    clinical = trials.filter(F.col("scenario").isin(*C.CLINICAL_SCENARIOS))
-    labels = list(C.CLASSES)
-    cls = class_metrics(clinical, "expected_class", "predicted_class", labels, 4).agg(
-        F.array_sort(
-            F.collect_list(F.struct("label", "precision", "recall", "f1", "support"))
-        ).alias("per_class")
+    """The whole benchmark report as one row, from one pass over the trials.
+
+    Class metrics score the clinical scenarios; write it with ``write_report``.
+    """
+    wanted, got = F.col("expected_class"), F.col("predicted_class")
+    clinical = F.col("scenario").isin(*C.CLINICAL_SCENARIOS)
+    latency = F.col("detection_latency_s")
+    cells = {
+        (a, p): F.count_if(clinical & (wanted == a) & (got == p)).alias(f"_{a}_{p}")
+        for a in C.CLASSES
+        for p in C.CLASSES
+    }
+    counted = trials.agg(
+        F.count(F.lit(1)).alias("total_trials"),
+        F.count_if((wanted == "Normal") & (got != "Normal")).alias("false_positive_count"),
+        F.count_if((wanted != "Normal") & (got == "Normal")).alias("false_negative_count"),
+        F.count_if("safe_no_mrm_expected").alias("safe_scenario_count"),
+        F.count_if("prototype_can_verification").alias("prototype_can_valid_count"),
+        F.count(latency).alias("latency_count"),
+        half_even(F.avg(latency), 4).alias("latency_mean"),
+        F.min(latency).alias("latency_min"),
+        F.max(latency).alias("latency_max"),
+        F.array_sort(F.collect_set("mec_length_bytes")).alias("mec_length_bytes"),
+        *cells.values(),
+    )
+
+    def cell(a: str, p: str) -> Column:
+        return F.col(f"_{a}_{p}")
+
+    def total(parts: list[Column]) -> Column:
+        return reduce(add, parts)
+
+    rows = []
+    for label in C.CLASSES:
+        hits = cell(label, label)
+        recall = safe_ratio(hits, total([cell(label, p) for p in C.CLASSES]))
+        precision = safe_ratio(hits, total([cell(a, label) for a in C.CLASSES]))
+        rows.append(
+            F.struct(
+                F.lit(label).alias("label"),
+                half_even(precision, 4).alias("precision"),
+                half_even(recall, 4).alias("recall"),
+                half_even(safe_ratio(2 * precision * recall, precision + recall), 4).alias("f1"),
+                total([cell(label, p) for p in C.CLASSES]).alias("support"),
+            )
+        )
+    everything = total([F.col(f"_{a}_{p}") for a, p in cells])
+    matrix = F.create_map(
+        *[
+            x
+            for a in C.CLASSES
+            for x in (F.lit(a), F.create_map(*[y for p in C.CLASSES for y in (F.lit(p), cell(a, p))]))
+        ]
+    )
+    f1 = total([F.get("per_class", F.lit(i))["f1"] for i in range(len(C.CLASSES))])
+    return (
+        counted.withColumn("per_class", F.array(*rows))
+        .withColumns(
+            {
+                "confusion_matrix": matrix,
+                "accuracy": half_even(
+                    safe_ratio(total([cell(c, c) for c in C.CLASSES]), everything), 4
+                ),
+                "macro_f1": half_even(f1 / len(C.CLASSES), 4),
+            }
+        )
+        .drop(*[f"_{a}_{p}" for a, p in cells])
     )
-    total = overall_metrics(clinical, "expected_class", "predicted_class", labels)
-    lengths = distinct_sorted(trials, "mec_length_bytes")
-    report = trial_counts(trials)
-    for part in (cls, total.drop("total"), latency_summary(trials), lengths):
-        report = report.crossJoin(part)  # one row each
-    return report
 
 
 def scenario_peaks(timeline: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -172,3 +172,194 @@ frames_v AS (
        ELSE {_cell_sql('steering_torque_nm')} END AS steering_torque_nm,
   event_type = 'error' AND user_id % 15 = 0 AS brake_pedal_pressed
   FROM based)"""
+
+
+def pulse_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as pulse readings per user, in event order within the user.
+
+    Positions are made by ``dense_index`` with one bucket per day, so a user with
+    a large share of all events is spread over many tasks.
+    """
+    from vitalframe.operators.indexing import dense_index
+
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    rows = ev.select(
+        F.col("user_id").alias("session_id"),
+        "event_id",
+        "ts",
+        (F.lit(50.0) + F.col("value") / 2.0).alias("hr"),
+    )
+    day = F.unix_date(F.to_date("ts"))
+    return dense_index(rows, ["session_id"], ["ts", "event_id"], day, "idx")
+
+
+PULSE_SQL = """pulse AS (
+  SELECT user_id AS session_id, event_id, ts, 50.0::DOUBLE + value / 2.0::DOUBLE AS hr,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx
+  FROM events)"""
+
+
+def body_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a body-sensor log: a subject per supplier, three channels, a label."""
+    from vitalframe.operators.indexing import dense_index
+
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("subject_id"),
+        *order,
+        (F.col("l_quantity") / 10.0).alias("acc_x"),
+        (F.col("l_extendedprice") / 10000.0).alias("acc_y"),
+        (F.col("l_discount") * 10.0).alias("acc_z"),
+        (F.col("l_linenumber") - 1).alias("activity_label"),
+    )
+    slab = F.floor(F.col("l_orderkey") / F.lit(1 << 15))
+    return dense_index(rows, ["subject_id"], order, slab, "idx").select(
+        "subject_id", "idx", "acc_x", "acc_y", "acc_z", "activity_label"
+    )
+
+
+BODY_SQL = """body AS (
+  SELECT l_suppkey AS subject_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY
+      l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS idx,
+    l_quantity / 10.0::DOUBLE AS acc_x, l_extendedprice / 10000.0::DOUBLE AS acc_y,
+    l_discount * 10.0::DOUBLE AS acc_z, l_linenumber - 1 AS activity_label
+  FROM lineitem)"""
+
+
+def doubles(column: str = "embedding") -> Column:
+    return F.col(column).cast("array<double>")
+
+
+def axis_view(spark: SparkSession, sf_dir: str, axes: int) -> DataFrame:
+    """``embeddings`` as parallel axis files: vector ``axes * i + a`` is axis a of window i."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / axes).alias("row_idx"),
+        (F.col("vec_id") % axes).alias("axis"),
+        doubles().alias("v"),
+        "label",
+    )
+
+
+VECTORS_PER_RECORD = 50
+SAMPLES_PER_RECORD = VECTORS_PER_RECORD * 64
+BEATS_PER_RECORD = 100
+# The beat symbol of event number modulo 10.
+SYMBOL_CYCLE = ("N", "N", "N", "L", "N", "V", "A", "+", "N", "E")
+
+
+def ecg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` laid end to end as one-lead ECG records of 3200 samples."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / VECTORS_PER_RECORD).alias("record"),
+        (F.col("vec_id") % VECTORS_PER_RECORD).alias("_v"),
+        F.posexplode(doubles()).alias("_p", "lead1"),
+    ).select("record", (F.col("_v") * 64 + F.col("_p")).alias("idx"), "lead1")
+
+
+def beats_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as beat annotations, 100 per record, about 32 samples apart."""
+    number = F.col("event_id") % BEATS_PER_RECORD
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / BEATS_PER_RECORD).alias("record"),
+        (number * 32 + F.col("user_id") % 32).alias("sample"),
+        F.element_at(F.lit(list(SYMBOL_CYCLE)), (F.col("event_id") % 10 + 1).cast("int")).alias("symbol"),
+    )
+
+
+ECG_SQL = f"""ecg AS (
+  SELECT vec_id // {VECTORS_PER_RECORD} AS record, vec_id % {VECTORS_PER_RECORD} * 64 + i - 1 AS idx,
+         embedding[i]::DOUBLE AS lead1
+  FROM embeddings, range(1, 65) r(i)),
+beats AS (
+  SELECT event_id // {BEATS_PER_RECORD} AS record,
+         event_id % {BEATS_PER_RECORD} * 32 + user_id % 32 AS sample,
+         {list(SYMBOL_CYCLE)!r}[event_id % 10 + 1] AS symbol
+  FROM events)"""
+
+
+def bus_view(spark: SparkSession, sf_dir: str, key: bytes) -> DataFrame:
+    """``events`` as command frames: a sender per user, some tampered, replayed or foreign.
+
+    One frame in 13 has a flipped byte, one in 17 another key's tag, one in 19 a
+    foreign id, one in 23 a wrong length field; counters fall back at times.
+    """
+    from vitalframe.functions.codec import command_payload_hex, command_tag_hex
+
+    e = F.col("event_id")
+    payload = command_payload_hex(F.col("freshness_counter"), e % 5, -(e % 65) / F.lit(10.0), (e % 2) == 0)
+    tampered = F.concat(
+        F.substring("_p", 1, 4),
+        F.when(e % 13 == 0, F.lpad(F.hex((e * 7 + 1) % 256), 2, "0")).otherwise(F.substring("_p", 5, 2)),
+        F.substring("_p", 7, 4),
+    )
+    tag = F.when(e % 17 == 0, command_tag_hex(key + b"-other", F.unhex("_p"))).otherwise(
+        command_tag_hex(key, F.unhex("_p"))
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .select("event_id", F.col("ts").alias("rx_time"), F.col("user_id").alias("sender"))
+        .withColumn("freshness_counter", F.lit(C.COUNTER_START) + F.floor(e / 100) - (e % 7) * 3)
+        .withColumn("_p", payload)
+        .withColumns(
+            {
+                "arb_id": F.when(e % 19 == 0, C.STATUS_ARB_ID).otherwise(C.COMMAND_ARB_ID),
+                "dlc": F.when(e % 23 == 0, 7).otherwise(8),
+                "payload": F.unhex(F.concat(tampered, tag)),
+            }
+        )
+        .drop("_p")
+    )
+
+
+def hmac_sql(key: bytes, message: str) -> str:
+    block = key.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+def be_sql(value: str, size: int) -> str:
+    return f"lpad(hex(({value})::BIGINT & {(1 << (8 * size)) - 1}), {2 * size}, '0')"
+
+
+def bus_sql(key: bytes) -> str:
+    """CTE bus with the same frames; ``payload_hex`` is upper-case hex."""
+    tag = lambda k: f"upper(substr({hmac_sql(k, 'unhex(p)')}, 1, 6))"
+    return f"""bus0 AS (
+  SELECT event_id, ts AS rx_time, user_id AS sender,
+         {C.COUNTER_START} + event_id // 100 - (event_id % 7) * 3 AS freshness_counter FROM events),
+bus1 AS (
+  SELECT *, {be_sql('freshness_counter', 1)} || {be_sql('event_id % 5', 1)} ||
+    {be_sql('-(event_id % 65)', 2)} || {be_sql('CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END', 1)} AS p
+  FROM bus0),
+bus AS (
+  SELECT event_id, rx_time, sender, freshness_counter,
+    CASE WHEN event_id % 19 = 0 THEN {C.STATUS_ARB_ID} ELSE {C.COMMAND_ARB_ID} END AS arb_id,
+    CASE WHEN event_id % 23 = 0 THEN 7 ELSE 8 END AS dlc,
+    substr(p, 1, 4) || CASE WHEN event_id % 13 = 0 THEN {be_sql('(event_id * 7 + 1) % 256', 1)}
+      ELSE substr(p, 5, 2) END || substr(p, 7, 4) ||
+    CASE WHEN event_id % 17 = 0 THEN {tag(key + b"-other")} ELSE {tag(key)} END AS payload_hex
+  FROM bus1)"""
+
+
+def raw_bus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as 8-byte frames of the three dictionary messages, bits spread by a product."""
+    e = F.col("event_id")
+    x = ((e % 1000003) * 2654435761 + (F.col("user_id") % 65536) * 40503) * 3 + e
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        (F.lit(288) + e % 3).cast("int").alias("arb_id"),
+        F.unhex(
+            F.concat(
+                *[
+                    F.lpad(F.hex(F.shiftright(x, 8 * b).bitwiseAND(F.lit(255))), 2, "0")
+                    for b in range(8)
+                ]
+            )
+        ).alias("payload"),
+    )
+
+
+RAW_BUS_SQL = """raw AS (
+  SELECT event_id, 288 + event_id % 3 AS arb_id,
+         (event_id % 1000003 * 2654435761 + user_id % 65536 * 40503) * 3 + event_id AS x
+  FROM events)"""
