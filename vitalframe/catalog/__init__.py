@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def registry() -> dict:
     """Name -> (callable(spark, table directory), SQL or None)."""
-    from vitalframe.catalog import detection, evaluation, signals
+    from vitalframe.catalog import detection, evaluation, messages, signals
 
     out: dict = {}
-    for module in (detection, evaluation, signals):
+    for module in (detection, evaluation, signals, messages):
         out.update(module.QUERIES)
     return out
