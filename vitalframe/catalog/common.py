@@ -42,9 +42,9 @@ def round_sql(columns: list[str], places: int = 6) -> str:
 W = "PARTITION BY driver_id, session_id ORDER BY seq"
 
 
-def features_sql() -> str:
-    """CTEs frames_v and feat."""
-    return f"""{frames_sql()},
+def features_sql(source: str | None = None) -> str:
+    """CTEs frames_v and feat; ``source`` may define another ``frames_v``."""
+    return f"""{source or frames_sql()},
 rolled AS (
   SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - avg(fsr_pressure) OVER
       ({W} ROWS BETWEEN {C.FSR_ROWS - 1} PRECEDING AND CURRENT ROW))) AS psi,
@@ -76,12 +76,12 @@ def _score_sql(cls: str) -> str:
     )
 
 
-def decisions_sql() -> str:
+def decisions_sql(source: str | None = None) -> str:
     """CTEs up to dec; runs are found as islands over the whole session."""
     lls = ", ".join(f"{_score_sql(c)} AS ll_{c.lower()}" for c in C.CLASSES)
     ps = ", ".join(f"exp(ll_{c.lower()} - lse) AS p_{c.lower()}" for c in C.CLASSES)
     bits = " + ".join(f"p_{c.lower()} * log2(p_{c.lower()} + 1e-12)" for c in C.CLASSES)
-    return f"""{features_sql()},
+    return f"""{features_sql(source)},
 modes AS (
   SELECT *, CASE WHEN degraded_2 THEN '{C.MODE_DEGRADED_2}' WHEN degraded_1 THEN '{C.MODE_DEGRADED_1}'
             ELSE '{C.MODE_NOMINAL}' END AS operational_mode,

@@ -63,24 +63,21 @@ def command_tag_hex(key: bytes, payload: Column) -> Column:
     return F.upper(F.substring(hmac_hex(key, payload, 256), 1, 2 * COMMAND_TAG_BYTES))
 
 
+def command_bytes(key: bytes, counter: Column, state: Column, decel: Column, hazards: Column) -> Column:
+    """Eight-byte command frame: payload and truncated tag."""
+    payload = command_payload_hex(counter, state, decel, hazards)
+    return F.unhex(F.concat(payload, command_tag_hex(key, F.unhex(payload))))
+
+
 def pack_commands(rows: DataFrame, key: bytes) -> DataFrame:
     """Add the 8-byte command frame for ``freshness_counter``, ``state_code``,
     ``target_decel`` and ``hazards_on``."""
-    payload = command_payload_hex(
-        F.col("freshness_counter"), F.col("state_code"), F.col("target_decel"), F.col("hazards_on")
-    )
-    return (
-        rows.withColumn("_payload", payload)
-        .withColumn("mac_signature_hex", command_tag_hex(key, F.unhex("_payload")))
-        .withColumns(
-            {
-                "arb_id": F.lit(C.COMMAND_ARB_ID),
-                "dlc": F.lit(COMMAND_BYTES),
-                "payload": F.unhex(F.concat("_payload", "mac_signature_hex")),
-            }
-        )
-        .drop("_payload")
+    frame = command_bytes(
+        key, F.col("freshness_counter"), F.col("state_code"), F.col("target_decel"), F.col("hazards_on")
     )
+    return rows.withColumns(
+        {"arb_id": F.lit(C.COMMAND_ARB_ID), "dlc": F.lit(COMMAND_BYTES), "payload": frame}
+    ).withColumn("mac_signature_hex", F.hex(F.substring("payload", 6, COMMAND_TAG_BYTES)))
 
 
 def etiology_code(etiology: Column) -> Column:
@@ -109,22 +106,50 @@ def alert_header_hex(
     )
 
 
+def alert_bytes(key: bytes, header_hex: Column) -> Column:
+    """76-byte alert: header and 64-byte tag."""
+    return F.unhex(F.concat(header_hex, hmac_hex(key, F.unhex(header_hex), 512)))
+
+
 def pack_alerts(rows: DataFrame, key: bytes, sensor_mask: int = C.ALERT_SENSOR_MASK) -> DataFrame:
     """Add the 76-byte alert for ``etiology``, ``confidence``, ``latency_ms``, ``epoch_s``."""
     header = alert_header_hex(
         F.col("etiology"), F.col("confidence"), F.col("latency_ms"), F.col("epoch_s"), sensor_mask
     )
-    return rows.withColumn("header_hex", header).withColumns(
-        {"signature_hex": F.upper(hmac_hex(key, F.unhex("header_hex"), 512))}
-    ).withColumns(
-        {
-            "version": F.lit(C.ALERT_VERSION),
-            "etiology_code": etiology_code(F.col("etiology")),
-            "confidence_pct": confidence_percent(F.col("confidence")),
-            "sensor_mask": F.lit(sensor_mask),
-            "payload": F.unhex(F.concat("header_hex", "signature_hex")),
-        }
-    ).withColumn("is_privacy_minimized", F.octet_length("payload") == C.ALERT_BYTES)
+    return (
+        rows.withColumn("header_hex", header)
+        .withColumns(
+            {
+                "version": F.lit(C.ALERT_VERSION),
+                "etiology_code": etiology_code(F.col("etiology")),
+                "confidence_pct": confidence_percent(F.col("confidence")),
+                "sensor_mask": F.lit(sensor_mask),
+                "payload": alert_bytes(key, F.col("header_hex")),
+            }
+        )
+        .withColumns(
+            {
+                "signature_hex": F.hex(F.substring("payload", 13, 64)),
+                "is_privacy_minimized": F.octet_length("payload") == C.ALERT_BYTES,
+            }
+        )
+    )
+
+
+def warning_bytes(
+    speed_kmh: Column, lateral_m: Column, station_id: int, action_id: int, cause: int, subcause: int
+) -> Column:
+    """18-byte hazard warning."""
+    return F.unhex(
+        F.concat(
+            be_hex(F.lit(station_id), 4),
+            be_hex(F.lit(action_id), 4),
+            be_hex(F.lit(cause), 1),
+            be_hex(F.lit(subcause), 1),
+            float32_hex(speed_kmh),
+            float32_hex(lateral_m),
+        )
+    )
 
 
 def pack_hazard_warnings(
@@ -135,20 +160,14 @@ def pack_hazard_warnings(
     subcause: int = C.DENM_SUBCAUSE,
 ) -> DataFrame:
     """Add the 18-byte hazard warning for ``speed_kmh`` and ``lateral_pos_m``."""
-    packed = F.concat(
-        be_hex(F.lit(station_id), 4),
-        be_hex(F.lit(action_id), 4),
-        be_hex(F.lit(cause), 1),
-        be_hex(F.lit(subcause), 1),
-        float32_hex(F.col("speed_kmh")),
-        float32_hex(F.col("lateral_pos_m")),
-    )
     return rows.withColumns(
         {
             "station_id": F.lit(station_id),
             "action_id": F.lit(action_id),
             "cause_code": F.lit(cause),
             "subcause_code": F.lit(subcause),
-            "payload": F.unhex(packed),
+            "payload": warning_bytes(
+                F.col("speed_kmh"), F.col("lateral_pos_m"), station_id, action_id, cause, subcause
+            ),
         }
     )

@@ -151,6 +151,7 @@ def response_columns(
                 "haptic_pulse_active": alerting,
                 "denm_broadcast_active": k >= C.BRAKE_STEP,
                 "ecall_transmitted": k >= stop,
+                "standstill_frame": k == stop,
                 "confirmed_etiology": F.coalesce("_active.etiology", F.lit("None")),
             }
         )

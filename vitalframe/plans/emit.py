@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe import config as C
-from vitalframe.functions.codec import pack_alerts, pack_commands, pack_hazard_warnings
+from vitalframe.functions.codec import (
+    alert_bytes,
+    alert_header_hex,
+    command_bytes,
+    pack_alerts,
+    warning_bytes,
+)
 
 SESSION = ("driver_id", "session_id")
 
@@ -42,39 +48,50 @@ def first_alerts(timeline: DataFrame, key: bytes, at: str = "trigger") -> DataFr
     return pack_alerts(first.select(*SESSION, "_f.*"), key)
 
 
-def commands(timeline: DataFrame, key: bytes, counter_start: int = C.COUNTER_START) -> DataFrame:
-    """A command for every frame with hazards on.
+def emit_messages(timeline: DataFrame, key: bytes, counter_start: int = C.COUNTER_START) -> DataFrame:
+    """All messages of a timeline: (driver_id, session_id, seq, kind, payload).
 
-    Hazards stay on once lit, so a command's number in its session is the step
-    count since then and needs no further window.
+    A command for every frame with hazards on, a warning for every frame that
+    broadcasts, and the alert once, at the standstill frame.  Hazards stay on once
+    lit, so a command's number in its session is the step count since then.  The
+    timeline is read once and nothing is shuffled.
     """
-    rows = timeline.filter("hazard_flashers_active").select(
-        *SESSION,
-        "seq",
-        (F.lit(counter_start) + F.col("phase_step") - C.ESCALATE_STEP).alias("freshness_counter"),
-        F.lit(C.COMMAND_STATE_CODE).alias("state_code"),
-        F.col("longitudinal_accel_mss").alias("target_decel"),
-        F.col("hazard_flashers_active").alias("hazards_on"),
+    counter = F.lit(counter_start) + F.col("phase_step") - C.ESCALATE_STEP
+    command = command_bytes(
+        key,
+        counter,
+        F.lit(C.COMMAND_STATE_CODE),
+        F.col("longitudinal_accel_mss"),
+        F.col("hazard_flashers_active"),
+    )
+    warning = warning_bytes(
+        F.col("speed_kmh"),
+        F.col("lateral_pos_m"),
+        C.STATION_ID,
+        C.DENM_ACTION_ID,
+        C.DENM_CAUSE,
+        C.DENM_SUBCAUSE,
+    )
+    alert = alert_bytes(
+        key,
+        alert_header_hex(
+            F.col("confirmed_etiology"),
+            F.col("top_confidence"),
+            (F.col("persistence_seconds") * 1000).cast("int"),
+            F.unix_timestamp("event_time"),
+        ),
     )
-    return pack_commands(rows, key)
-
-
-def warnings(timeline: DataFrame) -> DataFrame:
-    """A hazard warning for every frame that broadcasts."""
-    rows = timeline.filter("denm_broadcast_active").select(*SESSION, "seq", "speed_kmh", "lateral_pos_m")
-    return pack_hazard_warnings(rows)
-
-
-def emit_messages(timeline: DataFrame, key: bytes) -> DataFrame:
-    """All messages of a timeline: (driver_id, session_id, seq, kind, payload)."""
-    columns = [*SESSION, "seq", "payload"]
     parts = {
-        "command": commands(timeline, key),
-        "warning": warnings(timeline),
-        "alert": first_alerts(timeline, key, at="ecall"),
+        "command": (F.col("hazard_flashers_active"), command),
+        "warning": (F.col("denm_broadcast_active"), warning),
+        "alert": (F.col("standstill_frame"), alert),
     }
-    out = None
-    for kind, part in parts.items():
-        rows = part.select(*columns, F.lit(kind).alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    messages = F.array_compact(
+        F.array(
+            *[
+                F.when(due, F.struct(F.lit(kind).alias("kind"), payload.alias("payload")))
+                for kind, (due, payload) in parts.items()
+            ]
+        )
+    )
+    return timeline.filter("hazard_flashers_active").select(*SESSION, "seq", F.inline(messages))
