@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def registry() -> dict:
     """Name -> (callable(spark, table directory), SQL or None)."""
-    from vitalframe.catalog import detection, evaluation, messages, replay, signals
+    from vitalframe.catalog import detection, evaluation, learning, messages, replay, signals
 
     out: dict = {}
-    for module in (detection, evaluation, signals, messages, replay):
+    for module in (detection, evaluation, signals, messages, replay, learning):
         out.update(module.QUERIES)
     return out

@@ -111,19 +111,23 @@ SELECT CASE st WHEN 0 THEN '{C.HR_STATES[0]}' WHEN 3 THEN '{C.HR_STATES[3]}' ELS
   count(*) AS n FROM s GROUP BY 1"""
 
 
-def spectrum_sql(vectors: str, keys: str, fs: float, floor: float, clip: bool) -> str:
-    """Band ratio by an explicit transform of 64-sample axes (one segment)."""
-    step = fs / 64
+def spectrum_sql(vectors: str, keys: str, fs: float, floor: str, clip: bool, n: int = 64) -> str:
+    """Band ratio by an explicit transform of n-sample axes (one segment)."""
+    step = fs / n
     total = f"sum(p) FILTER (k * {step} BETWEEN 0.5 AND 20.0)"
     band = f"sum(p) FILTER (k * {step} BETWEEN 2.0 AND 6.0)"
-    weight = 64 * 0.375
-    return f"""smp AS (SELECT {keys}, axis, i - 1 AS i, v[i]::DOUBLE - (list_sum(v::DOUBLE[]) / 64.0::DOUBLE) AS x
-  FROM {vectors}, range(1, 65) r(i)),
-tap AS (SELECT *, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 64)) AS y FROM smp),
-dft AS (SELECT {keys}, axis, k, sum(y * cos(2 * pi() * k * i / 64)) AS re, sum(y * sin(2 * pi() * k * i / 64)) AS im
-        FROM tap, range(1, 32) b(k) GROUP BY {keys}, axis, k),
+    weight = n * 0.375
+    top = min(n // 2 - 1, int(20 / step) + 1)
+    ratio = f"least(1.0::DOUBLE, {band} / {total})" if clip else f"{band} / {total}"
+    return f"""smp AS (SELECT {keys}, axis, i - 1 AS i, v[i]::DOUBLE - (list_sum(v::DOUBLE[]) / {n}.0::DOUBLE) AS x
+  FROM {vectors}, range(1, {n + 1}) r(i)),
+tap AS (SELECT *, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / {n})) AS y FROM smp),
+trig AS (SELECT k, i, cos(2 * pi() * k * i / {n}) AS c, sin(2 * pi() * k * i / {n}) AS s
+  FROM range(1, {top + 1}) a(k), range(0, {n}) b(i)),
+dft AS (SELECT {keys}, axis, k, sum(y * c) AS re, sum(y * s) AS im
+        FROM tap JOIN trig USING (i) GROUP BY {keys}, axis, k),
 pow AS (SELECT {keys}, k, 2 * (re * re + im * im) / ({num(fs)} * {num(weight)}) AS p FROM dft),
-ratio AS (SELECT {keys}, CASE WHEN {total} < {floor} THEN 0.0::DOUBLE ELSE {band} / {total} END AS ratio
+ratio AS (SELECT {keys}, CASE WHEN {total} < {floor} THEN 0.0::DOUBLE ELSE {ratio} END AS ratio
           FROM pow GROUP BY {keys})"""
 
 
@@ -335,6 +339,41 @@ SELECT vec_id, CASE WHEN st = 'measured' THEN 'accel,ecg' ELSE 'accel' END AS me
   round(embedding[63]::DOUBLE, 6) AS ecg_1_b, true AS gyro_absent FROM s"""
 
 
+def body_vectors(spark, sf):
+    """All 69 features of every body-sensor window, one row per feature."""
+    rows = activity.body_windows(V.body_log_view(spark, sf), BODY)
+    return rows.select(
+        "subject_id", "win", "start_time_s", "activity_label", F.posexplode("features").alias("feature", "value")
+    ).withColumn("value", F.round("value", 7))
+
+
+def _body_vectors_sql() -> str:
+    from vitalframe.sources.body_log import CHANNELS, SIGNALS
+
+    at, parts = 0, []
+    number = {c: k for k, c in enumerate(CHANNELS)}
+    for channels, _, _ in SIGNALS.values():
+        for stat in ("avg({c})", "stddev_pop({c})", "sqrt(avg({c} * {c}))", "max({c}) - min({c})"):
+            for name in channels:
+                k = number[name]
+                c = f"{AXES[k % 3]} * {num(1.0 + (k + 1) * V.STRETCH)}"
+                parts.append(f"{{'f': {at}, 'v': {stat.format(c='(' + c + ')')}}}")
+                at += 1
+    listed = ", ".join(f"list({a} * {num(1.0 + (k + 1) * V.STRETCH)} ORDER BY idx) AS l{k}" for k, a in enumerate(AXES))
+    spectrum = spectrum_sql("axs", "subject_id, win", 50.0, "1e-12", False, 100)
+    return f"""WITH {V.BODY_SQL}, {WINDOWED}, lab AS ({MAJORITY[MAJORITY.index("SELECT subject_id, win, activity_label FROM f"):]}),
+one AS (SELECT subject_id, win, [{", ".join(parts)}] AS fs, {listed} FROM wn GROUP BY subject_id, win HAVING count(*) = 100),
+axs AS (SELECT subject_id, win, 0 AS axis, l0 AS v FROM one UNION ALL SELECT subject_id, win, 1, l1 FROM one
+  UNION ALL SELECT subject_id, win, 2, l2 FROM one),
+{spectrum},
+fl AS (SELECT subject_id, win, u.f AS feature, u.v AS value FROM (SELECT subject_id, win, unnest(fs) AS u FROM one)
+  UNION ALL SELECT subject_id, win, {at}, ratio FROM ratio)
+SELECT subject_id, win, win * 50 / 50.0::DOUBLE AS start_time_s, activity_label, feature, round(value, 7) AS value
+FROM fl JOIN lab USING (subject_id, win)""".replace(
+        "lab AS (", MAJORITY[MAJORITY.index("c AS (SELECT subject_id") : MAJORITY.index("SELECT subject_id, win, activity_label FROM f")].rstrip() + ",\nlab AS (", 1
+    )
+
+
 def signal_quarantine(spark, sf):
     rows = _records(spark, sf).withColumn("rec", signal(F.col("signals"), "ecg"))
     rows = rows.withColumn(
@@ -358,6 +397,7 @@ QUERIES = {
     "band_ratio": (generic_band_ratio, BAND_RATIO),
     "segment_stats": (segment_stats, SEGMENT_STATS),
     "zipped_files": (zipped_files, ZIPPED),
+    "body_vectors": (body_vectors, _body_vectors_sql()),
     "posture_vectors": (posture_vectors, _posture_sql()),
     "ecg_windows": (ecg_beat_windows, ECG_WINDOWS),
     "interval_pairs": (interval_pairs, INTERVAL_PAIRS),

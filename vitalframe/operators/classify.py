@@ -43,8 +43,8 @@ def _grip_term(cls: str) -> Column:
     return term
 
 
-def class_scores(features: DataFrame) -> DataFrame:
-    """Add one ``_ll_<class>`` log score per class, prior included.
+def stateless_scores(features: DataFrame) -> DataFrame:
+    """Add ``_base_<class>``: log score of everything that needs no earlier frame.
 
     Vision terms count only with a face and a signal above -15 dB outside
     Degraded Mode 1, the band-energy term only with a live IMU.
@@ -60,21 +60,30 @@ def class_scores(features: DataFrame) -> DataFrame:
     for cls in C.CLASSES:
         params = C.GAUSSIAN[cls]
         vision = reduce(add, [log_density(F.col(f), *params[f]) for f in VISION])
+        motion = log_density(F.col("ser_2_6hz"), *params["ser_2_6hz"])
         prior = F.when(F.col("tonic_detected"), F.lit(math.log(C.PRIOR_TONIC[cls]))).otherwise(
             F.lit(math.log(C.PRIOR[cls]))
         )
-        scores[f"_ll_{cls}"] = (
+        scores[f"_base_{cls}"] = (
             F.when(F.col("_vision"), vision).otherwise(F.lit(0.0))
-            + F.when(
-                F.col("_imu"), log_density(F.col("ser_2_6hz"), *params["ser_2_6hz"])
-            ).otherwise(F.lit(0.0))
-            + log_density(F.col("psi"), *params["psi"])
+            + F.when(F.col("_imu"), motion).otherwise(F.lit(0.0))
             + _grip_term(cls)
             + prior
         )
     return features.withColumns(scores).drop("_vision", "_imu")
 
 
+def class_scores(features: DataFrame) -> DataFrame:
+    """Add one ``_ll_<class>`` log score per class, prior included."""
+    scores = {
+        f"_ll_{cls}": F.col(f"_base_{cls}") + log_density(F.col("psi"), *C.GAUSSIAN[cls]["psi"])
+        for cls in C.CLASSES
+    }
+    return (
+        stateless_scores(features).withColumns(scores).drop(*[f"_base_{cls}" for cls in C.CLASSES])
+    )
+
+
 def posterior_columns(scored: DataFrame) -> DataFrame:
     """Turn ``_ll_<class>`` scores into posteriors, top class, entropy and gate."""
     names = [f"_ll_{cls}" for cls in C.CLASSES]

@@ -11,6 +11,13 @@ from vitalframe.functions.numeric import clamp
 from vitalframe.operators.indexing import session_window
 
 
+def usable_pulse():
+    """The reading above 10 bpm, else the neutral 74 (for statistics only)."""
+    return F.when(F.col("rppg_hr_bpm") > C.HR_VALID_MIN_BPM, F.col("rppg_hr_bpm")).otherwise(
+        F.lit(C.NEUTRAL_HR_BPM)
+    )
+
+
 def rolling_features(
     frames: DataFrame,
     layout: SessionLayout,
@@ -28,11 +35,8 @@ def rolling_features(
     ordered = session_window(layout)
     pressure = ordered.rowsBetween(-(fsr_rows - 1), 0)
     pulse = ordered.rowsBetween(-(hr_rows - 1), 0)
-    usable_hr = F.when(F.col("rppg_hr_bpm") > C.HR_VALID_MIN_BPM, F.col("rppg_hr_bpm")).otherwise(
-        F.lit(C.NEUTRAL_HR_BPM)
-    )
     return (
-        frames.withColumn("_hr", usable_hr)
+        frames.withColumn("_hr", usable_pulse())
         .withColumns(
             {
                 "psi": clamp(1.0 - F.avg("fsr_pressure").over(pressure), 0.0, 1.0),
@@ -45,17 +49,27 @@ def rolling_features(
     )
 
 
-def clinical_flags(features: DataFrame) -> DataFrame:
-    """Add the tonic prefilter and the coma-scale proxy (first match wins)."""
-    tonic = (
+def tonic_prefilter():
+    """Saturated back pressure with clenched grip and closing eyes (one frame)."""
+    return (
         (F.col("fsr_pressure") >= C.TONIC_FSR_MIN)
         & (F.col("wheel_grip") == "CLENCHED")
         & (F.col("ear") <= C.TONIC_EAR_MAX)
     )
-    scale = (
+
+
+def coma_scale():
+    """Coma-scale proxy, first match wins."""
+    return (
         F.when((F.col("psi") > 0.70) & (F.col("ear") < 0.15), F.lit(4))
         .when((F.col("ser_2_6hz") > 0.60) | F.col("tonic_detected"), F.lit(7))
         .when(F.col("ear") < 0.18, F.lit(12))
         .otherwise(F.lit(15))
     )
-    return features.withColumn("tonic_detected", tonic).withColumn("estimated_gcs", scale)
+
+
+def clinical_flags(features: DataFrame) -> DataFrame:
+    """Add the tonic prefilter and the coma-scale proxy."""
+    return features.withColumn("tonic_detected", tonic_prefilter()).withColumn(
+        "estimated_gcs", coma_scale()
+    )

@@ -66,12 +66,19 @@ def persistence(decided: DataFrame, layout: SessionLayout) -> DataFrame:
         .otherwise(here - F.col("_break") + 1)
         .cast("int")
     )
-    return (
+    timed = (
         decided.withColumn("_prev", before)
         .withColumn("_start", F.when(~F.coalesce(continues, F.lit(False)), here))
         .withColumn("_break", F.max("_start").over(recent))
         .withColumn("persist_frames", run)
-        .withColumns(
+    )
+    return verified(timed).drop("_prev", "_start", "_break", "_counts")
+
+
+def verified(timed: DataFrame) -> DataFrame:
+    """Add persistence time, trigger and active class from ``persist_frames``."""
+    return (
+        timed.withColumns(
             {
                 "persistence_seconds": F.col("persist_frames") / F.lit(C.FUSION_RATE_HZ),
                 "mrm_trigger_flag": F.col("persist_frames") >= C.VERIFY_FRAMES,
@@ -81,7 +88,6 @@ def persistence(decided: DataFrame, layout: SessionLayout) -> DataFrame:
             "active_class",
             F.when(F.col("mrm_trigger_flag"), F.col("candidate_class")).otherwise("Normal"),
         )
-        .drop("_prev", "_start", "_break", "_counts")
     )
 
 

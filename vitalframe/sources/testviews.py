@@ -226,6 +226,24 @@ BODY_SQL = """body AS (
   FROM lineitem)"""
 
 
+def body_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``body_view`` stretched to all 17 used channels of a body-sensor log.
+
+    Channel number k is acceleration axis k % 3 scaled by 1 + (k + 1) * STRETCH.
+    """
+    from vitalframe.sources.body_log import CHANNELS
+
+    body = body_view(spark, sf_dir)
+    axes = ("acc_x", "acc_y", "acc_z")
+    return body.select(
+        "subject_id",
+        F.col("subject_id").cast("string").alias("session_id"),
+        "idx",
+        *[(F.col(axes[k % 3]) * F.lit(1.0 + (k + 1) * STRETCH)).alias(c) for k, c in enumerate(CHANNELS)],
+        "activity_label",
+    )
+
+
 def doubles(column: str = "embedding") -> Column:
     return F.col(column).cast("array<double>")
 
@@ -243,6 +261,7 @@ def axis_view(spark: SparkSession, sf_dir: str, axes: int) -> DataFrame:
 VECTORS_PER_RECORD = 50
 SAMPLES_PER_RECORD = VECTORS_PER_RECORD * 64
 BEATS_PER_RECORD = 100
+STRETCH = 0.052704627669
 # The beat symbol of event number modulo 10.
 SYMBOL_CYCLE = ("N", "N", "N", "L", "N", "V", "A", "+", "N", "E")
 
