@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.operators.indexing import dense_index
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def raw_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -26,7 +26,7 @@ def raw_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
-        F.ltrim(F.lit(BOM), F.col("value")).alias("value"),
+        F.ltrim(F.col("value"), F.lit(BOM)).alias("value"),
     ).filter(F.trim("value") != "")
 
 
