@@ -58,6 +58,8 @@ def session() -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        # call-site capture on every Column call costs more than planning does
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )

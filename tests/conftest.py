@@ -26,6 +26,7 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", scratch)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config(
             "spark.sql.streaming.stateStore.providerClass",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe import config as C
 from vitalframe.catalog.common import num, rounded, round_sql
+from vitalframe.functions import arrays as A
 from vitalframe.functions.records import (
     measured_modalities,
     quarantine,
@@ -163,8 +164,8 @@ BAND_RATIO = f"""WITH one AS (SELECT vec_id, 0 AS axis, embedding AS v FROM embe
 
 def segment_stats(spark, sf):
     rows = V.table(spark, sf, "embeddings").select("vec_id", V.doubles().alias("v"))
-    stats = W.array_stats(F.col("v"))
-    return rows.select("vec_id", *[F.round(c, 6).alias(n) for n, c in stats.items()])
+    rows = rows.select("vec_id", A.array_stats(F.col("v")).alias("s"))
+    return rows.select("vec_id", *[F.round(A.stat("s", n), 6).alias(n) for n in A.STATS])
 
 
 SEGMENT_STATS = """SELECT vec_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(sqrt(avg(x * x)), 6) AS rms,
@@ -175,7 +176,7 @@ FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ve
 def zipped_files(spark, sf):
     rows = _axes(spark, sf, 6)
     return rows.select(
-        "row_idx", *[F.round(W.array_stats(F.col(str(a)))["mean"], 6).alias(f"mean_{a}") for a in range(6)]
+        "row_idx", *[F.round(A.stat(A.array_stats(F.col(str(a))), "mean"), 6).alias(f"mean_{a}") for a in range(6)]
     )
 
 
@@ -225,7 +226,7 @@ def ecg_beat_windows(spark, sf):
         F.size("beats").alias("n_beats"),
         F.get("beats.offset", F.lit(0)).alias("first_offset"),
         F.get("beats.symbol", F.size("beats") - 1).alias("last_symbol"),
-        F.round(W.array_stats(F.col("ecg"))["mean"], 6).alias("mean_mv"),
+        F.round(A.stat(A.array_stats(F.col("ecg")), "mean"), 6).alias("mean_mv"),
     )
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def double(x: float) -> str:
+    """A double literal for SQL expression text."""
+    return f"{float(x)!r}D"
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from vitalframe import config as C
+from vitalframe.functions.arrays import blocks
 
 BAND_HZ = (2.0, 6.0)
 TOTAL_HZ = (0.5, 20.0)
@@ -40,30 +41,12 @@ def ratio_of_block(
     return np.clip(ratio, 0.0, 1.0) if clip else ratio
 
 
-def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, start offsets and lengths of a list column (null lists have length 0)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = column.offsets.to_numpy()
-    lengths = np.diff(offsets)
-    if column.null_count:
-        lengths = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, lengths)
-    return column.values.to_numpy(zero_copy_only=False), offsets[:-1], lengths
-
-
 def _ratio_udf(fs: float, min_samples: int, max_segment: int, floor: float, clip: bool):
     def ratios(axes: list[pa.Array]) -> pa.Array:
-        parts = [_list_parts(a) for a in axes]
-        lengths = parts[0][2]
-        out = np.zeros(len(lengths))
-        for n in np.unique(lengths):
-            if n < min_samples:
-                continue
-            rows = np.flatnonzero(lengths == n)
-            block = np.stack(
-                [values[starts[rows][:, None] + np.arange(n)] for values, starts, _ in parts], axis=1
-            ).astype(float, copy=False)
-            out[rows] = ratio_of_block(block, fs, max_segment, floor, clip)
+        out = np.zeros(len(axes[0]))
+        for rows, block in blocks(axes):
+            if block.shape[-1] >= min_samples:
+                out[rows] = ratio_of_block(block, fs, max_segment, floor, clip)
         return pa.array(out)
 
     @arrow_udf("double")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe import config as C
+from vitalframe.functions.numeric import double
 
 VISION = ("ear", "pitch_deg", "rppg_hr_bpm")
 
@@ -27,20 +26,15 @@ def operational_mode(frames: DataFrame) -> DataFrame:
     )
 
 
-def log_density(value: Column, mean: Column | float, std: Column | float) -> Column:
-    """Natural log of a normal density."""
-    if isinstance(std, Column):
-        z = (value - mean) / std
-        return -F.log(std * math.sqrt(2 * math.pi)) - z * z / 2.0
-    z = (value - F.lit(mean)) / F.lit(std)
-    return F.lit(-math.log(std * math.sqrt(2 * math.pi))) - z * z / 2.0
+def log_density(value: str, mean: float, std: float) -> str:
+    """Natural log of a normal density, as expression text."""
+    z = f"(({value} - {double(mean)}) / {double(std)})"
+    return f"({double(-math.log(std * math.sqrt(2 * math.pi)))} - {z} * {z} / 2D)"
 
 
-def _grip_term(cls: str) -> Column:
-    term = F.lit(math.log(C.GRIP_UNKNOWN))
-    for grip, p in C.GRIP[cls].items():
-        term = F.when(F.col("wheel_grip") == grip, F.lit(math.log(p))).otherwise(term)
-    return term
+def _grip_term(cls: str) -> str:
+    whens = " ".join(f"WHEN '{g}' THEN {double(math.log(p))}" for g, p in C.GRIP[cls].items())
+    return f"CASE wheel_grip {whens} ELSE {double(math.log(C.GRIP_UNKNOWN))} END"
 
 
 def stateless_scores(features: DataFrame) -> DataFrame:
@@ -49,34 +43,31 @@ def stateless_scores(features: DataFrame) -> DataFrame:
     Vision terms count only with a face and a signal above -15 dB outside
     Degraded Mode 1, the band-energy term only with a live IMU.
     """
-    vision_on = (
-        ~F.col("degraded_1")
-        & F.col("face_detected")
-        & (F.col("optical_snr_db") > C.MIN_OPTICAL_SNR_DB)
-    )
-    imu_on = ~F.col("degraded_2") & F.col("imu_heartbeat_ok")
-    features = features.withColumns({"_vision": vision_on, "_imu": imu_on})
+    gates = {
+        "_vision": F.expr(
+            f"NOT degraded_1 AND face_detected AND optical_snr_db > {double(C.MIN_OPTICAL_SNR_DB)}"
+        ),
+        "_imu": F.expr("NOT degraded_2 AND imu_heartbeat_ok"),
+    }
     scores = {}
     for cls in C.CLASSES:
         params = C.GAUSSIAN[cls]
-        vision = reduce(add, [log_density(F.col(f), *params[f]) for f in VISION])
-        motion = log_density(F.col("ser_2_6hz"), *params["ser_2_6hz"])
-        prior = F.when(F.col("tonic_detected"), F.lit(math.log(C.PRIOR_TONIC[cls]))).otherwise(
-            F.lit(math.log(C.PRIOR[cls]))
-        )
-        scores[f"_base_{cls}"] = (
-            F.when(F.col("_vision"), vision).otherwise(F.lit(0.0))
-            + F.when(F.col("_imu"), motion).otherwise(F.lit(0.0))
-            + _grip_term(cls)
-            + prior
+        vision = " + ".join(log_density(f, *params[f]) for f in VISION)
+        motion = log_density("ser_2_6hz", *params["ser_2_6hz"])
+        tonic, usual = double(math.log(C.PRIOR_TONIC[cls])), double(math.log(C.PRIOR[cls]))
+        scores[f"_base_{cls}"] = F.expr(
+            f"CASE WHEN _vision THEN {vision} ELSE 0D END"
+            f" + CASE WHEN _imu THEN {motion} ELSE 0D END"
+            f" + {_grip_term(cls)}"
+            f" + CASE WHEN tonic_detected THEN {tonic} ELSE {usual} END"
         )
-    return features.withColumns(scores).drop("_vision", "_imu")
+    return features.withColumns(gates).withColumns(scores).drop("_vision", "_imu")
 
 
 def class_scores(features: DataFrame) -> DataFrame:
     """Add one ``_ll_<class>`` log score per class, prior included."""
     scores = {
-        f"_ll_{cls}": F.col(f"_base_{cls}") + log_density(F.col("psi"), *C.GAUSSIAN[cls]["psi"])
+        f"_ll_{cls}": F.expr(f"_base_{cls} + {log_density('psi', *C.GAUSSIAN[cls]['psi'])}")
         for cls in C.CLASSES
     }
     return (
@@ -87,12 +78,16 @@ def class_scores(features: DataFrame) -> DataFrame:
 def posterior_columns(scored: DataFrame) -> DataFrame:
     """Turn ``_ll_<class>`` scores into posteriors, top class, entropy and gate."""
     names = [f"_ll_{cls}" for cls in C.CLASSES]
-    top = F.greatest(*[F.col(n) for n in names])
-    mass = reduce(add, [F.exp(F.col(n) - F.col("_top")) for n in names])
-    scored = scored.withColumn("_top", top).withColumn("_mass", mass)
-    scored = scored.withColumns(
-        {f"p_{cls.lower()}": F.exp(F.col(f"_ll_{cls}") - F.col("_top")) / F.col("_mass") for cls in C.CLASSES}
-    ).drop(*names, "_top", "_mass")
+    mass = " + ".join(f"exp({n} - _top)" for n in names)
+    posteriors = {
+        f"p_{cls.lower()}": F.expr(f"exp(_ll_{cls} - _top) / _mass") for cls in C.CLASSES
+    }
+    scored = (
+        scored.withColumn("_top", F.greatest(*names))
+        .withColumn("_mass", F.expr(mass))
+        .withColumns(posteriors)
+        .drop(*names, "_top", "_mass")
+    )
     return summarise_posteriors(scored)
 
 
@@ -101,21 +96,19 @@ def summarise_posteriors(df: DataFrame) -> DataFrame:
 
     Ties go to the class declared first.
     """
-    p = {cls: F.col(f"p_{cls.lower()}") for cls in C.CLASSES}
-    normal, syncope, seizure = (p[c] for c in C.CLASSES)
+    p = [f"p_{cls.lower()}" for cls in C.CLASSES]
     best = (
-        F.when((normal >= syncope) & (normal >= seizure), C.CLASSES[0])
-        .when(syncope >= seizure, C.CLASSES[1])
-        .otherwise(C.CLASSES[2])
+        f"CASE WHEN {p[0]} >= {p[1]} AND {p[0]} >= {p[2]} THEN '{C.CLASSES[0]}' "
+        f"WHEN {p[1]} >= {p[2]} THEN '{C.CLASSES[1]}' ELSE '{C.CLASSES[2]}' END"
     )
-    bits = -reduce(add, [x * F.log2(x + 1e-12) for x in p.values()])
+    bits = " + ".join(f"{x} * log2({x} + 1e-12D)" for x in p)
     return df.withColumns(
         {
-            "predicted_class": best,
-            "top_confidence": F.greatest(*p.values()),
-            "shannon_entropy": F.greatest(F.lit(0.0), bits),
+            "predicted_class": F.expr(best),
+            "top_confidence": F.greatest(*p),
+            "shannon_entropy": F.expr(f"greatest(0D, -({bits}))"),
         }
-    ).withColumn("is_confident", F.col("top_confidence") >= C.CONFIDENCE_GATE)
+    ).withColumn("is_confident", F.expr(f"top_confidence >= {double(C.CONFIDENCE_GATE)}"))
 
 
 def gaussian_classifier(features: DataFrame) -> DataFrame:
@@ -156,9 +149,9 @@ def table_log_likelihoods(features: DataFrame, params: DataFrame) -> DataFrame:
     )
     joined = features.crossJoin(per_class).withColumn("_p", F.explode("_params"))
     terms = [
-        F.coalesce(log_density(F.col(n), F.col(f"_p._m_{n}"), F.col(f"_p._s_{n}")), F.lit(0.0))
+        f"coalesce(-ln(_p._s_{n} * sqrt(2 * pi())) - power(({n} - _p._m_{n}) / _p._s_{n}, 2) / 2, 0D)"
         for n in names
     ]
     return joined.withColumns(
-        {"class": F.col("_p.class"), "log_likelihood": reduce(add, terms)}
+        {"class": F.col("_p.class"), "log_likelihood": F.expr(" + ".join(terms))}
     ).drop("_p", "_params")

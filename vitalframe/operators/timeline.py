@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vitalframe import config as C
 from vitalframe.config import SessionLayout
+from vitalframe.functions.numeric import double
 from vitalframe.operators.indexing import CHUNK, session_window
 
 
@@ -112,50 +113,43 @@ def response_columns(
 ) -> DataFrame:
     """Phase, kinematics and actuator flags from the engaged step."""
     profile = brake_profile(initial_speed_kmh)
-    cruise = initial_speed_kmh / 3.6
+    cruise = double(initial_speed_kmh / 3.6 * C.FRAME_SECONDS)
     last = len(profile["speed_ms"]) - 1
     stop = C.BRAKE_STEP + last
-    here = F.col(layout.order)
-    source = F.coalesce("_commit", "_entry")
-    step = F.coalesce(here - F.col("_active.at") + 1, F.lit(0)).cast("long")
-    k = F.col("phase_step")
-    slot = F.least(F.greatest(k - C.BRAKE_STEP, F.lit(0)), F.lit(last)) + 1
-
-    def at(name: str) -> Column:
-        return F.element_at(F.lit(profile[name]), slot.cast("int"))
-
-    cruised = F.when(k > C.BRAKE_STEP, F.col("_active.at") + C.BRAKE_STEP).otherwise(here + 1)
-    phase = (
-        F.when(k == 0, C.PHASES[0])
-        .when(k < C.ESCALATE_STEP, C.PHASES[1])
-        .when(k < C.BRAKE_STEP, C.PHASES[2])
-        .when(k < stop, C.PHASES[3])
-        .otherwise(C.PHASES[4])
+    here = layout.order
+    slot = f"CAST(least(greatest(phase_step - {C.BRAKE_STEP}, 0), {last}) + 1 AS INT)"
+
+    def at(name: str) -> str:
+        return f"element_at(array({', '.join(double(x) for x in profile[name])}), {slot})"
+
+    cruised = f"CASE WHEN phase_step > {C.BRAKE_STEP} THEN _active.at + {C.BRAKE_STEP} ELSE {here} + 1 END"
+    bounds = (0, 1, C.ESCALATE_STEP, C.BRAKE_STEP, stop)
+    phase = " ".join(
+        f"WHEN phase_step < {nxt} THEN '{name}'" for name, nxt in zip(C.PHASES, bounds[1:])
     )
-    alerting = (k >= 1) & (k <= C.ESCALATE_STEP)
+    alerting = f"phase_step BETWEEN 1 AND {C.ESCALATE_STEP}"
+    columns = {
+        "phase_timer_s": f"phase_step / {double(C.FUSION_RATE_HZ)}",
+        "mrm_state": f"CASE {phase} ELSE '{C.PHASES[4]}' END",
+        "speed_ms": at("speed_ms"),
+        "longitudinal_accel_mss": at("accel_mss"),
+        "longitudinal_dist_m": f"({cruised}) * {cruise} + {at('travel_m')}",
+        "lateral_pos_m": at("lateral_m"),
+        "hazard_flashers_active": f"phase_step > {C.ESCALATE_STEP}",
+        "doors_unlocked": f"phase_step >= {stop}",
+        "epb_clamped": f"phase_step >= {stop}",
+        "acoustic_chime_active": alerting,
+        "haptic_pulse_active": alerting,
+        "denm_broadcast_active": f"phase_step >= {C.BRAKE_STEP}",
+        "ecall_transmitted": f"phase_step >= {stop}",
+        "standstill_frame": f"phase_step = {stop}",
+        "confirmed_etiology": "coalesce(_active.etiology, 'None')",
+    }
     return (
-        engaged.withColumn("_active", source)
-        .withColumn("phase_step", step)
-        .withColumns(
-            {
-                "phase_timer_s": k / F.lit(C.FUSION_RATE_HZ),
-                "mrm_state": phase,
-                "speed_ms": at("speed_ms"),
-                "longitudinal_accel_mss": at("accel_mss"),
-                "longitudinal_dist_m": cruised * F.lit(cruise * C.FRAME_SECONDS) + at("travel_m"),
-                "lateral_pos_m": at("lateral_m"),
-                "hazard_flashers_active": k > C.ESCALATE_STEP,
-                "doors_unlocked": k >= stop,
-                "epb_clamped": k >= stop,
-                "acoustic_chime_active": alerting,
-                "haptic_pulse_active": alerting,
-                "denm_broadcast_active": k >= C.BRAKE_STEP,
-                "ecall_transmitted": k >= stop,
-                "standstill_frame": k == stop,
-                "confirmed_etiology": F.coalesce("_active.etiology", F.lit("None")),
-            }
-        )
-        .withColumn("speed_kmh", F.col("speed_ms") * 3.6)
+        engaged.withColumn("_active", F.coalesce("_commit", "_entry"))
+        .withColumn("phase_step", F.expr(f"CAST(coalesce({here} - _active.at + 1, 0) AS BIGINT)"))
+        .withColumns({name: F.expr(text) for name, text in columns.items()})
+        .withColumn("speed_kmh", F.expr("speed_ms * 3.6D"))
         .drop("_active", "_entry", "_commit")
     )
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,6 +88,35 @@ def window_bounds(windows: DataFrame, spec: Windowing, rate_hz: float) -> DataFr
     )
 
 
+def _pane_stats(channels: Sequence[str]) -> list[Column]:
+    return [
+        x
+        for c in channels
+        for x in (
+            F.avg(c).alias(f"_mean_{c}"),
+            F.var_pop(c).alias(f"_var_{c}"),
+            F.avg(F.col(c) * F.col(c)).alias(f"_sq_{c}"),
+            F.min(c).alias(f"_lo_{c}"),
+            F.max(c).alias(f"_hi_{c}"),
+        )
+    ]
+
+
+def _merged_stats(channels: Sequence[str]) -> list[Column]:
+    """Window statistics from equally long panes: the variance is the mean pane
+    variance plus the variance of the pane means; no large sums are subtracted."""
+    return [
+        x
+        for c in channels
+        for x in (
+            F.avg(f"_mean_{c}").alias(f"{c}_mean"),
+            F.sqrt(F.avg(f"_var_{c}") + F.var_pop(f"_mean_{c}")).alias(f"{c}_std"),
+            F.sqrt(F.avg(f"_sq_{c}")).alias(f"{c}_rms"),
+            (F.max(f"_hi_{c}") - F.min(f"_lo_{c}")).alias(f"{c}_ptp"),
+        )
+    ]
+
+
 def channel_stats(
     samples: DataFrame,
     keys: Sequence[str],
@@ -96,45 +124,56 @@ def channel_stats(
     channels: Sequence[str],
     spec: Windowing,
 ) -> DataFrame:
-    """Mean, population deviation, RMS and peak-to-peak of each channel per window.
+    """Mean, population deviation, RMS and peak-to-peak of each channel per window."""
+    keys = list(keys)
+    panes = samples.groupBy(*keys, spec.pane_of(F.col(idx)).alias(PANE)).agg(
+        F.count(F.lit(1)).alias("_n"), *_pane_stats(channels)
+    )
+    merged = (
+        spec.spread(panes.filter(F.col("_n") == spec.pane))
+        .groupBy(*keys, WIN)
+        .agg(F.count(F.lit(1)).alias("_panes"), *_merged_stats(channels))
+    )
+    return merged.filter(F.col("_panes") == spec.panes_per_window).drop("_panes")
+
 
-    Panes of a window are equally long, so its variance is the mean pane variance
-    plus the variance of the pane means; nothing is subtracted from large sums.
+def labelled_windows(
+    samples: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    channels: Sequence[str],
+    arrays: Sequence[str],
+    label: str,
+    spec: Windowing,
+) -> DataFrame:
+    """Statistics, majority label and the sample arrays of some channels per window.
+
+    One pass: a pane keeps its statistics and at most ``spec.pane`` samples of the
+    array channels and the label; nothing is joined back.
     """
     keys = list(keys)
+    packed = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(label).alias("label"), *arrays)))
     panes = samples.groupBy(*keys, spec.pane_of(F.col(idx)).alias(PANE)).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[
-            x
-            for c in channels
-            for x in (
-                F.avg(c).alias(f"_mean_{c}"),
-                F.var_pop(c).alias(f"_var_{c}"),
-                F.avg(F.col(c) * F.col(c)).alias(f"_sq_{c}"),
-                F.min(c).alias(f"_lo_{c}"),
-                F.max(c).alias(f"_hi_{c}"),
-            )
-        ],
+        F.count(F.lit(1)).alias("_n"), *_pane_stats(channels), packed.alias("_samples")
     )
-    full = panes.filter(F.col("_n") == spec.pane)
     merged = (
-        spec.spread(full)
+        spec.spread(panes.filter(F.col("_n") == spec.pane))
         .groupBy(*keys, WIN)
         .agg(
             F.count(F.lit(1)).alias("_panes"),
-            *[
-                x
-                for c in channels
-                for x in (
-                    F.avg(f"_mean_{c}").alias(f"{c}_mean"),
-                    F.sqrt(F.avg(f"_var_{c}") + F.var_pop(f"_mean_{c}")).alias(f"{c}_std"),
-                    F.sqrt(F.avg(f"_sq_{c}")).alias(f"{c}_rms"),
-                    (F.max(f"_hi_{c}") - F.min(f"_lo_{c}")).alias(f"{c}_ptp"),
-                )
-            ],
+            *_merged_stats(channels),
+            F.flatten(F.sort_array(F.collect_list("_samples"))).alias("_samples"),
         )
+        .filter(F.col("_panes") == spec.panes_per_window)
     )
-    return merged.filter(F.col("_panes") == spec.panes_per_window).drop("_panes")
+    labels = F.col("_samples.label")
+    ranked = F.transform(
+        F.array_distinct(labels),
+        lambda x: F.struct(F.size(F.filter(labels, lambda y: y == x)).alias("n"), (-x).alias("low")),
+    )
+    return merged.withColumns(
+        {label: -F.array_max(ranked)["low"], **{a: F.col(f"_samples.{a}") for a in arrays}}
+    ).drop("_panes", "_samples")
 
 
 def majority_label(
@@ -254,29 +293,6 @@ def hr_state() -> Column:
     )
 
 
-def array_stats(values: Column) -> dict[str, Column]:
-    """Mean, population deviation, RMS, peak-to-peak and energy of an array column."""
-    n = F.size(values).cast("double")
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    energy = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
-    mean = total / n
-    spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return {
-        "mean": mean,
-        "std": F.sqrt(spread / n),
-        "rms": F.sqrt(energy / n),
-        "ptp": F.array_max(values) - F.array_min(values),
-        "energy": energy,
-    }
-
-
-def magnitude(axes: Sequence[Column]) -> Column:
-    """Element-wise Euclidean length of equally long axis arrays."""
-    squares = [F.transform(a, lambda x: x * x) for a in axes]
-    summed = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), squares)
-    return F.transform(summed, lambda x: F.sqrt(x))
-
-
 def interval_join(
     windows: DataFrame,
     points: DataFrame,

@@ -6,10 +6,13 @@ be written in SQL for any engine.  ``frames_sql`` and friends give that text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe import config as C
+from vitalframe.functions.numeric import double
 
 # ---------------------------------------------------------------------------
 # Frame templates per scenario number.  Each cell is
@@ -59,14 +62,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cell(name: str, sc: Column, j: Column) -> Column:
-    centre, spread = TEMPLATES[0][name]
-    value = F.lit(centre) + F.lit(spread) * j
-    for number, row in TEMPLATES.items():
-        if number and name in row:
-            centre, spread = row[name]
-            value = F.when(sc == number, F.lit(centre) + F.lit(spread) * j).otherwise(value)
-    return value
+def _cell(name: str) -> str:
+    def term(row):
+        centre, spread = row[name]
+        return f"{double(centre)} + {double(spread)} * j"
+
+    whens = " ".join(
+        f"WHEN {n} THEN {term(row)}" for n, row in TEMPLATES.items() if n and name in row
+    )
+    return f"CASE sc {whens} ELSE {term(TEMPLATES[0])} END" if whens else term(TEMPLATES[0])
+
+
+def _names(source: str, names) -> str:
+    return f"CASE {source} " + " ".join(f"WHEN {n} THEN '{v}'" for n, v in names) + " END"
 
 
 def frames_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,49 +83,44 @@ def frames_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Event numbers are dealt to drivers in turn, so frame positions are plain
     arithmetic and no driver holds more rows than another.
     """
-    number = F.floor(F.col("event_id") / DRIVERS)
-    sc, j = F.col("_sc"), F.col("_j")
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    base = (
-        ev.withColumns(
-            {
-                "_driver": F.col("event_id") % DRIVERS,
-                "trial": F.floor(number / C.TRIAL_ROWS),
-                "seq": number % C.TRIAL_ROWS,
-                "_j": (F.col("event_id") % 7 - 3) / F.lit(3.0),
-            }
+    cells = [
+        f"{_cell(n)} AS {n}"
+        for n in ("ear", "pitch_deg", "rppg_hr_bpm", "ser_2_6hz", "fsr_pressure")
+    ]
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr(
+            "ts",
+            "user_id",
+            "event_type",
+            f"event_id % {DRIVERS} AS driver",
+            f"event_id div {DRIVERS} div {C.TRIAL_ROWS} AS trial",
+            f"event_id div {DRIVERS} % {C.TRIAL_ROWS} AS seq",
+            "(event_id % 7 - 3) / 3D AS j",
+        )
+        .selectExpr("*", "(driver + trial) % 5 AS scenario_id")
+        .selectExpr("*", f"CASE WHEN seq >= {ONSET_SEQ} THEN scenario_id ELSE 0 END AS sc")
+        .selectExpr(
+            "CAST(driver AS STRING) AS driver_id",
+            "CAST(trial AS STRING) AS session_id",
+            "seq",
+            "CAST(ts AS TIMESTAMP) AS event_time",
+            "seq / 10D AS t",
+            "trial AS seed",
+            f"{_names('scenario_id', [(i, s[0]) for i, s in enumerate(C.SCENARIOS)])} AS scenario",
+            f"{_names('scenario_id', [(i, s[1]) for i, s in enumerate(C.SCENARIOS)])} AS expected_class",
+            f"{_names('sc', MODE_OF.items())} AS mode",
+            *cells,
+            "0D AS ser_gyro_2_6hz",
+            f"CASE WHEN user_id % 25 = 2 AND sc <> 3 THEN {double(C.MIN_OPTICAL_SNR_DB)} "
+            f"ELSE {_cell('optical_snr_db')} END AS optical_snr_db",
+            "sc <> 3 AS face_detected",
+            "sc <> 4 AS imu_heartbeat_ok",
+            f"CASE sc WHEN 1 THEN '{GRIP_OF[1]}' WHEN 2 THEN '{GRIP_OF[2]}' ELSE 'ACTIVE' END AS wheel_grip",
+            "CASE WHEN event_type = 'error' AND user_id % 15 = 1 THEN 5D "
+            f"ELSE {_cell('steering_torque_nm')} END AS steering_torque_nm",
+            "event_type = 'error' AND user_id % 15 = 0 AS brake_pedal_pressed",
         )
-        .withColumn("scenario_id", (F.col("_driver") + F.col("trial")) % 5)
-        .withColumn("_sc", F.when(F.col("seq") >= ONSET_SEQ, F.col("scenario_id")).otherwise(0))
-    )
-    grip = F.when(sc == 1, GRIP_OF[1]).when(sc == 2, GRIP_OF[2]).otherwise("ACTIVE")
-    mode, scenario, expected = F.lit(MODE_OF[0]), F.lit(C.SCENARIOS[0][0]), F.lit(C.SCENARIOS[0][1])
-    for n in range(1, 5):
-        mode = F.when(sc == n, MODE_OF[n]).otherwise(mode)
-        scenario = F.when(F.col("scenario_id") == n, C.SCENARIOS[n][0]).otherwise(scenario)
-        expected = F.when(F.col("scenario_id") == n, C.SCENARIOS[n][1]).otherwise(expected)
-    pushes = (F.col("event_type") == "error") & (F.col("user_id") % 15 == 1)
-    glare = F.col("user_id") % 25 == 2
-    return base.select(
-        F.col("_driver").cast("string").alias("driver_id"),
-        F.col("trial").cast("string").alias("session_id"),
-        F.col("seq"),
-        F.col("ts").cast("timestamp").alias("event_time"),
-        (F.col("seq") / F.lit(10.0)).alias("t"),
-        F.col("trial").alias("seed"),
-        scenario.alias("scenario"),
-        expected.alias("expected_class"),
-        mode.alias("mode"),
-        *[_cell(n, sc, j).alias(n) for n in ("ear", "pitch_deg", "rppg_hr_bpm", "ser_2_6hz", "fsr_pressure")],
-        F.lit(0.0).alias("ser_gyro_2_6hz"),
-        F.when(glare & (sc != 3), F.lit(C.MIN_OPTICAL_SNR_DB))
-        .otherwise(_cell("optical_snr_db", sc, j))
-        .alias("optical_snr_db"),
-        (sc != 3).alias("face_detected"),
-        (sc != 4).alias("imu_heartbeat_ok"),
-        grip.alias("wheel_grip"),
-        F.when(pushes, F.lit(5.0)).otherwise(_cell("steering_torque_nm", sc, j)).alias("steering_torque_nm"),
-        ((F.col("event_type") == "error") & (F.col("user_id") % 15 == 0)).alias("brake_pedal_pressed"),
     )
 
 
@@ -126,18 +129,7 @@ def _num(x: float) -> str:
 
 
 def _cell_sql(name: str) -> str:
-    def term(row):
-        centre, spread = row[name]
-        return f"{_num(centre)} + {_num(spread)} * j"
-
-    whens = " ".join(
-        f"WHEN {n} THEN {term(row)}" for n, row in TEMPLATES.items() if n and name in row
-    )
-    return f"CASE sc {whens} ELSE {term(TEMPLATES[0])} END" if whens else term(TEMPLATES[0])
-
-
-def _names_sql(source: str, names) -> str:
-    return f"CASE {source} " + " ".join(f"WHEN {n} THEN '{v}'" for n, v in names) + " END"
+    return re.sub(r"(?<=\d)D\b", "::DOUBLE", _cell(name))
 
 
 def frames_sql() -> str:
@@ -160,9 +152,9 @@ based AS (
 frames_v AS (
   SELECT CAST(driver AS VARCHAR) AS driver_id, CAST(trial AS VARCHAR) AS session_id, seq,
   ts AS event_time, seq / 10.0::DOUBLE AS t, trial AS seed,
-  {_names_sql('scenario_id', [(i, s[0]) for i, s in enumerate(C.SCENARIOS)])} AS scenario,
-  {_names_sql('scenario_id', [(i, s[1]) for i, s in enumerate(C.SCENARIOS)])} AS expected_class,
-  {_names_sql('sc', MODE_OF.items())} AS mode,
+  {_names('scenario_id', [(i, s[0]) for i, s in enumerate(C.SCENARIOS)])} AS scenario,
+  {_names('scenario_id', [(i, s[1]) for i, s in enumerate(C.SCENARIOS)])} AS expected_class,
+  {_names('sc', MODE_OF.items())} AS mode,
   {cells},
   CASE WHEN user_id % 25 = 2 AND sc <> 3 THEN {_num(C.MIN_OPTICAL_SNR_DB)}
        ELSE {_cell_sql('optical_snr_db')} END AS optical_snr_db,
