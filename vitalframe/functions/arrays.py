@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 STATS = ("mean", "std", "rms", "ptp", "energy")
+DOUBLES = ArrayType(DoubleType())
 
 
 def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def list_column(table: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return pa.array([None if skip else list(row) for row, skip in zip(table, null)], pa.list_(pa.float64()))
 
 
-@arrow_udf("array<double>")
+@arrow_udf(DOUBLES)
 def _stats(values: pa.Array) -> pa.Array:
     out = np.zeros((len(values), len(STATS)))
     empty = np.zeros(len(values), dtype=bool)
@@ -79,7 +81,7 @@ def stat(stats: Column | str, name: str) -> Column:
     return F.get(stats, F.lit(STATS.index(name)))
 
 
-@arrow_udf("array<double>")
+@arrow_udf(DOUBLES)
 def triple_vectors(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array) -> pa.Array:
     """30 features of two axis triples: per triple four statistics of each axis, then
     mean, deviation and maximum of the magnitude.  A missing triple gives zeros."""

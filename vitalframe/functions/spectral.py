@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 from vitalframe import config as C
 from vitalframe.functions.arrays import blocks
@@ -49,11 +50,11 @@ def _ratio_udf(fs: float, min_samples: int, max_segment: int, floor: float, clip
                 out[rows] = ratio_of_block(block, fs, max_segment, floor, clip)
         return pa.array(out)
 
-    @arrow_udf("double")
+    @arrow_udf(DoubleType())
     def one_axis(x: pa.Array) -> pa.Array:
         return ratios([x])
 
-    @arrow_udf("double")
+    @arrow_udf(DoubleType())
     def three_axes(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
         return ratios([x, y, z])
 
