@@ -50,9 +50,9 @@ def audit_summary(spark, sf):
 AUDIT_SUMMARY = f"SELECT accepted, reject_reason, count(*) AS n FROM ({BUS_AUDIT}) GROUP BY ALL"
 
 
-def command_frames(spark, sf):
-    """Every event as a command of its user, numbered in sending order."""
-    rows = V.table(spark, sf, "events").select(
+def command_rows(events):
+    """Events as the commands their users send."""
+    return events.select(
         "event_id",
         F.col("ts").alias("rx_time"),
         F.col("user_id").alias("sender"),
@@ -60,6 +60,11 @@ def command_frames(spark, sf):
         (-(F.col("event_id") % 65) / F.lit(20.0)).alias("target_decel"),
         (F.col("event_type") == "error").alias("hazards_on"),
     )
+
+
+def command_frames(spark, sf):
+    """Every event as a command of its user, numbered in sending order."""
+    rows = command_rows(V.table(spark, sf, "events"))
     numbered = number_senders(rows, day_bucket(), ["rx_time", "event_id"])
     return _hex(codec.pack_commands(numbered, KEY)).select(
         "event_id", "sender", "freshness_counter", "arb_id", "dlc", "payload", "mac_signature_hex"

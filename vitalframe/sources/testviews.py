@@ -83,13 +83,17 @@ def frames_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Event numbers are dealt to drivers in turn, so frame positions are plain
     arithmetic and no driver holds more rows than another.
     """
+    return frames_of(table(spark, sf_dir, "events"))
+
+
+def frames_of(events: DataFrame) -> DataFrame:
+    """Frames of an event table or stream."""
     cells = [
         f"{_cell(n)} AS {n}"
         for n in ("ear", "pitch_deg", "rppg_hr_bpm", "ser_2_6hz", "fsr_pressure")
     ]
     return (
-        table(spark, sf_dir, "events")
-        .selectExpr(
+        events.selectExpr(
             "ts",
             "user_id",
             "event_type",
@@ -218,6 +222,13 @@ BODY_SQL = """body AS (
   FROM lineitem)"""
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a file stream (a glob path may name one file or a directory)."""
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    return reader.parquet(f"{sf_dir}/events.parque[t]")
+
+
 def body_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``body_view`` stretched to all 17 used channels of a body-sensor log.
 
@@ -294,6 +305,11 @@ def bus_view(spark: SparkSession, sf_dir: str, key: bytes) -> DataFrame:
     One frame in 13 has a flipped byte, one in 17 another key's tag, one in 19 a
     foreign id, one in 23 a wrong length field; counters fall back at times.
     """
+    return bus_of(table(spark, sf_dir, "events"), key)
+
+
+def bus_of(events: DataFrame, key: bytes) -> DataFrame:
+    """Command frames of an event table or stream."""
     from vitalframe.functions.codec import command_payload_hex, command_tag_hex
 
     e = F.col("event_id")
@@ -307,8 +323,7 @@ def bus_view(spark: SparkSession, sf_dir: str, key: bytes) -> DataFrame:
         command_tag_hex(key, F.unhex("_p"))
     )
     return (
-        table(spark, sf_dir, "events")
-        .select("event_id", F.col("ts").alias("rx_time"), F.col("user_id").alias("sender"))
+        events.select("event_id", F.col("ts").alias("rx_time"), F.col("user_id").alias("sender"))
         .withColumn("freshness_counter", F.lit(C.COUNTER_START) + F.floor(e / 100) - (e % 7) * 3)
         .withColumn("_p", payload)
         .withColumns(
