@@ -204,3 +204,33 @@ def test_frame_scan_prunes_columns(spark, tmp_path):
     tables.write_series(series, f"{tmp_path}/series")
     assert spark.read.parquet(f"{tmp_path}/series").count() == 1
     assert series.select(F.col("x")).count() == 1
+
+
+def pack_212(samples):
+    """Two leads interleaved as 12-bit pairs."""
+    flat = [x & 0xFFF for pair in samples for x in pair]
+    out = bytearray()
+    for a, b in zip(flat[::2], flat[1::2]):
+        out += bytes([a & 0xFF, (a >> 8) | ((b >> 8) << 4), b & 0xFF])
+    return bytes(out)
+
+
+def test_ecg_ingest(spark, tmp_path):
+    from vitalframe.sources.ecg_files import ingest_ecg
+
+    root = tmp_path / "db"
+    root.mkdir()
+    digital = [(1024 + (i * 37) % 900 - 450, 1024 - (i * 11) % 500) for i in range(720)]
+    (root / "100.hea").write_text("100 2 360 720\n100.dat 212 200 11 1024 995 0 0 MLII\n100.dat 212 200 11 1024 1011 0 0 V5\n")
+    (root / "100.dat").write_bytes(pack_212(digital))
+    word = lambda code, step: ((code << 10) | step).to_bytes(2, "little")
+    aux = word(63, 3) + b"(N\0\0"
+    skip = word(59, 0) + (0).to_bytes(2, "little") + (200).to_bytes(2, "little")
+    (root / "100.atr").write_bytes(word(28, 18) + aux + word(1, 100) + word(60, 1) + skip + word(5, 20) + word(8, 300) + b"\0\0")
+    ingest_ecg(spark, str(root), f"{tmp_path}/s", f"{tmp_path}/a")
+    ecg, ann = tables.read_ecg(spark, f"{tmp_path}/s", f"{tmp_path}/a")
+    got = ecg.orderBy("idx").collect()
+    assert len(got) == 720 and got[0]["fs"] == 360.0 and got[0]["record"] == "100"
+    assert [r["lead1"] for r in got] == [(a - 1024) / 200 for a, _ in digital]
+    assert [r["lead2"] for r in got] == [(b - 1024) / 200 for _, b in digital]
+    assert sorted((r["sample"], r["symbol"]) for r in ann.collect()) == [(18, "+"), (118, "N"), (338, "V"), (638, "A")]

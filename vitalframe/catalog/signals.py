@@ -375,6 +375,44 @@ FROM fl JOIN lab USING (subject_id, win)""".replace(
     )
 
 
+def signal_windows(spark, sf):
+    """Every signal of every body-log window with its unit, shape and first row."""
+    rows = activity.signal_windows(V.body_log_view(spark, sf), BODY)
+    flat = rows.select("subject_id", "win", "activity_label", F.explode("signals").alias("signal", "rec"))
+    return flat.select(
+        "subject_id",
+        "win",
+        "activity_label",
+        "signal",
+        "rec.units",
+        "rec.status",
+        F.array_join("rec.channels", ",").alias("channels"),
+        F.size("rec.values").alias("n_samples"),
+        F.round(F.element_at("rec.values", 1)[0], 9).alias("first_value"),
+        F.round(F.element_at("rec.values", -1)[1], 9).alias("last_value"),
+    )
+
+
+def _signal_windows_sql() -> str:
+    from vitalframe.sources.body_log import CHANNELS, SIGNALS
+
+    number = {c: k for k, c in enumerate(CHANNELS)}
+    value = lambda c: f"{AXES[number[c] % 3]} * {num(1.0 + (number[c] + 1) * V.STRETCH)}"
+    parts = " UNION ALL ".join(
+        f"SELECT subject_id, win, '{name}' AS signal, '{unit}' AS units, 'measured' AS status, "
+        f"'{','.join(axes)}' AS channels, count(*) AS n_samples, "
+        f"round(arg_min({value(chs[0])}, idx), 9) AS first_value, round(arg_max({value(chs[1])}, idx), 9) AS last_value "
+        f"FROM wn GROUP BY subject_id, win HAVING count(*) = 100"
+        for name, (chs, axes, unit) in SIGNALS.items()
+    )
+    tail = MAJORITY[MAJORITY.index("c AS (SELECT subject_id") :]
+    counts, pick = tail.split("\nSELECT subject_id, win, activity_label FROM f", 1)
+    return (
+        f"WITH {V.BODY_SQL}, {WINDOWED}, {counts}, lab AS (SELECT subject_id, win, activity_label FROM f{pick}), "
+        f"sig AS ({parts}) SELECT * FROM sig JOIN lab USING (subject_id, win)"
+    )
+
+
 def signal_quarantine(spark, sf):
     rows = _records(spark, sf).withColumn("rec", signal(F.col("signals"), "ecg"))
     rows = rows.withColumn(
@@ -404,6 +442,7 @@ QUERIES = {
     "interval_pairs": (interval_pairs, INTERVAL_PAIRS),
     "beat_vectors": (beat_vectors, BEAT_VECTORS),
     "beat_symbols": (beat_symbols, BEAT_SYMBOLS),
+    "signal_windows": (signal_windows, _signal_windows_sql()),
     "modality_availability": (modality_availability, MODALITIES),
     "signal_quarantine": (
         signal_quarantine,

@@ -137,6 +137,15 @@ def channel_stats(
     return merged.filter(F.col("_panes") == spec.panes_per_window).drop("_panes")
 
 
+def array_majority(labels: Column) -> Column:
+    """Most frequent entry of a short array; the smallest wins a tie."""
+    ranked = F.transform(
+        F.array_distinct(labels),
+        lambda x: F.struct(F.size(F.filter(labels, lambda y: y == x)).alias("n"), (-x).alias("low")),
+    )
+    return -F.array_max(ranked)["low"]
+
+
 def labelled_windows(
     samples: DataFrame,
     keys: Sequence[str],
@@ -166,13 +175,11 @@ def labelled_windows(
         )
         .filter(F.col("_panes") == spec.panes_per_window)
     )
-    labels = F.col("_samples.label")
-    ranked = F.transform(
-        F.array_distinct(labels),
-        lambda x: F.struct(F.size(F.filter(labels, lambda y: y == x)).alias("n"), (-x).alias("low")),
-    )
     return merged.withColumns(
-        {label: -F.array_max(ranked)["low"], **{a: F.col(f"_samples.{a}") for a in arrays}}
+        {
+            label: array_majority(F.col("_samples.label")),
+            **{a: F.col(f"_samples.{a}") for a in arrays},
+        }
     ).drop("_panes", "_samples")
 
 
