@@ -120,7 +120,11 @@ def test_replay_walk_across_buckets(spark):
         raw = command(counter) if rnd.random() < 0.8 else command(counter, key=b"x")
         frames.append((sender, 288, 8, raw, counter))
     log = bus(spark, frames)
-    got = {(r["sender"], r["rx_time"]): r["accepted"] for r in audit(log, KEY, day()).collect()}
+    accepted = lambda n: {
+        (r["sender"], r["rx_time"]): r["accepted"] for r in audit(log, KEY, day(), hot_rows=n).collect()
+    }
+    got = accepted(200)
+    assert got == accepted(None) == accepted(10**6)
     rows = log.collect()
     valid = {(r["sender"], r["rx_time"]): all([r["id_ok"], r["tag_ok"], r["counter_ok"]]) for r in frame_checks(log, KEY).collect()}
     for sender in ("hot", "cold"):
@@ -133,6 +137,8 @@ def test_replay_walk_across_buckets(spark):
 def test_sender_counters(spark):
     log = bus(spark, [("a" if i % 3 else "b", 288, 8, b"", 0) for i in range(120)]).drop("freshness_counter")
     rows = number_senders(log, day(), ["rx_time"]).orderBy("sender", "rx_time").collect()
+    split = number_senders(log, day(), ["rx_time"], hot_rows=50).orderBy("sender", "rx_time").collect()
+    assert [r["freshness_counter"] for r in split] == [r["freshness_counter"] for r in rows]
     for sender in "ab":
         mine = [r["freshness_counter"] for r in rows if r["sender"] == sender]
         assert mine == list(range(1001, 1001 + len(mine)))

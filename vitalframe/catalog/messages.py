@@ -19,12 +19,12 @@ def _hex(df):
     return df.withColumn("payload", F.hex("payload"))
 
 
-def day_bucket():
-    return F.unix_date(F.to_date("rx_time"))
+def minute_bucket():
+    return F.unix_seconds(F.date_trunc("minute", F.col("rx_time").cast("timestamp")))
 
 
 def bus_audit(spark, sf):
-    out = audit(V.bus_view(spark, sf, KEY), KEY, day_bucket(), order=("rx_time", "event_id"))
+    out = audit(V.bus_view(spark, sf, KEY), KEY, minute_bucket(), order=("rx_time", "event_id"))
     return out.select("event_id", "sender", "freshness_counter", "accepted", "reject_reason")
 
 
@@ -65,7 +65,7 @@ def command_rows(events):
 def command_frames(spark, sf):
     """Every event as a command of its user, numbered in sending order."""
     rows = command_rows(V.table(spark, sf, "events"))
-    numbered = number_senders(rows, day_bucket(), ["rx_time", "event_id"])
+    numbered = number_senders(rows, minute_bucket(), ["rx_time", "event_id"])
     return _hex(codec.pack_commands(numbered, KEY)).select(
         "event_id", "sender", "freshness_counter", "arb_id", "dlc", "payload", "mac_signature_hex"
     )

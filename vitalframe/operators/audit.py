@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalframe import config as C
 from vitalframe.functions.codec import COMMAND_BYTES, command_tag_hex
-from vitalframe.operators.indexing import dense_index, running_max_before
+from vitalframe.operators.indexing import HOT_ROWS, dense_index, running_max_before
 
 
 def frame_checks(bus: DataFrame, key: bytes) -> DataFrame:
@@ -34,12 +34,13 @@ def audit(
     bucket: Column,
     keys: Sequence[str] = ("sender",),
     order: Sequence[str] = ("rx_time", "freshness_counter"),
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Accept a frame iff every check holds and its counter exceeds all accepted ones.
 
     A valid but replayed frame never raises the largest counter, so the accepted
     maximum equals the running maximum over valid frames.  ``bucket`` grows with
-    ``order`` and splits senders with long logs.
+    ``order`` and splits senders with more than ``hot_rows`` frames.
     """
     checked = frame_checks(bus, key).withColumn(
         "_valid", F.col("id_ok") & F.col("length_ok") & F.col("tag_ok") & F.col("counter_ok")
@@ -51,6 +52,7 @@ def audit(
         bucket,
         F.when(F.col("_valid"), F.col("freshness_counter")),
         "_seen",
+        hot_rows,
     )
     fresh = F.col("freshness_counter") > F.coalesce(F.col("_seen"), F.lit(0))
     reason = (
@@ -68,9 +70,13 @@ def audit(
 
 
 def number_senders(
-    messages: DataFrame, bucket: Column, order: Sequence[str], keys: Sequence[str] = ("sender",)
+    messages: DataFrame,
+    bucket: Column,
+    order: Sequence[str],
+    keys: Sequence[str] = ("sender",),
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Sender counters: 1001, 1002, ... in sending order per sender."""
     return dense_index(
-        messages, keys, order, bucket, "freshness_counter", start=C.COUNTER_START + 1
+        messages, keys, order, bucket, "freshness_counter", C.COUNTER_START + 1, hot_rows=hot_rows
     )

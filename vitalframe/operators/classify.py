@@ -135,9 +135,8 @@ def parameter_table(spark) -> DataFrame:
 def table_log_likelihoods(features: DataFrame, params: DataFrame) -> DataFrame:
     """Per-class log likelihood of ungated features under a parameter table.
 
-    ``params`` holds (class, feature, mean, std) and may name any class or
-    feature; it is pivoted to one row per class, so the frames are multiplied by
-    the number of classes only.
+    ``params`` holds (class, feature, mean, std) of any classes; it is pivoted to
+    one array of classes, a scalar, so frames only multiply by the class count.
     """
     names = ["ear", "pitch_deg", "rppg_hr_bpm", "ser_2_6hz", "psi"]
     wide = params.groupBy("class").agg(
@@ -147,11 +146,11 @@ def table_log_likelihoods(features: DataFrame, params: DataFrame) -> DataFrame:
     per_class = wide.agg(
         F.array_sort(F.collect_list(F.struct("class", *[c for c in wide.columns if c != "class"]))).alias("_params")
     )
-    joined = features.crossJoin(per_class).withColumn("_p", F.explode("_params"))
+    joined = features.withColumn("_p", F.explode(per_class.scalar()))
     terms = [
         f"coalesce(-ln(_p._s_{n} * sqrt(2 * pi())) - power(({n} - _p._m_{n}) / _p._s_{n}, 2) / 2, 0D)"
         for n in names
     ]
     return joined.withColumns(
         {"class": F.col("_p.class"), "log_likelihood": F.expr(" + ".join(terms))}
-    ).drop("_p", "_params")
+    ).drop("_p")

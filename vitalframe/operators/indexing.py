@@ -1,7 +1,7 @@
 """Row positions, running carries and chunk keys that never need one task per key.
 
 A plain ``row_number() over (partition by key)`` sends a whole key to one task.
-The operators here cut every key into ordered buckets, aggregate per bucket
+The operators here cut hot keys into ordered buckets, aggregate per bucket
 (combined map-side), run the cumulative step over the short bucket summary, and
 join the carry back on (key, bucket).  Results equal the plain window.
 """
@@ -17,6 +17,31 @@ from vitalframe.config import SessionLayout
 
 BUCKET = "_bucket"
 CHUNK = "_chunk"
+HOT_ROWS = 2_000_000
+
+
+def split_hot_keys(
+    df: DataFrame, keys: Sequence[str], bucket: Column, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """Add ``_bucket``: ``bucket`` for keys with more than ``hot_rows`` rows, else one bucket.
+
+    The list of hot keys has at most rows / hot_rows entries, a bound that holds
+    for any data, so it is broadcast and the rows are not shuffled for it.  With
+    ``hot_rows=None`` every key is cut.
+    """
+    if hot_rows is None:
+        return df.withColumn(BUCKET, bucket)
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    marked = df.withColumn(BUCKET, bucket).join(F.broadcast(hot), list(keys), "left")
+    kind = marked.schema[BUCKET].dataType
+    return marked.withColumn(
+        BUCKET, F.when(F.col("_hot"), F.col(BUCKET)).otherwise(F.lit(0).cast(kind))
+    ).drop("_hot")
 
 
 def bucket_carry(
@@ -25,6 +50,7 @@ def bucket_carry(
     bucket: Column,
     totals: dict[str, tuple[Column, str]],
     attach: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add, per row, the aggregate over all earlier buckets of its key.
 
@@ -35,7 +61,7 @@ def bucket_carry(
     """
     agg = {"sum": F.sum, "max": F.max, "min": F.min}
     keys = list(keys)
-    tagged = df.withColumn(BUCKET, bucket)
+    tagged = split_hot_keys(df, keys, bucket, hot_rows)
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -60,16 +86,18 @@ def dense_index(
     name: str = "pos",
     start: int = 0,
     attach: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Dense position of each row within its key.
 
     ``bucket`` must grow with ``order``: rows of a lower bucket sort before rows
-    of a higher one.  Only one (key, bucket) is ever sorted by one task.
+    of a higher one.  Only one (key, bucket) is ever sorted by one task; with
+    ``hot_rows`` only keys above that many rows are cut.
     """
     keys = list(keys)
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     return (
-        bucket_carry(df, keys, bucket, {"_before": (F.lit(1), "sum")}, attach)
+        bucket_carry(df, keys, bucket, {"_before": (F.lit(1), "sum")}, attach, hot_rows)
         .withColumn(
             name,
             F.coalesce("_before", F.lit(0)) + F.row_number().over(inside) + F.lit(start - 1),
@@ -86,6 +114,7 @@ def running_max_before(
     bucket: Column,
     value: Column,
     name: str,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Largest ``value`` among strictly earlier rows of the key (null if none)."""
     keys = list(keys)
@@ -95,7 +124,13 @@ def running_max_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        bucket_carry(df.withColumn("_value", value), keys, bucket, {"_carry": (F.col("_value"), "max")})
+        bucket_carry(
+            df.withColumn("_value", value),
+            keys,
+            bucket,
+            {"_carry": (F.col("_value"), "max")},
+            hot_rows=hot_rows,
+        )
         .withColumn(name, F.greatest("_carry", F.max("_value").over(inside)))
         .drop("_carry", "_value", BUCKET)
     )

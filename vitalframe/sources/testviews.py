@@ -173,10 +173,10 @@ frames_v AS (
 def pulse_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as pulse readings per user, in event order within the user.
 
-    Positions are made by ``dense_index`` with one bucket per day, so a user with
-    a large share of all events is spread over many tasks.
+    Positions are made by ``dense_index``; a user with millions of events is cut by
+    the minute and spread over many tasks.
     """
-    from vitalframe.operators.indexing import dense_index
+    from vitalframe.operators.indexing import HOT_ROWS, dense_index
 
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     rows = ev.select(
@@ -185,8 +185,10 @@ def pulse_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         (F.lit(50.0) + F.col("value") / 2.0).alias("hr"),
     )
-    day = F.unix_date(F.to_date("ts"))
-    return dense_index(rows, ["session_id"], ["ts", "event_id"], day, "idx")
+    minute = F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp")))
+    return dense_index(
+        rows, ["session_id"], ["ts", "event_id"], minute, "idx", hot_rows=HOT_ROWS
+    )
 
 
 PULSE_SQL = """pulse AS (
@@ -197,7 +199,7 @@ PULSE_SQL = """pulse AS (
 
 def body_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as a body-sensor log: a subject per supplier, three channels, a label."""
-    from vitalframe.operators.indexing import dense_index
+    from vitalframe.operators.indexing import HOT_ROWS, dense_index
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"]
     rows = table(spark, sf_dir, "lineitem").select(
@@ -209,7 +211,7 @@ def body_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linenumber") - 1).alias("activity_label"),
     )
     slab = F.floor(F.col("l_orderkey") / F.lit(1 << 15))
-    return dense_index(rows, ["subject_id"], order, slab, "idx").select(
+    return dense_index(rows, ["subject_id"], order, slab, "idx", hot_rows=HOT_ROWS).select(
         "subject_id", "idx", "acc_x", "acc_y", "acc_z", "activity_label"
     )
 
