@@ -20,28 +20,14 @@ CHUNK = "_chunk"
 HOT_ROWS = 2_000_000
 
 
-def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], bucket: Column, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """Add ``_bucket``: ``bucket`` for keys with more than ``hot_rows`` rows, else one bucket.
-
-    The list of hot keys has at most rows / hot_rows entries, a bound that holds
-    for any data, so it is broadcast and the rows are not shuffled for it.  With
-    ``hot_rows=None`` every key is cut.
-    """
-    if hot_rows is None:
-        return df.withColumn(BUCKET, bucket)
-    hot = (
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them, for any data."""
+    return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
         .select(*keys, F.lit(True).alias("_hot"))
     )
-    marked = df.withColumn(BUCKET, bucket).join(F.broadcast(hot), list(keys), "left")
-    kind = marked.schema[BUCKET].dataType
-    return marked.withColumn(
-        BUCKET, F.when(F.col("_hot"), F.col(BUCKET)).otherwise(F.lit(0).cast(kind))
-    ).drop("_hot")
 
 
 def bucket_carry(
@@ -58,14 +44,28 @@ def bucket_carry(
     The output is null where no earlier bucket has a value.  Rows also carry
     ``_bucket``; key columns must not be null.  ``attach`` holds one row per key
     whose columns ride along, so they cost no shuffle of the rows.
+
+    With ``hot_rows`` only keys above that many rows are cut; all others are one
+    bucket and need no carry.  The list of hot keys has a proven bound and is
+    broadcast, so the rows are not shuffled for it.
     """
     agg = {"sum": F.sum, "max": F.max, "min": F.min}
     keys = list(keys)
-    tagged = split_hot_keys(df, keys, bucket, hot_rows)
+    tagged = df.withColumn(BUCKET, bucket)
+    counted = tagged
+    if hot_rows is not None:
+        hot = F.broadcast(hot_keys(df, keys, hot_rows))
+        counted = tagged.join(hot, keys, "left_semi")
+        kind = tagged.schema[BUCKET].dataType
+        tagged = (
+            tagged.join(hot, keys, "left")
+            .withColumn(BUCKET, F.when(F.col("_hot"), F.col(BUCKET)).otherwise(F.lit(0).cast(kind)))
+            .drop("_hot")
+        )
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    summary = tagged.groupBy(*keys, BUCKET).agg(
+    summary = counted.groupBy(*keys, BUCKET).agg(
         *[agg[how](value).alias(name) for name, (value, how) in totals.items()]
     )
     carries = summary.select(

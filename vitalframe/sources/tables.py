@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,6 +45,28 @@ def read_ecg(
     return ecg, beats
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; a local one only where that is unset
+    and the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """Write rows to the shared folder and go on from there.
+
+    For a table that several branches of a plan read: it is computed once, and a
+    lost executor costs a re-read.
+    """
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     """Sessions, splits or subjects of several scans by column name."""
     out = parts[0]
