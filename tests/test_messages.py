@@ -11,7 +11,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-import reference_walk as walk
+import stepwise as walk
 from vitalframe import schemas
 from vitalframe.functions import codec, signal_map
 from vitalframe.operators.audit import audit, frame_checks, number_senders

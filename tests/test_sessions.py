@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import reference_walk as walk
+import stepwise as walk
 from vitalframe import config as C
 from vitalframe.config import SessionLayout
 from vitalframe.operators.intervals import active_intervals, thin_irregular, thin_regular
