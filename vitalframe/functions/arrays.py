@@ -24,15 +24,18 @@ def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets[:-1], lengths
 
 
-def blocks(columns: list[pa.Array]):
-    """Row numbers and a [rows, columns, n] block for each list length in a batch."""
+def blocks(columns: list[pa.Array], most: int = 1024):
+    """Row numbers and [rows, columns, n] blocks of equally long lists, ``most`` rows each."""
     parts = [list_parts(c) for c in columns]
     lengths = parts[0][2]
     for n in np.unique(lengths):
-        rows = np.flatnonzero(lengths == n)
-        spots = np.arange(n)
-        block = np.stack([values[starts[rows][:, None] + spots] for values, starts, _ in parts], axis=1)
-        yield rows, block.astype(float, copy=False)
+        same, spots = np.flatnonzero(lengths == n), np.arange(n)
+        for at in range(0, len(same), most):
+            rows = same[at : at + most]
+            block = np.stack(
+                [values[starts[rows][:, None] + spots] for values, starts, _ in parts], axis=1
+            )
+            yield rows, block.astype(float, copy=False)
 
 
 def block_stats(block: np.ndarray) -> np.ndarray:
@@ -81,6 +84,29 @@ def stat(stats: Column | str, name: str) -> Column:
     return F.get(stats, F.lit(STATS.index(name)))
 
 
+def grouped_stats(sizes: list[int]):
+    """Arrow UDF: struct of channel arrays -> mean, deviation, RMS and peak-to-peak.
+
+    Channels come in groups of the given sizes; a group's values are listed statistic
+    by statistic.
+    """
+
+    @arrow_udf(DOUBLES)
+    def vector(signals: pa.Array) -> pa.Array:
+        if isinstance(signals, pa.ChunkedArray):
+            signals = signals.combine_chunks()
+        out = np.zeros((len(signals), 4 * sum(sizes)))
+        for rows, block in blocks(signals.flatten()):
+            stats, at = block_stats(block)[:, :, :4], 0
+            for size in sizes:
+                part = stats[:, at : at + size].transpose(0, 2, 1).reshape(len(rows), 4 * size)
+                out[rows, 4 * at : 4 * (at + size)] = part
+                at += size
+        return list_column(out)
+
+    return vector
+
+
 @arrow_udf(DOUBLES)
 def triple_vectors(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array) -> pa.Array:
     """30 features of two axis triples: per triple four statistics of each axis, then

@@ -146,43 +146,6 @@ def array_majority(labels: Column) -> Column:
     return -F.array_max(ranked)["low"]
 
 
-def labelled_windows(
-    samples: DataFrame,
-    keys: Sequence[str],
-    idx: str,
-    channels: Sequence[str],
-    arrays: Sequence[str],
-    label: str,
-    spec: Windowing,
-) -> DataFrame:
-    """Statistics, majority label and the sample arrays of some channels per window.
-
-    One pass: a pane keeps its statistics and at most ``spec.pane`` samples of the
-    array channels and the label; nothing is joined back.
-    """
-    keys = list(keys)
-    packed = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(label).alias("label"), *arrays)))
-    panes = samples.groupBy(*keys, spec.pane_of(F.col(idx)).alias(PANE)).agg(
-        F.count(F.lit(1)).alias("_n"), *_pane_stats(channels), packed.alias("_samples")
-    )
-    merged = (
-        spec.spread(panes.filter(F.col("_n") == spec.pane))
-        .groupBy(*keys, WIN)
-        .agg(
-            F.count(F.lit(1)).alias("_panes"),
-            *_merged_stats(channels),
-            F.flatten(F.sort_array(F.collect_list("_samples"))).alias("_samples"),
-        )
-        .filter(F.col("_panes") == spec.panes_per_window)
-    )
-    return merged.withColumns(
-        {
-            label: array_majority(F.col("_samples.label")),
-            **{a: F.col(f"_samples.{a}") for a in arrays},
-        }
-    ).drop("_panes", "_samples")
-
-
 def majority_label(
     samples: DataFrame, keys: Sequence[str], idx: str, label: str, spec: Windowing
 ) -> DataFrame:
