@@ -58,6 +58,12 @@ def joined_small(large: DataFrame, small: DataFrame, on: list[str], rows: int, l
     return large.join(F.broadcast(small) if rows <= limit else small, on)
 
 
+def only(large: DataFrame, ids: DataFrame, key: str, limit: int = 500_000) -> DataFrame:
+    """Rows of ``large`` whose key is in the stored, distinct ``ids``: broadcast while these are at most ``limit``
+    numbers (some 10 MB), else by shuffle."""
+    return large.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")
+
+
 # --- numpy helpers for Arrow batches -------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vitalframe.llm import mixing
+from vitalframe.llm import linededup, minhash, mixing, toxicity
 
 
 def registry() -> dict:
     """Name -> (callable(spark, table directory), SQL or None)."""
     return {
+        "op2_lines": (linededup.op2_lines, linededup.OP2_SQL),
+        "op7_minhash": (minhash.op7_minhash, None),
+        "op9_toxicity": (toxicity.op9_toxicity, None),
         "op8_mixing": (mixing.op8_mixing, mixing.OP8_SQL),
     }
