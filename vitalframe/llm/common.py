@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def only(large: DataFrame, ids: DataFrame, key: str, limit: int = 500_000) -> Da
     return large.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")
 
 
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value of bounded size with the code of its class, so executors need not have this package."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)
+
+
 # --- numpy helpers for Arrow batches -------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from vitalframe.llm import linededup, minhash, mixing, toxicity
+from vitalframe.llm import classlm, decontaminate, langid, linededup, minhash, mixing, mtree, substrings, toxicity
 
 
 def registry() -> dict:
     """Name -> (callable(spark, table directory), SQL or None)."""
     return {
+        "op1_langid": (langid.op1_langid, None),
+        "op3_decontaminate": (decontaminate.op3_decontaminate, None),
+        "op5_substrings": (substrings.op5_substrings, None),
+        "op6_topk": (mtree.op6_topk, mtree.OP6_SQL),
+        "op10_classlm": (classlm.op10_classlm, None),
         "op2_lines": (linededup.op2_lines, linededup.OP2_SQL),
         "op7_minhash": (minhash.op7_minhash, None),
         "op9_toxicity": (toxicity.op9_toxicity, None),
