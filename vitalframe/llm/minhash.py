@@ -33,6 +33,9 @@ SHINGLE = 5
 BANDS = 16  # values per collection
 ROWS = 3  # min-hashes per value
 NUMERATOR, DENOMINATOR = 75, 100
+#: Pairs that meet outside the leader rounds are verified if so many of the 96 min-hashes agree. At similarity 0.75
+#: 72 do on average; fewer than 54 have a chance of 1 in 70,000.
+AGREEING = 54
 #: Rounds in which a table's documents meet one seeded leader before the rest meet each other.
 LEADER_ROUNDS = 2
 
@@ -50,13 +53,14 @@ def text_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(sets) if sets else grams[:0], out
 
 
-def band_values(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, 2 * BANDS) band values; a row of an empty set is meaningless."""
+def band_values(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, 2 * BANDS) band values, and one byte of each min-hash; a row of an empty set is meaningless."""
     n = len(bounds) - 1
     out = np.zeros((n, 2 * BANDS), np.uint64)
+    sketch = np.zeros((n, 2 * BANDS * ROWS), np.uint8)
     full = np.flatnonzero(np.diff(bounds))
     if not len(full):
-        return out
+        return out, sketch
     starts = bounds[:-1][full]
     for k in range(2 * BANDS * ROWS):
         turned = grams * _MULT[k]
@@ -64,13 +68,18 @@ def band_values(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         turned *= _ADD[k] | np.uint64(1)
         low = np.minimum.reduceat(turned, starts)
         out[full, k // ROWS] = mixed(out[full, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + low)
-    return out
+        sketch[full, k] = mixed(low) >> np.uint64(56)
+    return out, sketch
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _rows(values: pa.Array, width: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), values)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (a digest of the whole set) and bands of every document."""
 
@@ -84,18 +93,21 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for k in (3, 5):  # two independent 64-bit sums over the set
                     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(grams * np.uint64(k)), dtype=np.uint64)])
                     keys.append(sums[bounds[1:]] - sums[bounds[:-1]])
-                bands = band_values(grams, bounds)
+                bands, sketch = band_values(grams, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, end - first),
                         pa.array(n.astype(np.int64)),
                         pa.array([f"{a:016x}{b:016x}" if c else None for a, b, c in zip(*keys, n)], pa.string()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, 2 * BANDS, dtype=np.int32)), _signed(bands.reshape(-1))),
+                        _rows(_signed(bands.reshape(-1)), bands.shape[1]),
+                        _rows(pa.array(sketch.reshape(-1).view(np.int8)), sketch.shape[1]),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<tinyint>"
+    )
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -164,7 +176,7 @@ def _labelled(keys: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) that connect all representatives (node, bands) as all links of the tables would."""
+    """Confirmed links (u, v) that connect all representatives (node, bands, sketch) as all links of the tables would."""
     keys = table_keys(reps)
     keys = stored(keys, "tables")
     crowd = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
@@ -189,11 +201,13 @@ def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     rows = stored(_labelled(keys, links), "apart")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed_rows = rows.join(main, "key")
-    outer = mixed_rows.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    # the min-hashes go along, so that pairs that share a common passage and little else are never made
+    several = rows.join(main, "key").join(reps.select("node", "sketch"), "node")
+    outer = several.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
+    agree = F.size(F.filter(F.zip_with("sketch", "sx", lambda a, b: a == b), lambda same: same))
     pairs = (
-        outer.join(mixed_rows, "key")
-        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))))
+        outer.join(several, "key")
+        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))) & (agree >= AGREEING))
         .select(F.greatest("x", "node").alias("u"), F.least("x", "node").alias("v"))
         .distinct()
     )
@@ -210,11 +224,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = stored(signatures(docs), "signatures")
     named = rows.filter("set_key is not null and doc_id is not null")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     repeated = (
         named.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b").select("doc_id")
     )
-    links = node_links(classes.select("node", "bands"), docs)
+    links = node_links(classes.select("node", "bands", "sketch"), docs)
     # classes of other texts under the same id are one node
     ties = named.join(repeated, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
     links = links.unionByName(ties.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
