@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join with prefix, positional and length filters.
 
-A line's tokens are its distinct pairs of neighbouring words; single words are too few to be rare. Lines of
+A line's tokens are its distinct pairs of neighbouring words, A-Z lower-cased; single words are too few to be rare. Lines of
 under MIN_WORDS words are never matched. A line goes if an earlier line, in the order (doc_id, line number),
 has a token set of Jaccard similarity THRESHOLD or more.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import GAP, LOWER, UPPER, documents, only, stored
+from vitalframe.llm.common import GAP, LOWER, UPPER, WORD, documents, only, stored
 
 MIN_WORDS = 5
 #: Jaccard threshold in hundredths.
@@ -23,26 +23,28 @@ THRESHOLD = 85
 BUCKETS = 1 << 16
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, UPPER, LOWER), GAP), lambda w: w != "")
+def _pairs(words: Column) -> Column:
+    """64-bit hashes of neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.xxhash64(x, y))
 
 
-def _pairs(line: Column) -> Column:
-    """64-bit hashes of the line's word pairs."""
-    w = line_words(line)
-    # let-binding: the inner lambda sees the words once
-    return F.flatten(F.transform(F.array(w), lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, ws[i + 1]))))
+def each_line(docs: DataFrame, make) -> DataFrame:
+    """(doc_id, line_no, made): ``make(words)`` of every line with at least MIN_WORDS words.
 
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line with at least MIN_WORDS words."""
+    The words are bound once by an array of one element and a generator, so no later step splits a line again.
+    """
     rows = docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_WORDS)
+    # lower() is much the faster, and the same where all is ASCII
+    folded = F.when(F.length("line") == F.octet_length("line"), F.lower("line")).otherwise(F.translate("line", UPPER, LOWER))
+    words = F.array_remove(F.split(folded, GAP), "")
+    enough = F.filter(F.array(words), lambda w: F.size(w) >= MIN_WORDS)
+    return rows.select("doc_id", "line_no", F.explode(F.transform(enough, make)).alias("made"))
 
 
 def rarity(docs: DataFrame) -> Column:
     """Array literal: the rarity class (four per doubling) of each bucket of token hashes, counted over all lines."""
-    tokens = lines_of(docs).select(F.explode(_pairs(F.col("line"))).alias("t"))
+    tokens = each_line(docs, _pairs).select(F.explode("made").alias("t"))
     counts = tokens.groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     classes = ["0"] * BUCKETS
     for row in counts.select("b", F.floor(F.log2("n") * 4).cast("int").alias("c")).toLocalIterator():
@@ -50,16 +52,13 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
 
-def token_set(line: Column, classes: Column) -> Column:
-    """The line's distinct tokens, rarest first: class above, 54 bits of hash below."""
-    return F.array_sort(
-        F.array_distinct(
-            F.transform(
-                _pairs(line),
-                lambda t: F.shiftleft(F.get(classes, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 54) + t.bitwiseAND((1 << 54) - 1),
-            )
-        )
-    )
+def token_sets(docs: DataFrame, classes: Column) -> DataFrame:
+    """(doc_id, line_no, tokens) of all lines: distinct tokens, rarest first: class above, 54 bits of hash below."""
+
+    def ranked(t: Column) -> Column:
+        return F.shiftleft(F.get(classes, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 54) + t.bitwiseAND((1 << 54) - 1)
+
+    return each_line(docs, lambda w: F.sort_array(F.array_distinct(F.transform(_pairs(w), ranked)))).withColumnRenamed("made", "tokens")
 
 
 def _required(n: Column, m: Column) -> Column:
@@ -76,8 +75,7 @@ def _sets_for(docs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
     """(doc_id, line_no, tokens) of the given lines, read again from the texts."""
     lines = stored(lines, "wanted-lines")
     ids = stored(lines.select("doc_id").distinct(), "wanted-docs")
-    rows = lines_of(only(docs.select("doc_id", "text"), ids, "doc_id"))
-    return stored(rows.join(lines, ["doc_id", "line_no"]).select("doc_id", "line_no", token_set(F.col("line"), classes).alias("tokens")), "line-sets")
+    return stored(token_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), classes).join(lines, ["doc_id", "line_no"]), "line-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
@@ -105,7 +103,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets that found no match that way meet all earlier ones that share a token.
     """
     classes = rarity(docs)
-    lines = lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), classes).alias("tokens"))
+    lines = token_sets(docs, classes)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * THRESHOLD / F.lit(100.0) - 1e-9) + 1).cast("int"))
     lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), prefix.alias("prefix"))
@@ -113,6 +111,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = stored(first.select("s.*"), "first-lines")
 
     postings = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("at", "token"))
+    # one exchange serves the count and the join
+    postings = postings.repartition("token")
     crowd = postings.groupBy("token").agg(F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     postings = stored(postings.join(crowd, "token"), "postings")
 
@@ -135,7 +135,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     seen = docs.filter("text is not null and doc_id is not null").select(
         "doc_id",
         F.filter(
-            F.transform(F.split("text", "\n"), lambda x, i: F.when(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_WORDS, i)),
+            F.transform(F.split("text", "\n"), lambda x, i: F.when(F.regexp_count(x, F.lit(WORD)) >= MIN_WORDS, i)),
             lambda i: i.isNotNull(),
         ).alias("seen"),
     )
