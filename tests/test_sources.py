@@ -78,11 +78,11 @@ def test_header_order_across_splits(spark, tmp_path):
     assert [(r["idx"], r["t"], r["hr"]) for r in got] == [(i, i / 10, 60.0 + i % 30) for i in range(3000)]
 
 
-def test_resolve_column():
-    assert heart_rate.resolve_column(["A", "Heart-Rate"], heart_rate.HEART_RATE_ALIASES, True) == "Heart-Rate"
-    assert heart_rate.resolve_column(["hr", "heart_rate"], heart_rate.HEART_RATE_ALIASES) == "hr"
-    assert heart_rate.resolve_column(["my heart rate x"], heart_rate.HEART_RATE_ALIASES, True) == "my heart rate x"
-    assert heart_rate.resolve_column(["HR"], heart_rate.TIME_ALIASES) is None
+def test_header_positions(spark):
+    rows = [(["A", "Heart-Rate"],), (["heart_rate", "hr"],), (["time", "my heart rate x"],), (["x", " HR_raw "],), (["Timestamp"],)]
+    names = spark.createDataFrame(rows, "names array<string>")
+    got = names.select(heart_rate.pulse_position(names.names).alias("hr"), heart_rate.time_position(names.names).alias("t")).collect()
+    assert [(r.hr, r.t) for r in got] == [(1, None), (1, None), (1, 0), (1, None), (None, 0)]
 
 
 def test_samples_only(spark):

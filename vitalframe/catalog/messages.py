@@ -163,12 +163,12 @@ def encode_round_trip(spark, sf):
     """Decoded status frames encoded again give the same bytes."""
     rows = signal_map.decode(V.raw_bus_view(spark, sf), 289, named=False).withColumn("before", F.hex("payload"))
     return signal_map.encode(rows.drop("payload"), 289).select(
-        "event_id", "before", F.hex("payload").alias("after")
+        "event_id", "before", F.hex("payload").alias("after"), F.size("saturated").alias("n_saturated")
     )
 
 
 _BYTES = " || ".join(be_sql(f"x >> {8 * b}", 1) for b in range(8))
-ROUND_TRIP = f"""WITH {V.RAW_BUS_SQL} SELECT event_id, {_BYTES} AS before, {_BYTES} AS after FROM raw WHERE arb_id = 289"""
+ROUND_TRIP = f"""WITH {V.RAW_BUS_SQL} SELECT event_id, {_BYTES} AS before, {_BYTES} AS after, 0 AS n_saturated FROM raw WHERE arb_id = 289"""
 
 
 def signal_dictionary(spark, sf):

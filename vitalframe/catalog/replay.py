@@ -38,7 +38,7 @@ PARSING = f"""WITH {V.PULSE_SQL} SELECT event_id, CASE WHEN {_CELL_OK} THEN roun
 
 
 def _rows(spark, sf):
-    """Sessions of users; every third has no pulse column and takes samples by position."""
+    """Sessions of users; every third has no pulse column and takes samples by position, where there are any."""
     cells = _text_cells(spark, sf)
     rows = cells.select(
         F.col("session_id").cast("string").alias("session_id"),
@@ -47,7 +47,7 @@ def _rows(spark, sf):
         finite_or_null(F.col("cell")).alias("hr"),
         (F.col("session_id") % 3 != 0).alias("has_hr"),
     )
-    samples = cells.filter("idx < 30").select(
+    samples = cells.filter("session_id % 5 <> 0").select(
         F.col("session_id").cast("string").alias("session_id"), "idx", (F.col("hr") - 10.0).alias("hr")
     )
     return H.fill_missing_hr(rows, samples)
@@ -57,7 +57,7 @@ ROWS_SQL = f"""{V.PULSE_SQL},
 prow AS (SELECT CAST(session_id AS VARCHAR) AS session_id, idx,
     CASE WHEN event_id % 31 <> 0 THEN idx / 10.0::DOUBLE + 100.0::DOUBLE ELSE idx / 10.0::DOUBLE END AS t,
     CASE WHEN session_id % 3 <> 0 THEN CASE WHEN {_CELL_OK} THEN hr END
-         WHEN idx < 30 THEN hr - 10.0::DOUBLE END AS raw FROM pulse),
+         WHEN session_id % 5 <> 0 THEN hr - 10.0::DOUBLE END AS raw FROM pulse),
 pf AS (SELECT *, greatest(0.0::DOUBLE, coalesce(raw, 74.0::DOUBLE)) AS hr,
     CASE WHEN raw IS NULL THEN 'imputed' ELSE 'measured' END AS hr_status FROM prow)"""
 

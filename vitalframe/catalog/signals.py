@@ -139,8 +139,8 @@ def _axes(spark, sf, axes):
 
 
 def _axes_sql(axes: int) -> str:
-    return f"""ax0 AS (SELECT vec_id // {axes} AS row_idx, vec_id % {axes} AS axis, embedding AS v FROM embeddings),
-ax AS (SELECT * FROM ax0 WHERE row_idx IN (SELECT row_idx FROM ax0 GROUP BY row_idx HAVING count(*) = {axes}))"""
+    return f"""ax AS (SELECT vec_id // {axes} AS row_idx, vec_id % {axes} AS axis, embedding AS v FROM embeddings),
+whole AS (SELECT row_idx, count(*) = {axes} AS is_whole FROM ax GROUP BY row_idx)"""
 
 
 def seizure_ratio(spark, sf):
@@ -150,7 +150,7 @@ def seizure_ratio(spark, sf):
 
 
 SEIZURE_RATIO = f"""WITH {_axes_sql(3)}, {spectrum_sql('ax', 'row_idx', 100.0, '1e-6', True)}
-SELECT row_idx, round(ratio, 6) AS ratio FROM ratio"""
+SELECT row_idx, CASE WHEN is_whole THEN round(ratio, 6) END AS ratio FROM ratio JOIN whole USING (row_idx)"""
 
 
 def generic_band_ratio(spark, sf):
@@ -188,7 +188,7 @@ SELECT row_idx, """ + ", ".join(f"max(m) FILTER (axis = {a}) AS mean_{a}" for a
 def posture_vectors(spark, sf):
     """All 30 posture features per window, one row per feature."""
     rows = activity.posture_windows(_axes(spark, sf, 6), [str(a) for a in range(6)])
-    return rows.select("row_idx", F.posexplode("features").alias("feature", "value")).withColumn(
+    return rows.select("row_idx", F.posexplode_outer("features").alias("feature", "value")).withColumn(
         "value", F.round("value", 6)
     )
 
@@ -209,7 +209,18 @@ def _posture_sql() -> str:
                 f"(SELECT row_idx, i, sqrt(sum(x * x)) AS m FROM lng WHERE axis BETWEEN {g} AND {g + 2} "
                 f"GROUP BY row_idx, i) GROUP BY row_idx"
             )
-    return f"WITH {_axes_sql(6)}, lng AS (SELECT row_idx, axis, i, v[i]::DOUBLE AS x FROM ax, range(1, 65) r(i)) " + " UNION ALL ".join(parts)
+    # a triple that lacks an axis tells nothing; one that lacks all is zero
+    torn = "SELECT row_idx FROM ax GROUP BY row_idx HAVING count(*) FILTER (axis < 3) IN (1, 2) OR count(*) FILTER (axis > 2) IN (1, 2)"
+    parts.append("SELECT row_idx, NULL AS feature, NULL AS value FROM torn")
+    parts.append(
+        "SELECT row_idx, f AS feature, 0.0 AS value FROM (SELECT row_idx, count(*) FILTER (axis < 3) AS a, count(*) FILTER (axis > 2) AS b "
+        "FROM ax WHERE row_idx NOT IN (FROM torn) GROUP BY row_idx), range(0, 30) r(f) WHERE CASE WHEN f < 15 THEN a ELSE b END = 0"
+    )
+    return (
+        f"WITH {_axes_sql(6)}, torn AS ({torn}), "
+        "lng AS (SELECT row_idx, axis, i, v[i]::DOUBLE AS x FROM ax, range(1, 65) r(i) WHERE row_idx NOT IN (FROM torn)) "
+        + " UNION ALL ".join(parts)
+    )
 
 
 ECG = W.Windowing(640, 640)

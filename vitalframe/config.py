@@ -55,10 +55,7 @@ ALERT_BYTES = 76
 ETIOLOGY_CODES = {"Syncope": 1, "Seizure": 2}
 ETIOLOGY_OTHER = 0xFF
 
-SECURITY_LINE = (
-    "[SECURITY EXCEPTION t=%.2fs] Optical Laser Spoofing Intercepted: "
-    "rPPG=0 BPM vs Grip=ACTIVE, Torque=%.2f Nm. MRM Suppressed."
-)
+SECURITY_LINE = "camera blinding at %.2f s: no pulse while the wheel is held with %.2f Nm; no manoeuvre started"
 
 CLASSES = ("Normal", "Syncope", "Seizure")
 

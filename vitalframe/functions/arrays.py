@@ -24,12 +24,22 @@ def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets[:-1], lengths
 
 
+def uneven(columns: list[pa.Array]) -> np.ndarray:
+    """Rows whose lists differ in length; a null list has length 0."""
+    lengths = [list_parts(c)[2] for c in columns]
+    return np.any([n != lengths[0] for n in lengths], axis=0)
+
+
 def blocks(columns: list[pa.Array], most: int = 1024):
-    """Row numbers and [rows, columns, n] blocks of equally long lists, ``most`` rows each."""
+    """Row numbers and [rows, columns, n] blocks of equally long lists, ``most`` rows each.
+
+    Rows whose columns differ in length belong to no block; ``uneven`` tells them.
+    """
     parts = [list_parts(c) for c in columns]
     lengths = parts[0][2]
-    for n in np.unique(lengths):
-        same, spots = np.flatnonzero(lengths == n), np.arange(n)
+    even = ~uneven(columns)
+    for n in np.unique(lengths[even]):
+        same, spots = np.flatnonzero(even & (lengths == n)), np.arange(n)
         for at in range(0, len(same), most):
             rows = same[at : at + most]
             block = np.stack(
@@ -88,7 +98,7 @@ def grouped_stats(sizes: list[int]):
     """Arrow UDF: struct of channel arrays -> mean, deviation, RMS and peak-to-peak.
 
     Channels come in groups of the given sizes; a group's values are listed statistic
-    by statistic.
+    by statistic.  Channels of different lengths give null.
     """
 
     @arrow_udf(DOUBLES)
@@ -102,7 +112,7 @@ def grouped_stats(sizes: list[int]):
                 part = stats[:, at : at + size].transpose(0, 2, 1).reshape(len(rows), 4 * size)
                 out[rows, 4 * at : 4 * (at + size)] = part
                 at += size
-        return list_column(out)
+        return list_column(out, uneven(signals.flatten()))
 
     return vector
 
@@ -110,8 +120,10 @@ def grouped_stats(sizes: list[int]):
 @arrow_udf(DOUBLES)
 def triple_vectors(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array) -> pa.Array:
     """30 features of two axis triples: per triple four statistics of each axis, then
-    mean, deviation and maximum of the magnitude.  A missing triple gives zeros."""
+    mean, deviation and maximum of the magnitude.  A missing triple gives zeros, axes of
+    different lengths within a triple give null."""
     out = np.zeros((len(a), 30))
+    torn = uneven([a, b, c]) | uneven([d, e, f])
     for base, triple in ((0, [a, b, c]), (15, [d, e, f])):
         for rows, block in blocks(triple):
             if not block.shape[-1]:
@@ -122,4 +134,4 @@ def triple_vectors(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Arr
             out[rows, base + 12 : base + 15] = np.stack(
                 [length.mean(axis=1), length.std(axis=1), length.max(axis=1)], axis=1
             )
-    return list_column(out)
+    return list_column(out, torn)

@@ -133,12 +133,13 @@ def decode(bus: DataFrame, arb_id: int, named: bool = True) -> DataFrame:
 
 
 def encode(rows: DataFrame, arb_id: int) -> DataFrame:
-    """Add ``payload`` from physical signal columns; values are held in field range."""
-    raws = {}
+    """Add ``payload`` from physical signal columns, and ``saturated``: the signals held at the end of their range."""
+    raws, beyond = {}, []
     for name, _, length, scale, offset, *_ in SIGNALS[arb_id]:
         steps = F.rint((F.col(name) - F.lit(offset)) / F.lit(scale)).cast("long")
+        beyond.append(F.when((steps < 0) | (steps >= 1 << length), F.lit(name)))
         raws[f"_raw_{name}"] = F.greatest(F.lit(0), F.least(F.lit((1 << length) - 1), steps))
-    rows = rows.withColumns(raws)
+    rows = rows.withColumns(raws | {"saturated": F.array_compact(F.array(*beyond))})
     parts = []
     for index in range(8):
         fields = []

@@ -10,7 +10,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from vitalframe import config as C
-from vitalframe.functions.arrays import blocks
+from vitalframe.functions.arrays import blocks, uneven
 
 BAND_HZ = (2.0, 6.0)
 TOTAL_HZ = (0.5, 20.0)
@@ -48,7 +48,7 @@ def _ratio_udf(fs: float, min_samples: int, max_segment: int, floor: float, clip
         for rows, block in blocks(axes):
             if block.shape[-1] >= min_samples:
                 out[rows] = ratio_of_block(block, fs, max_segment, floor, clip)
-        return pa.array(out)
+        return pa.array(out, mask=uneven(axes))
 
     @arrow_udf(DoubleType())
     def one_axis(x: pa.Array) -> pa.Array:
@@ -62,12 +62,12 @@ def _ratio_udf(fs: float, min_samples: int, max_segment: int, floor: float, clip
 
 
 def seizure_energy_ratio(*axes: Column, fs: float = C.IMU_RATE_HZ) -> Column:
-    """Clonic band share of a motion window, 0 below 32 samples or when silent."""
+    """Clonic band share of a motion window, 0 below 32 samples or when silent, null if the axes differ in length."""
     return _ratio_udf(fs, 32, 64, 1e-6, True)[len(axes)](*axes)
 
 
 def band_ratio(*axes: Column, fs: float) -> Column:
-    """Generic band ratio, 0 below 16 samples; not clipped."""
+    """Generic band ratio, 0 below 16 samples, null if the axes differ in length; not clipped."""
     return _ratio_udf(fs, 16, 128, 1e-12, False)[len(axes)](*axes)
 
 

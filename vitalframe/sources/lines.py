@@ -37,21 +37,22 @@ def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     ).select("path", "idx", "value")
 
 
-def with_headers(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, idx, value, header): data lines numbered from 0, each with its file's header.
+def with_headers(spark: SparkSession, path: str, glob: str, of_header: dict[str, Column]) -> DataFrame:
+    """(path, idx, value, ...): data lines numbered from 0, each with what its file's ``header`` tells.
 
-    The header travels with the per-split offsets, one row per split of a file.
+    ``of_header`` is evaluated once per file and travels with the per-split offsets, one row per split.
     """
     lines = raw_lines(spark, path, glob)
     heads = (
         lines.filter("block = 0")
         .groupBy("path")
         .agg(F.min_by("value", "row").alias("header"))
+        .select("path", *[c.alias(name) for name, c in of_header.items()])
     )
     numbered = dense_index(
         lines, ["path"], ["row"], F.col("block"), "idx", start=-1, attach=heads
     )
-    return numbered.filter("idx >= 0").select("path", "idx", "value", "header")
+    return numbered.filter("idx >= 0").select("path", "idx", "value", *of_header)
 
 
 def fields(line: Column) -> Column:
