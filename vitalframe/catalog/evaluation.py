@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe import config as C
 from vitalframe.catalog.common import SESSION, frames, responses, timeline_sql, trials_sql
+from vitalframe.catalog.messages import KEY
 from vitalframe.operators import evaluate as E
 from vitalframe.operators.splits import group_split, stratified_split
 from vitalframe.sources.tables import union_all
@@ -31,7 +32,7 @@ TRIAL_COLUMNS = [
 
 
 def trials(spark, sf):
-    return E.trial_summary(responses(spark, sf), SESSION)
+    return E.trial_summary(responses(spark, sf), SESSION, KEY)
 
 
 def trial_summary(spark, sf):

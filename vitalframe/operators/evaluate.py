@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe import config as C
+from vitalframe.functions.codec import alert_bytes, alert_header_hex, command_bytes
 from vitalframe.functions.numeric import half_even, safe_ratio
+from vitalframe.operators.audit import frame_checks
 
 
 def modal_class(
@@ -30,20 +32,30 @@ def modal_class(
     )
 
 
-def trial_summary(timeline: DataFrame, keys: Sequence[str]) -> DataFrame:
+def trial_summary(timeline: DataFrame, keys: Sequence[str], key: bytes) -> DataFrame:
     """One row per trial from its decided and responded frames.
 
     ``timeline`` is the output of ``respond`` with ``scenario``, ``seed`` and
     ``expected_class``.  Class counts are aggregated first, so that a trial's
-    frames are combined before they meet.
+    frames are combined before they meet.  At the first trigger the alert is packed and
+    measured, and a command frame is packed and put through the bus checks with ``key``.
     """
     keys = list(keys)
+    first_frame = F.struct(
+        "t",
+        "seq",
+        "active_class",
+        "top_confidence",
+        (F.col("persistence_seconds") * 1000).cast("int").alias("latency_ms"),
+        F.unix_timestamp("event_time").alias("epoch_s"),
+        "longitudinal_accel_mss",
+        "hazard_flashers_active",
+    )
     after = F.col("t") >= C.EVENT_ONSET_S
-    trigger_t = F.when(F.col("mrm_trigger_flag"), F.col("t"))
     per_class = timeline.groupBy(*keys, "active_class").agg(
         F.count_if(after).alias("_n"),
         F.min(F.when(after, F.col("seq"))).alias("_seen"),
-        F.min(trigger_t).alias("_first"),
+        F.min(F.when(F.col("mrm_trigger_flag"), first_frame)).alias("_first"),
         F.max("seq").alias("_last"),
         F.count(F.lit(1)).alias("frames"),
         F.max_by("mrm_state", "seq").alias("_state"),
@@ -63,20 +75,45 @@ def trial_summary(timeline: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max_by("_state", "_last").alias("_state"),
         F.max_by("_lateral", "_last").alias("_lateral"),
     )
+    alert = alert_bytes(
+        key, alert_header_hex(*[F.col(f"_first.{c}") for c in ("active_class", "top_confidence", "latency_ms", "epoch_s")])
+    )
+    command = command_bytes(
+        key,
+        F.lit(C.COUNTER_START + 1),
+        F.lit(C.COMMAND_STATE_CODE),
+        F.col("_first.longitudinal_accel_mss"),
+        F.col("_first.hazard_flashers_active"),
+    )
+    trials = frame_checks(
+        trials.withColumns(
+            {
+                "arb_id": F.lit(C.COMMAND_ARB_ID),
+                "freshness_counter": F.lit(C.COUNTER_START + 1),
+                "payload": command,
+                "dlc": F.octet_length(command),
+                "_alert": F.octet_length(alert),
+            }
+        ),
+        key,
+    )
+    checked = F.col("id_ok") & F.col("length_ok") & F.col("tag_ok") & F.col("counter_ok")
     fired = F.col("_first").isNotNull()
     safe = F.col("scenario").isin(*C.SAFE_SCENARIOS)
     return trials.withColumns(
         {
             "mrm_triggered": fired,
-            "detection_latency_s": half_even(F.col("_first") - C.EVENT_ONSET_S, 3),
+            "detection_latency_s": half_even(F.col("_first.t") - C.EVENT_ONSET_S, 3),
             "safe_no_mrm_expected": safe,
             "safe_no_mrm_observed": safe & ~fired,
             "standstill_reached": F.col("_state") == C.PHASES[4],
             "final_lateral_position_m": half_even(F.col("_lateral"), 3),
-            "mec_length_bytes": F.when(fired, F.lit(C.ALERT_BYTES)).otherwise(F.lit(0)),
-            "prototype_can_verification": fired,
+            "mec_length_bytes": F.when(fired, F.col("_alert")).otherwise(F.lit(0)),
+            "prototype_can_verification": fired & F.coalesce(checked, F.lit(False)),
         }
-    ).drop("_first", "_state", "_lateral")
+    ).drop(
+        "_first", "_state", "_lateral", "_alert", "arb_id", "freshness_counter", "payload", "dlc", "id_ok", "length_ok", "tag_ok", "counter_ok"
+    )
 
 
 def pair_counts(rows: DataFrame, actual: str, predicted: str) -> DataFrame:

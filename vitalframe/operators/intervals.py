@@ -13,8 +13,9 @@ def active_intervals(timeline: DataFrame, layout: SessionLayout, active: str) ->
     """[start, end) in session time of runs of active frames.
 
     The end is the first inactive frame, or the session's last frame for a run
-    that is still open.  Only the frames where the flag flips are kept; the k-th
-    rise is paired with the k-th fall.
+    that is still open.  Only the frames where the flag flips, and the last one, are
+    kept; a run ends at the next frame kept.  In chunks, the k-th rise is paired with
+    the k-th fall.
     """
     keys = list(layout.keys)
     rows = chunk_frames(
@@ -24,14 +25,13 @@ def active_intervals(timeline: DataFrame, layout: SessionLayout, active: str) ->
     flips = own_frames(
         rows.withColumn("_was", F.coalesce(F.lag("_on").over(ordered), F.lit(False))), layout
     )
-    last = timeline.groupBy(*keys).agg(F.max_by("t", layout.order).alias("_last_t"))
     if layout.single_chunk:
-        edges = flips.filter(F.col("_on") != F.col("_was"))
         per_session = Window.partitionBy(*keys).orderBy(layout.order)
-        paired = edges.withColumn("_end", F.lead("t").over(per_session)).filter("_on")
-        return paired.join(last, keys).select(
-            *keys, F.col("t").alias("start_t"), F.coalesce("_end", "_last_t").alias("end_t")
-        )
+        flip = F.col("_on") != F.col("_was")
+        edges = flips.withColumns({"_flip": flip, "_last": F.lead("t").over(per_session).isNull()}).filter("_flip or _last")
+        paired = edges.withColumn("_end", F.lead("t").over(per_session)).filter("_on and _flip")
+        return paired.select(*keys, F.col("t").alias("start_t"), F.coalesce("_end", "t").alias("end_t"))
+    last = timeline.groupBy(*keys).agg(F.max_by("t", layout.order).alias("_last_t"))
     bucket = F.floor(F.col(layout.order) / F.lit(layout.chunk_rows))
     rises = dense_index(flips.filter("_on and not _was"), keys, [layout.order], bucket, "_k")
     falls = dense_index(flips.filter("not _on and _was"), keys, [layout.order], bucket, "_k")
