@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import oracle
 from llm import brute
-from vitalframe.llm import classlm, components, decontaminate, induced, langid, linededup, minhash, mixing, mtree, substrings, toxicity
+from vitalframe.llm import classlm, components, decontaminate, induced, langid, linededup, minhash, mixing, mtree, substrings, toxicity, unitdedup
 from vitalframe.llm.registry import registry
 
 REGISTRY = registry()
@@ -299,6 +299,8 @@ def _apply(spark):
         "leaks": lambda d: decontaminate.leaks(d, bench),
         "without_leaks": lambda d: decontaminate.without_leaks(d, bench),
         "substrings": substrings.substring_report,
+        "units": unitdedup.repeated_units,
+        "drop_units": unitdedup.drop_units,
         "near": minhash.near_duplicates,
         "keep_one": minhash.keep_one,
         "mix": mixing.mix_sources,
@@ -308,8 +310,8 @@ def _apply(spark):
     }
 
 
-NAMES = ["langid", "lines", "drop_lines", "leaks", "without_leaks", "substrings", "near", "keep_one", "mix", "toxicity", "clean", "classlm"]
-FILTERS = {"drop_lines", "without_leaks", "keep_one", "clean"}
+NAMES = ["langid", "lines", "drop_lines", "leaks", "without_leaks", "substrings", "units", "drop_units", "near", "keep_one", "mix", "toxicity", "clean", "classlm"]
+FILTERS = {"drop_lines", "drop_units", "without_leaks", "keep_one", "clean"}
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -320,17 +322,19 @@ def test_odd_tables(spark, name):
     if name in FILTERS:
         assert got.columns == docs.columns
         assert any(r.text == LONG for r in rows)
-    elif name != "leaks":
+    elif name not in ("leaks", "units"):
         assert len(rows) == len(ODD)
     by = {r.doc_id: r for r in rows}
     if name == "langid":
         assert by[1].lang_pred == by[2].lang_pred == by[9].lang_pred == "und"
     if name == "lines":
-        assert by[7].removed == [] and by[7].n_near == 0 and by[1].n_lines == 0 and by[2].n_lines == 1
+        assert by[7].removed == [0] and by[7].n_repeated == 1 and by[1].n_lines == 0 and by[2].n_lines == 1
     if name == "leaks":
         assert {(r.doc_id, r.item_id) for r in rows} == {(6, 1)}
     if name == "without_leaks":
         assert len(rows) == len(ODD) - 2
+    if name == "units":
+        assert [tuple(r) for r in rows] == [(7, 0, 49, 6, 0)]
     if name == "substrings":
         assert by[1].n_bytes == 0 and by[8].n_bytes == len(LONG)
     if name == "near":
@@ -349,6 +353,14 @@ def test_empty_tables(spark, name):
     assert _apply(spark)[name](docs).collect() == []
 
 
+def test_units_are_cut_at_their_places(spark):
+    text = "One two three four five six. Ça va? Él y ella son de allí mismo, dice\nONE two  three four five six. End"
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, "So one. él y ella son de allí mismo, dice\nrest", None, None, 2)], DOCS)
+    got = {(r.doc_id, text[r.first : r.end] if r.doc_id == 1 else r.first, r.kept_doc_id) for r in unitdedup.repeated_units(docs).collect()}
+    assert got == {(1, "ONE two  three four five six.", 1)}
+    assert {r.doc_id: r.text for r in unitdedup.drop_units(docs).collect()}[1] == text.replace("ONE two  three four five six.", "")
+
+
 def test_one_document_lines(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p\nx\nx\na b c d e f g h i j k l m n o p\na b c d e f g h i j k l m n o q\nz y", "en", "a", 1)], DOCS)
     (row,) = linededup.line_report(docs).collect()

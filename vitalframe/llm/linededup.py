@@ -14,13 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import GAP, LOWER, UPPER, WORD, documents, only, stored
+from vitalframe.llm.common import GAP, LOWER, UPPER, WORD, documents, stored
 
 MIN_WORDS = 5
 #: Jaccard threshold in hundredths.
 THRESHOLD = 85
 #: Buckets of the rarity counts; the table of one small number per bucket is part of the plan.
 BUCKETS = 1 << 16
+#: Documents whose wanted line numbers are broadcast at most; more are joined by shuffle.
+WANTED = 300_000
+#: A line of at least MIN_WORDS words; no more of it is read.
+ENOUGH = rf"^[\x20\x09-\x0D]*({WORD}{GAP}){{{MIN_WORDS - 1}}}[^\x20\x09-\x0D]"
 
 
 def _pairs(words: Column) -> Column:
@@ -29,12 +33,16 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.xxhash64(x, y))
 
 
-def each_line(docs: DataFrame, make) -> DataFrame:
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of all lines."""
+    return docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def each_line(rows: DataFrame, make) -> DataFrame:
     """(doc_id, line_no, made): ``make(words)`` of every line with at least MIN_WORDS words.
 
     The words are bound once by an array of one element and a generator, so no later step splits a line again.
     """
-    rows = docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # lower() is much the faster, and the same where all is ASCII
     folded = F.when(F.length("line") == F.octet_length("line"), F.lower("line")).otherwise(F.translate("line", UPPER, LOWER))
     words = F.array_remove(F.split(folded, GAP), "")
@@ -44,7 +52,7 @@ def each_line(docs: DataFrame, make) -> DataFrame:
 
 def rarity(docs: DataFrame) -> Column:
     """Array literal: the rarity class (four per doubling) of each bucket of token hashes, counted over all lines."""
-    tokens = each_line(docs, _pairs).select(F.explode("made").alias("t"))
+    tokens = each_line(lines_of(docs), _pairs).select(F.explode("made").alias("t"))
     counts = tokens.groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     classes = ["0"] * BUCKETS
     for row in counts.select("b", F.floor(F.log2("n") * 4).cast("int").alias("c")).toLocalIterator():
@@ -52,13 +60,13 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
 
-def token_sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """(doc_id, line_no, tokens) of all lines: distinct tokens, rarest first: class above, 54 bits of hash below."""
+def _token_sets(rows: DataFrame, classes: Column) -> DataFrame:
+    """(doc_id, line_no, tokens) of lines: distinct tokens, rarest first: class above, 54 bits of hash below."""
 
     def ranked(t: Column) -> Column:
         return F.shiftleft(F.get(classes, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 54) + t.bitwiseAND((1 << 54) - 1)
 
-    return each_line(docs, lambda w: F.sort_array(F.array_distinct(F.transform(_pairs(w), ranked)))).withColumnRenamed("made", "tokens")
+    return each_line(rows, lambda w: F.sort_array(F.array_distinct(F.transform(_pairs(w), ranked)))).withColumnRenamed("made", "tokens")
 
 
 def _required(n: Column, m: Column) -> Column:
@@ -66,16 +74,23 @@ def _required(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * THRESHOLD / F.lit(100.0 + THRESHOLD) - 1e-9)
 
 
-def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filter for sets of n and m tokens whose first common token is at i and j."""
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * THRESHOLD) & (F.least(n - i, m - j) >= _required(n, m))
+def _may_match(n: Column, i: Column, x: Column, m: Column, j: Column, y: Column) -> Column:
+    """Length, positional and parity filter for sets of n and m tokens whose first common token is at i and j.
+
+    x and y tell, for 64 classes of tokens, whether the set has an odd number of them: each class in which they
+    differ holds a token of one set alone. All three hold for every pair that reaches the threshold.
+    """
+    apart = n + m - 2 * _required(n, m)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * THRESHOLD) & (F.least(n - i, m - j) >= _required(n, m)) & (F.bit_count(x.bitwiseXOR(y)) <= apart)
 
 
 def _sets_for(docs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
-    """(doc_id, line_no, tokens) of the given lines, read again from the texts."""
-    lines = stored(lines, "wanted-lines")
-    ids = stored(lines.select("doc_id").distinct(), "wanted-docs")
-    return stored(token_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), classes).join(lines, ["doc_id", "line_no"]), "line-sets")
+    """(doc_id, line_no, tokens) of the given lines, read again from the texts; no other line is split into words."""
+    lines = stored(lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "wanted-lines")
+    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(lines) if lines.count() <= WANTED else lines, "doc_id")
+    numbered = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda r: F.array_contains("wanted", r["line_no"]))
+    rows = texts.select("doc_id", F.explode(numbered).alias("r")).select("doc_id", "r.line_no", "r.line")
+    return stored(_token_sets(rows, classes), "line-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
@@ -103,29 +118,30 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets that found no match that way meet all earlier ones that share a token.
     """
     classes = rarity(docs)
-    lines = token_sets(docs, classes)
+    lines = _token_sets(lines_of(docs), classes)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * THRESHOLD / F.lit(100.0) - 1e-9) + 1).cast("int"))
-    lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), prefix.alias("prefix"))
-    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("s"))
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))))
+    lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("s"))
     first = stored(first.select("s.*"), "first-lines")
 
-    postings = first.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("at", "token"))
+    postings = first.select("doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("at", "token"))
     # one exchange serves the count and the join
     postings = postings.repartition("token")
     crowd = postings.groupBy("token").agg(F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     postings = stored(postings.join(crowd, "token"), "postings")
 
-    lead = postings.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("e"))
+    lead = postings.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at", "parity")).alias("e"))
     own = F.struct("doc_id", "line_no")
-    met = postings.join(lead, "token").filter((own > F.struct("e.doc_id", "e.line_no")) & _may_match(F.col("n"), F.col("at"), F.col("e.n"), F.col("e.at")))
+    met = postings.join(lead, "token").filter((own > F.struct("e.doc_id", "e.line_no")) & _may_match(F.col("n"), F.col("at"), F.col("parity"), F.col("e.n"), F.col("e.at"), F.col("e.parity")))
     near = stored(_verified(docs, met.select("doc_id", "line_no", F.col("e.doc_id").alias("e_doc"), F.col("e.line_no").alias("e_line")), classes), "near-lead")
 
     rest = postings.join(near, ["doc_id", "line_no"], "left_anti")
     leads = lead.select("token", F.col("e.doc_id").alias("l_doc"), F.col("e.line_no").alias("l_line"))
-    earlier = postings.select("token", F.col("doc_id").alias("e_doc"), F.col("line_no").alias("e_line"), F.col("n").alias("e_n"), F.col("at").alias("e_at"))
+    earlier = postings.select("token", F.col("doc_id").alias("e_doc"), F.col("line_no").alias("e_line"), F.col("n").alias("e_n"), F.col("at").alias("e_at"), F.col("parity").alias("e_parity"))
     earlier = earlier.join(leads, "token").filter("e_doc <> l_doc or e_line <> l_line").drop("l_doc", "l_line")
-    met = rest.join(earlier, "token").filter((own > F.struct("e_doc", "e_line")) & _may_match(F.col("n"), F.col("at"), F.col("e_n"), F.col("e_at")))
+    met = rest.join(earlier, "token").filter((own > F.struct("e_doc", "e_line")) & _may_match(F.col("n"), F.col("at"), F.col("parity"), F.col("e_n"), F.col("e_at"), F.col("e_parity")))
     near = near.unionByName(_verified(docs, met.select("doc_id", "line_no", "e_doc", "e_line"), classes))
 
     kept = first.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left_anti")
@@ -135,7 +151,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     seen = docs.filter("text is not null and doc_id is not null").select(
         "doc_id",
         F.filter(
-            F.transform(F.split("text", "\n"), lambda x, i: F.when(F.regexp_count(x, F.lit(WORD)) >= MIN_WORDS, i)),
+            F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(ENOUGH), i)),
             lambda i: i.isNotNull(),
         ).alias("seen"),
     )
