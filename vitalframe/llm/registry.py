@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitalframe.llm import classlm, decontaminate, langid, linededup, minhash, mixing, mtree, substrings, toxicity
+from vitalframe.llm import classlm, decontaminate, langid, linededup, minhash, mixing, mtree, substrings, toxicity, unitdedup
 
 
 def registry() -> dict:
@@ -10,6 +10,7 @@ def registry() -> dict:
     return {
         "op1_langid": (langid.op1_langid, None),
         "op3_decontaminate": (decontaminate.op3_decontaminate, None),
+        "op4_units": (unitdedup.op4_units, unitdedup.OP4_SQL),
         "op5_substrings": (substrings.op5_substrings, None),
         "op6_topk": (mtree.op6_topk, mtree.OP6_SQL),
         "op10_classlm": (classlm.op10_classlm, None),
