@@ -29,7 +29,7 @@ GRAM = 48
 #: An anchor with more different pieces is split by ranges of so many windows.
 CROWD = 512
 RANGES = (16, 4, 1)
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 
 _FILED = "uid long, n_bytes long, lo array<int>, anchor array<long>, at array<int>, piece array<long>"
 
