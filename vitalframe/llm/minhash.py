@@ -36,8 +36,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Pairs that meet outside the leader rounds are verified if so many of the 96 min-hashes agree. At similarity 0.75
 #: 72 do on average; fewer than 54 have a chance of 1 in 70,000.
 AGREEING = 54
-#: Rounds in which a table's documents meet one seeded leader before the rest meet each other.
-LEADER_ROUNDS = 2
+#: Rounds in which a table's documents meet a seeded leader of that table before the rest meet each other.
+LEADER_ROUNDS = 3
 
 _MULT = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mixed(np.arange(1001, 1001 + 2 * BANDS * ROWS, dtype=np.uint64))
@@ -168,46 +168,57 @@ def table_keys(reps: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(keys: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
     """(key, node, comp) with the components that ``links`` make."""
-    if links is None:
-        return keys.withColumn("comp", F.col("node"))
     return keys.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
 
 
-def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) that connect all representatives (node, bands, sketch) as all links of the tables would."""
-    keys = table_keys(reps)
-    keys = stored(keys, "tables")
-    crowd = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    keys = stored(keys.join(crowd, "key"), "shared-tables")
-    wanted = stored(keys.select(F.col("node").alias("doc_id")).distinct(), "wanted")
-    sets = stored(full_sets(only(docs.select("doc_id", "text"), wanted, "doc_id")), "sets")
-
-    links = None
-    for turn in range(LEADER_ROUNDS):
-        rows = _labelled(keys, links)
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        lead = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "comp")).alias("lead"))
-        met = rows.join(lead, "key").filter("comp <> lead.comp")
-        if turn == 0:
-            pairs = met.groupBy("node").agg(F.min("lead.node").alias("v")).select(F.col("node").alias("u"), "v")
-        else:
-            pairs = met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
-        found = confirmed(pairs, sets)
-        links = stored(found if links is None else links.unionByName(found), "found")
-
-    # what is still apart within a table: everything outside the table's main component meets all others
+def _still_apart(keys: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, node, comp, main, sketch) of the tables whose nodes are in several components; main: the largest one's."""
     rows = stored(_labelled(keys, links), "apart")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    # the min-hashes go along, so that pairs that share a common passage and little else are never made
-    several = rows.join(main, "key").join(reps.select("node", "sketch"), "node")
-    outer = several.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
-    agree = F.size(F.filter(F.zip_with("sketch", "sx", lambda a, b: a == b), lambda same: same))
+    return rows.join(main.drop("kinds"), "key").join(reps.select("node", "sketch"), "node")
+
+
+def _agree(a, b):
+    """Number of equal min-hashes of two sketches."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (u, v) that connect all representatives (node, bands, sketch) as all links of the tables would.
+
+    Only components count, so a pair inside one need not meet. First every node meets the node that shares tables
+    with most others, the likely original of a group of copies. In the next rounds every table has a seeded leader of
+    its own that the nodes of other components meet. Last, all that is still outside a table's main component meets
+    all other components there. The min-hashes go along, so that pairs that share a common passage and little else
+    are never made.
+    """
+    keys = stored(table_keys(reps), "tables")
+    crowd = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    keys = stored(keys.join(crowd, "key"), "shared-tables")
+    wanted = stored(keys.groupBy(F.col("node").alias("doc_id")).agg(F.sum("_n").alias("met")), "wanted")
+    sets = stored(full_sets(only(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")), "sets")
+
+    ranked = keys.drop("_n").join(wanted.select(F.col("doc_id").alias("node"), "met"), "node")
+    hub = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("low"))).alias("hub"))
+    first = ranked.select("key", "node").join(hub, "key").groupBy("node").agg(F.max("hub").alias("hub"))
+    first = first.select(F.col("node").alias("u"), (-F.col("hub.low")).alias("v")).filter("u <> v")
+    links = stored(confirmed(first, sets), "found")
+    keys = keys.drop("_n")
+    for turn in range(LEADER_ROUNDS):
+        rows = _still_apart(keys, links, reps)
+        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "comp", "sketch")).alias("lead"))
+        met = rows.join(lead, "key").filter((F.col("comp") != F.col("lead.comp")) & (_agree(F.col("sketch"), F.col("lead.sketch")) >= AGREEING))
+        pairs = met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
+        links = stored(links.unionByName(confirmed(pairs, sets)), "found")
+
+    rows = _still_apart(keys, links, reps)
+    outer = rows.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
     pairs = (
-        outer.join(several, "key")
-        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))) & (agree >= AGREEING))
+        outer.join(rows, "key")
+        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))) & (_agree(F.col("sketch"), F.col("sx")) >= AGREEING))
         .select(F.greatest("x", "node").alias("u"), F.least("x", "node").alias("v"))
         .distinct()
     )
