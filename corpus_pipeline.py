@@ -39,7 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = mix.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken")
     )
-    return docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    docs = docs.drop("size", "source_size", "target", "taken")
+    return docs.join(mix, docs["doc_id"].eqNullSafe(mix["_id"])).drop("_id")
 
 
 STAGES = [
