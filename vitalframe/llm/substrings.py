@@ -25,7 +25,7 @@ from vitalframe.llm.common import documents, mixed, only, prefix_sums, range_has
 from vitalframe.llm.induced import CAP, _ranges, suffix_array
 
 SPAN = CAP
-GRAM = 48
+GRAM = 80
 #: An anchor with more different pieces is split by ranges of so many windows.
 CROWD = 512
 RANGES = (16, 4, 1)
