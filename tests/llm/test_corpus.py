@@ -255,6 +255,22 @@ def test_language_model_adds_up_to_one(spark):
     assert np.allclose((10**model.steps).sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("head", [classlm.HEAD, 540])
+def test_words_that_are_not_frequent_are_clustered_too(spark, monkeypatch, head):
+    monkeypatch.setattr(classlm, "HEAD", head)
+    # 510 frequent words, of which 30 stand inside texts and 30 alone; 80 rarer ones of one ending do the same
+    fill = [(i, " ".join([*(f"f{j}" for j in range(448)), *(f"d p{j} e" for j in range(30))]), None, None, None) for i in range(60)]
+    fill += [(100 + i % 30, f"q{i % 30}", None, None, None) for i in range(1800)]
+    inside = [(1000 + i, " ".join([f"d a{i}zz e"] * 30), None, None, None) for i in range(40)]
+    alone = [(2000 + i % 40, f"b{i % 40}zz", None, None, None) for i in range(1200)]
+    docs = spark.createDataFrame(fill + inside + alone, DOCS)
+    _, _, rows = classlm.fitted(docs, docs, False)
+    rows = rows.filter("doc_id >= 1000").collect()
+    first = {c for r in rows if r.doc_id < 2000 for c in r.line[1:-1:3]}
+    second = {r.line[0] for r in rows if r.doc_id >= 2000}
+    assert not first & second and max(first | second) < classlm.CLASSES
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(9)
     kind = rng.integers(0, 3, 30)
