@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -383,3 +384,9 @@ def test_one_document_lines(spark):
     assert (row.n_lines, row.n_repeated, row.n_near, row.removed) == (6, 1, 1, [3, 4])
     (row,) = linededup.drop_lines(docs).collect()
     assert row.text == "a b c d e f g h i j k l m n o p\nx\nx\nz y" and row.n_chars == len(row.text)
+
+
+def test_short_lines_of_the_pipeline(spark):
+    text = "Les.\nALL rights  reserved\n漢字漢字漢字\n\nrights all reserved"
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, "les.\nmore here\nall rights reserved\n漢字漢字漢字\n\n漢字", "en", "a", 1), (3, "LES.", "en", "a", 1)], DOCS)
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: text, 2: "more here\n\n漢字"}

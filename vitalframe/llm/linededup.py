@@ -38,8 +38,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def each_line(rows: DataFrame, make) -> DataFrame:
-    """(doc_id, line_no, made): ``make(words)`` of every line with at least MIN_WORDS words.
+def each_line(rows: DataFrame, make, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line_no, made): ``make(words)`` of every line with at least ``least`` words.
 
     The words are bound once by an array of one element and a generator, so no later step splits a line again.
     """
@@ -49,7 +49,7 @@ def each_line(rows: DataFrame, make) -> DataFrame:
     bytewise = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
     folded = F.lower(F.when(F.length("line") == F.octet_length("line"), F.col("line")).otherwise(bytewise))
     words = F.array_remove(F.split(folded, GAP), "")
-    enough = F.filter(F.array(words), lambda w: F.size(w) >= MIN_WORDS)
+    enough = F.filter(F.array(words), lambda w: F.size(w) >= least)
     return rows.select("doc_id", "line_no", F.explode(F.transform(enough, make)).alias("made"))
 
 
@@ -63,13 +63,21 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
 
-def _token_sets(rows: DataFrame, classes: Column) -> DataFrame:
-    """(doc_id, line_no, tokens) of lines: distinct tokens, rarest first: class above, 54 bits of hash below."""
+def _token_sets(rows: DataFrame, classes: Column, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, tokens) of lines: distinct tokens, rarest first: class above, 54 bits of hash below.
+
+    With ``short``, also lines of fewer words: their tokens are null, null and the two halves of a digest of all words.
+    """
 
     def ranked(t: Column) -> Column:
         return F.shiftleft(F.get(classes, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), 54) + t.bitwiseAND((1 << 54) - 1)
 
-    return each_line(rows, lambda w: F.sort_array(F.array_distinct(F.transform(_pairs(w), ranked)))).withColumnRenamed("made", "tokens")
+    def made(w: Column) -> Column:
+        tokens = F.sort_array(F.array_distinct(F.transform(_pairs(w), ranked)))
+        none = F.lit(None).cast("long")
+        return F.when(F.size(w) >= MIN_WORDS, tokens).otherwise(F.array(none, none, F.xxhash64(w), F.xxhash64(F.lit(7), w))) if short else tokens
+
+    return each_line(rows, made, 1 if short else MIN_WORDS).withColumnRenamed("made", "tokens")
 
 
 def _required(n: Column, m: Column) -> Column:
@@ -113,19 +121,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, line_no, near) of every line that an earlier one makes superfluous; near: no equal set came before.
 
+    With ``short``, lines of under MIN_WORDS words go too if an earlier line has the same words in the same order.
+
     Equal sets are one, represented by their first line. Tokens that only one set has in its prefix drop out.
     Each set first meets the earliest set that shares a prefix token, which is linear in any group of copies; only
     sets that found no match that way meet all earlier ones that share a token.
     """
     classes = rarity(docs)
-    lines = _token_sets(lines_of(docs), classes)
+    lines = _token_sets(lines_of(docs), classes, short)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * THRESHOLD / F.lit(100.0) - 1e-9) + 1).cast("int"))
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))))
-    lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), parity.alias("parity"), (F.when(F.col("tokens")[0].isNotNull(), prefix).otherwise(F.array().cast("array<bigint>")) if short else prefix).alias("prefix"))
     first = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("s"))
     first = stored(first.select("s.*"), "first-lines")
 
@@ -154,7 +164,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     seen = docs.filter("text is not null and doc_id is not null").select(
         "doc_id",
         F.filter(
-            F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(ENOUGH), i)),
+            F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]" if short else ENOUGH), i)),
             lambda i: i.isNotNull(),
         ).alias("seen"),
     )
@@ -189,12 +199,13 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents with superfluous lines taken out of ``text``, and n_chars, where there is one, set anew.
 
     A document of which nothing but blank lines is left goes; one that had no words from the start stays.
+    ``short`` as in ``removed_lines``.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs, short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"]))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left").withColumn("text", text)
