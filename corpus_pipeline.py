@@ -35,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words from, with size, source_size, target and taken; repeated rows share theirs."""
-    mix = stored(mix_sources(docs).filter("taken > 0"), "mixed")
+    mix = stored(mix_sources(docs, bounded=True).filter("taken > 0"), "mixed")
     mix = mix.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken")
     )

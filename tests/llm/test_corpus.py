@@ -390,3 +390,12 @@ def test_short_lines_of_the_pipeline(spark):
     text = "Les.\nALL rights  reserved\n漢字漢字漢字\n\nrights all reserved"
     docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, "les.\nmore here\nall rights reserved\n漢字漢字漢字\n\n漢字", "en", "a", 1), (3, "LES.", "en", "a", 1)], DOCS)
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: text, 2: "more here\n\n漢字"}
+
+
+def test_small_sources_of_the_pipeline_meet_their_targets(spark):
+    sizes = {"a": [5_000_000] * 1000, "b": [100] * 100, "c": [20] * 100, "d": [5] * 100, "e": [1] * 100, "f": [200] * 100, "g": [2000]}
+    rows = [(1000 * k + i, source, "s" + source, n) for k, (source, mine) in enumerate(sizes.items()) for i, n in enumerate(mine)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, key string, size long").withColumn("mark", F.md5(F.col("doc_id").cast("string")))
+    got = mixing.mix_sizes(sized, (5, 2, 1), 1.5, 2, mixing.SEED, True).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == len(sizes)
+    assert all(r.taken == pytest.approx(r.target, rel=0.03) for r in got), got
