@@ -1,11 +1,12 @@
-"""Suffix sorting by recursive induction with common-prefix values, on disk-backed queues.
+"""Suffix sorting by recursive induction with common-prefix values.
 
 The suffixes that begin at local minima are sorted first: their substrings are named in order, and the string of
 names is sorted by the same method unless all names differ. Induction then gives every other suffix its place. A
 queue hands out suffixes by first symbol and, of equal symbols, by arrival, which is the order of what follows them;
 each suffix handed out enters the one that begins before it. With it travels its common prefix with the
-predecessor in its bucket: one more than the least value between the two that induced them. The queues are files,
-so memory holds the text and one batch; equal symbols leave in whole batches.
+predecessor in its bucket: one more than the least value between the two that induced them. The queues are files
+that are read back whole, and memory holds several arrays of the text's length: texts are to be small (shards of about
+1 MB). Equal symbols leave in whole batches.
 """
 
 from __future__ import annotations
