@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from vitalframe.llm import classlm, decontaminate, langid, linededup, minhash, mixing, mtree, substrings, toxicity, unitdedup
+from vitalframe.llm import (
+    classlm,
+    covering,
+    decontaminate,
+    langid,
+    linededup,
+    minhash,
+    mixing,
+    mtree,
+    periodic,
+    substrings,
+    toxicity,
+    unitdedup,
+    whitening,
+)
 
 
 def registry() -> dict:
@@ -18,4 +32,7 @@ def registry() -> dict:
         "op7_minhash": (minhash.op7_minhash, None),
         "op9_toxicity": (toxicity.op9_toxicity, None),
         "op8_mixing": (mixing.op8_mixing, mixing.OP8_SQL),
+        "op11_runs": (periodic.op11_runs, None),
+        "op12_simhash": (covering.op12_simhash, None),
+        "op13_whitening": (whitening.op13_whitening, None),
     }
