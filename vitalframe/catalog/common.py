@@ -154,7 +154,7 @@ tl AS (
       (0.5::DOUBLE - 0.5::DOUBLE * cos(pi() * least((step - 100) / 80.0::DOUBLE, 1.0::DOUBLE))) END AS lateral_pos_m,
     step > 30 AS hazard_flashers_active, step >= {stop} AS doors_unlocked, step >= {stop} AS epb_clamped,
     step BETWEEN 1 AND 30 AS acoustic_chime_active, step BETWEEN 1 AND 30 AS haptic_pulse_active,
-    step >= 101 AS denm_broadcast_active, step >= {stop} AS ecall_transmitted
+    step >= 101 AS denm_broadcast_active, step >= {stop} AS ecall_transmitted, step = {stop} AS standstill_frame
   FROM eti),
 timeline AS (SELECT *, speed_ms * 3.6::DOUBLE AS speed_kmh FROM tl)"""
 

@@ -8,7 +8,7 @@ from vitalframe import config as C
 from vitalframe.catalog.common import SESSION, decisions_sql, num, responses, timeline_sql
 from vitalframe.functions import codec, signal_map
 from vitalframe.operators.audit import audit, number_senders
-from vitalframe.plans.emit import emit_messages, first_alerts
+from vitalframe.plans.emit import ID_GLUE, as_bus, emit_messages, first_alerts
 from vitalframe.sources import testviews as V
 from vitalframe.sources.testviews import be_sql, hmac_sql
 
@@ -131,16 +131,52 @@ SELECT driver_id, session_id, seq, {C.STATION_ID} AS station_id, 6 AS cause_code
   {be_sql(str(C.STATION_ID), 4)} || {be_sql('42', 4)} || '0601' || {float32_sql('v')} || {float32_sql('l')} AS payload FROM w"""
 
 
+def shown(messages):
+    """Messages as compared with SQL: payload in hex, of alerts the header (their tag needs SHA-512)."""
+    bytes_shown = F.when(F.col("kind") == "alert", F.substring("payload", 1, 12)).otherwise(F.col("payload"))
+    return messages.select(
+        "message_id", "sender", *SESSION, "seq", "kind", F.unix_micros("event_time").alias("sent_micros"), "freshness_counter",
+        F.octet_length("payload").alias("n_bytes"), F.hex(bytes_shown).alias("payload"),
+    )
+
+
 def emitted_messages(spark, sf):
-    out = emit_messages(responses(spark, sf), KEY)
-    return out.groupBy(*SESSION, "kind").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    """Every message of every response, numbered through all sessions of its sender."""
+    return shown(emit_messages(responses(spark, sf), KEY))
 
 
+_ID = f"md5(concat_ws('{ID_GLUE}', length(driver_id), length(session_id), driver_id, session_id, seq, kind))"
 EMITTED = f"""WITH {timeline_sql()}, m AS (
-  SELECT driver_id, session_id, seq, 'command' AS kind FROM timeline WHERE hazard_flashers_active
-  UNION ALL SELECT driver_id, session_id, seq, 'warning' FROM timeline WHERE denm_broadcast_active
-  UNION ALL SELECT driver_id, session_id, min(seq), 'alert' FROM timeline WHERE ecall_transmitted GROUP BY ALL)
-SELECT driver_id, session_id, kind, count(*) AS n, min(seq) AS first_seq FROM m GROUP BY ALL"""
+  SELECT *, unnest(list_filter([CASE WHEN hazard_flashers_active THEN 'command' END, CASE WHEN denm_broadcast_active THEN 'warning' END,
+    CASE WHEN standstill_frame THEN 'alert' END], lambda k: k IS NOT NULL)) AS kind FROM timeline),
+n AS (SELECT *, {C.COUNTER_START} + row_number() OVER (PARTITION BY driver_id, kind ORDER BY event_time, session_id, seq) AS number,
+    round_even(longitudinal_accel_mss * 10, 0)::BIGINT AS tenths,
+    CASE confirmed_etiology WHEN 'Syncope' THEN 1 WHEN 'Seizure' THEN 2 ELSE 255 END AS code,
+    trunc(least(100.0::DOUBLE, greatest(0.0::DOUBLE, top_confidence * 100)))::INT AS pct,
+    trunc(persistence_seconds * 1000)::INT AS ms FROM m),
+p AS (SELECT *, {be_sql('number', 1)} || {be_sql(str(C.COMMAND_STATE_CODE), 1)} || {be_sql('tenths', 2)} ||
+    {be_sql('CASE WHEN hazard_flashers_active THEN 1 ELSE 0 END', 1)} AS p FROM n)
+SELECT {_ID} AS message_id, driver_id AS sender, driver_id, session_id, seq, kind, epoch_us(event_time) AS sent_micros,
+  CASE WHEN kind = 'command' THEN number END AS freshness_counter,
+  CASE kind WHEN 'command' THEN 8 WHEN 'warning' THEN 18 ELSE 76 END AS n_bytes,
+  CASE kind WHEN 'command' THEN p || upper(substr({hmac_sql(KEY, 'unhex(p)')}, 1, 6))
+    WHEN 'warning' THEN {be_sql(str(C.STATION_ID), 4)} || {be_sql('42', 4)} || '0601' || {float32_sql('speed_kmh')} || {float32_sql('lateral_pos_m')}
+    ELSE '01' || {be_sql('code', 1)} || {be_sql('pct', 1)} || {be_sql('ms', 2)} || '000F00' || {be_sql('floor(epoch(event_time))', 4)}
+  END AS payload FROM p"""
+
+
+def message_audit(spark, sf):
+    """What a receiver makes of the emitted commands, each sent twice: the first is accepted, its repeat is not."""
+    sent = as_bus(emit_messages(responses(spark, sf), KEY)).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = audit(sent, KEY, minute_bucket(), order=("rx_time", "session_id", "seq", "copy"))
+    return out.groupBy("sender", "copy", "accepted", "reject_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.min("freshness_counter").alias("first"), F.max("freshness_counter").alias("last")
+    )
+
+
+MESSAGE_AUDIT = f"""SELECT sender, c AS copy, c = 0 AS accepted, CASE WHEN c = 1 THEN 'replayed' END AS reject_reason, count(*) AS n,
+  min(freshness_counter) AS first, max(freshness_counter) AS last
+FROM ({EMITTED}) CROSS JOIN (VALUES (0), (1)) v(c) WHERE kind = 'command' GROUP BY ALL"""
 
 
 def _decode(arb_id):
@@ -195,6 +231,7 @@ QUERIES = {
     "alert_containers": (alert_containers, None),
     "hazard_warnings": (hazard_warnings, WARNINGS),
     "emitted_messages": (emitted_messages, EMITTED),
+    "message_audit": (message_audit, MESSAGE_AUDIT),
     "decode_mrm_command": _decode(288),
     "decode_sensors_status": _decode(289),
     "decode_v2x_status": _decode(290),

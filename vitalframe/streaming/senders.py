@@ -1,8 +1,12 @@
-"""Per-sender stream state: the last accepted counter and the next counter to send."""
+"""Per-sender stream state: the last accepted counter and the next counter to send.
+
+Rows wait in time buckets until the watermark has passed the bucket, then advance in the order of their time and tie
+columns. What a sender's frames are numbered with or accepted by therefore does not follow their arrival.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -15,29 +19,56 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from vitalframe import config as C
 from vitalframe.functions.codec import pack_commands
 from vitalframe.operators.audit import frame_checks
+from vitalframe.streaming.buffers import Blocks, complete
 
-COUNTER = T.StructType([T.StructField("counter", T.LongType())])
+COUNTER = T.StructType([T.StructField("counter", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+MICROS = "time_micros"
 
 
 class CounterProcessor(StatefulProcessor):
-    """Keeps one number per sender and hands it to ``advance`` with each batch."""
+    """Keeps one number per sender and hands it to ``advance`` with each run of released rows.
+
+    The number is never forgotten: it is what tells a replay from a new frame however long a sender was silent.
+    """
 
     start = 0
 
-    def __init__(self, out_columns: list[str]):
-        self.out_columns = out_columns
+    def __init__(self, keys: Sequence[str], held_schema: T.StructType, out_columns: list[str], order: Sequence[str], bucket_ms: int):
+        self.keys, self.held_schema, self.out_columns = list(keys), held_schema, out_columns
+        self.order, self.bucket_ms = [MICROS, *order], bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.counter = handle.getValueState("counter", COUNTER)
+        self.held = Blocks(handle, "waiting", self.held_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved = self.counter.get()
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["rx_micros", "tie_break"], kind="stable"
-        )
-        out, counter = self.advance(batch, saved[0] if saved else self.start)
-        self.counter.update((int(counter),))
-        yield out[self.out_columns]
+        counter, buckets = self.counter.get() or (self.start, [])
+        buckets = list(buckets)
+        for part in rows:
+            part = part[self.held_schema.names]
+            for bucket, new in part.groupby(part[MICROS].to_numpy() // (1000 * self.bucket_ms)):
+                bucket = int(bucket)
+                if bucket in buckets:
+                    new = pd.concat([self.held.get(bucket), new], ignore_index=True)
+                else:
+                    buckets.append(bucket)
+                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+                self.held.put(bucket, new)
+        self.counter.update((counter, buckets))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        counter, buckets = self.counter.get() or (self.start, [])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        ready = sorted(b for b in buckets if (b + 1) * self.bucket_ms <= watermark)
+        for bucket in ready:
+            rows = self.held.take(bucket).sort_values(self.order, kind="stable", ignore_index=True)
+            out, counter = self.advance(rows, counter)
+            for name, value in zip(self.keys, key):
+                out[name] = value
+            yield out[self.out_columns]
+        self.counter.update((int(counter), [b for b in buckets if b not in ready]))
 
     def close(self) -> None:
         pass
@@ -67,25 +98,43 @@ class Numbering(CounterProcessor):
         return batch.assign(freshness_counter=numbers), numbers[-1]
 
 
-def _advance(rows: DataFrame, columns: list[T.StructField], processor: type[CounterProcessor], time: str, tie: str):
-    schema = T.StructType([f for f in rows.schema if f.name != time] + [T.StructField("rx_micros", T.LongType())] + columns)
-    prepared = rows.withColumn("rx_micros", F.unix_micros(time)).withColumn("tie_break", F.col(tie)).drop(time)
-    advanced = prepared.groupBy("sender").transformWithStateInPandas(
-        statefulProcessor=processor(schema.names),
+def in_order(
+    rows: DataFrame,
+    added: list[T.StructField],
+    processor: type[CounterProcessor],
+    keys: Sequence[str],
+    time: str,
+    order: Sequence[str],
+    delay: str,
+    bucket_seconds: float,
+) -> DataFrame:
+    """``rows`` advanced key by key in the order of ``time`` and the ``order`` columns.
+
+    ``delay`` is how far behind the newest time a row may come; older rows are dropped and counted by Spark
+    (``numRowsDroppedByWatermark``). Rows wait until the watermark has passed their bucket of ``bucket_seconds``.
+    Rows without key or time are dropped.
+    """
+    prepared = complete(rows.withWatermark(time, delay), [*keys, time]).withColumn(MICROS, F.unix_micros(time))
+    held = T.StructType([f for f in prepared.schema if f.name not in (*keys, time)])
+    schema = T.StructType([prepared.schema[k] for k in keys] + held.fields + added)
+    advanced = prepared.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor(keys, held, schema.names, order, int(bucket_seconds * 1000)),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
-    return advanced.withColumn(time, F.timestamp_micros("rx_micros")).drop("rx_micros")
+    return advanced.withColumn(time, F.timestamp_micros(MICROS)).drop(MICROS)
 
 
-def stream_audit(bus: DataFrame, key: bytes, tie: str = "freshness_counter") -> DataFrame:
-    """Integrity and replay audit of a bus stream, in arrival order per sender."""
+def stream_audit(
+    bus: DataFrame, key: bytes, tie: str = "freshness_counter", delay: str = "10 seconds", bucket_seconds: float = 1.0
+) -> DataFrame:
+    """Integrity and replay audit of a bus stream, per sender in the order of ``rx_time`` and ``tie``."""
     checked = frame_checks(bus, key).withColumn(
         "valid", F.col("id_ok") & F.col("length_ok") & F.col("tag_ok") & F.col("counter_ok")
     )
     added = [T.StructField("accepted", T.BooleanType()), T.StructField("fresh", T.BooleanType())]
-    out = _advance(checked, added, ReplayGuard, "rx_time", tie)
+    out = in_order(checked, added, ReplayGuard, ["sender"], "rx_time", [tie], delay, bucket_seconds)
     reason = (
         F.when(~F.col("id_ok"), "wrong_id")
         .when(~F.col("length_ok"), "wrong_length")
@@ -96,7 +145,21 @@ def stream_audit(bus: DataFrame, key: bytes, tie: str = "freshness_counter") ->
     return out.withColumn("reject_reason", reason).drop("fresh", "valid")
 
 
-def stream_commands(messages: DataFrame, key: bytes, tie: str) -> DataFrame:
-    """Numbered and packed command frames of a message stream."""
+def stream_numbers(
+    messages: DataFrame,
+    keys: Sequence[str] = ("sender",),
+    time: str = "rx_time",
+    order: Sequence[str] = (),
+    delay: str = "10 seconds",
+    bucket_seconds: float = 1.0,
+) -> DataFrame:
+    """Messages with their sender's counter: 1001, 1002, ... in the order of ``time`` and ``order``."""
     added = [T.StructField("freshness_counter", T.LongType())]
-    return pack_commands(_advance(messages, added, Numbering, "rx_time", tie), key)
+    return in_order(messages, added, Numbering, keys, time, order, delay, bucket_seconds)
+
+
+def stream_commands(
+    messages: DataFrame, key: bytes, tie: str, delay: str = "10 seconds", bucket_seconds: float = 1.0
+) -> DataFrame:
+    """Numbered and packed command frames of a message stream."""
+    return pack_commands(stream_numbers(messages, order=[tie], delay=delay, bucket_seconds=bucket_seconds), key)

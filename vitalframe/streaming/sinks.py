@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vitalframe.operators.watchdog import security_events
-from vitalframe.plans.emit import emit_messages
+from vitalframe.plans.emit import SENDING_ORDER, due_messages, pack_messages
+from vitalframe.streaming.senders import stream_numbers
 
 
 def batch_writer(path: str, partition: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -23,6 +26,29 @@ def batch_writer(path: str, partition: str | None = None) -> Callable[[DataFrame
     return write
 
 
+def merge_writer(path: str, key: str, time: str, writer: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that adds the rows whose ``key`` the table at ``path`` does not hold yet.
+
+    Rows of one key must have one ``time``: only the days a batch touches are read. ``writer`` names the stream (its checkpoint); a
+    batch of a writer replaces what it wrote before a failure, and a stream that is begun anew from its source,
+    under another checkpoint, adds nothing twice. Two writers must not run at the same moment.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = f"{writer}-{batch_id:012d}"
+        fresh = batch.dropDuplicates([key]).withColumn("day", F.to_date(time)).withColumn("part", F.lit(own))
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+            held = spark.read.schema(fresh.schema).parquet(path).filter(F.col("part") != own)
+            days = [r.day for r in fresh.select("day").distinct().collect()]  # the days of one micro-batch
+            fresh = fresh.join(held.filter(F.col("day").isin(days)).select(key), key, "left_anti")
+        # only the partitions of this batch are replaced
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "day").parquet(path)
+
+    return write
+
+
 def start_writer(stream: DataFrame, path: str, checkpoint: str, **trigger):
     """Write a stream to ``path``, one directory per batch."""
     return (
@@ -33,9 +59,29 @@ def start_writer(stream: DataFrame, path: str, checkpoint: str, **trigger):
     )
 
 
-def start_messages(timeline: DataFrame, key: bytes, path: str, checkpoint: str, **trigger):
-    """Write the messages of a responded stream."""
-    return start_writer(emit_messages(timeline, key), path, checkpoint, **trigger)
+def start_merge(stream: DataFrame, path: str, checkpoint: str, key: str = "message_id", time: str = "event_time", **trigger):
+    """Merge a stream into the table at ``path`` by ``key``."""
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return (
+        stream.writeStream.foreachBatch(merge_writer(path, key, time, writer))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def start_messages(timeline: DataFrame, path: str, checkpoint: str, **trigger):
+    """Merge the due messages of a responded stream into a table, from which ``numbered_messages`` streams.
+
+    Numbers wait for a sender's earlier messages, responses for lost frames: two watermarks, so two queries with a table between.
+    """
+    return start_merge(due_messages(timeline), path, checkpoint, **trigger)
+
+
+def numbered_messages(due: DataFrame, key: bytes, delay: str = "10 seconds", bucket_seconds: float = 1.0) -> DataFrame:
+    """Numbered and packed messages of a stream of due messages."""
+    numbered = stream_numbers(due, ("sender", "kind"), "event_time", SENDING_ORDER[1:], delay, bucket_seconds)
+    return pack_messages(numbered, key)
 
 
 def start_security_log(timeline: DataFrame, path: str, checkpoint: str, **trigger):
