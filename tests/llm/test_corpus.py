@@ -151,7 +151,7 @@ def test_trees_skip_distances():
     centre = rng.normal(0, 400, (20, 16))
     points = np.floor(np.repeat(centre, 150, axis=0) + rng.normal(0, 5, (3000, 16))).astype(np.int64)
     ids = np.arange(3000)
-    tree = mtree.build_tree(ids, points, float((points.astype(float) ** 2).sum(axis=1).max()))
+    tree = mtree.ready(mtree.build_tree(ids, points, float((points.astype(float) ** 2).sum(axis=1).max())))
     scores = points @ points[0]
     want = np.lexsort((ids, -scores))
     found, value = mtree.search(tree, points[0], -1, 10)
@@ -159,6 +159,28 @@ def test_trees_skip_distances():
     assert tree["leaf"].sum() >= 3000 / mtree.PAGE
 
 
+def test_top_k_of_repeated_rows_and_lengths_equals_sql(spark, tmp_path):
+    rows = [(0, [0.5, 0.25]), (1, [0.3, 0.1]), (1, [0.3, 0.1]), (1, [0.7, 0.1]), (2, [0.5]), (3, [0.2, 0.2]), (100, [9.0]), (100, [8.0])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    equal, message = oracle.compare(spark, con, str(tmp_path), *REGISTRY["op6_topk"])
+    assert equal, message
+    assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_nothing_is_rejected_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c", None, None, 0), (None, "d", None, None, 0)], DOCS)
+    assert toxicity.clean(docs, spark.createDataFrame([], LABELS)).count() == 2
+    assert toxicity.clean(docs, spark.createDataFrame([(1, 0, 1)], LABELS)).count() == 2
+
+
+def test_small_sources_meet_their_target(spark):
+    docs = [(1000 * s + i, "w " * words, None, f"s{s}", 0) for s, (n, words) in enumerate([(5, 20), (25, 20), (100, 20), (100, 100), (400, 900)]) for i in range(n)]
+    for r in mixing.mix_sources(spark.createDataFrame(docs, DOCS)).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 0.02 * r.target + 1
+
+
 def test_near_duplicates_equal_brute_force(spark, sf, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in REGISTRY["op7_minhash"][0](spark, sf).collect()}
     assert got == brute.near(rows)
@@ -396,6 +418,6 @@ def test_small_sources_of_the_pipeline_meet_their_targets(spark):
     sizes = {"a": [5_000_000] * 1000, "b": [100] * 100, "c": [20] * 100, "d": [5] * 100, "e": [1] * 100, "f": [200] * 100, "g": [2000]}
     rows = [(1000 * k + i, source, "s" + source, n) for k, (source, mine) in enumerate(sizes.items()) for i, n in enumerate(mine)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, key string, size long").withColumn("mark", F.md5(F.col("doc_id").cast("string")))
-    got = mixing.mix_sizes(sized, (5, 2, 1), 1.5, 2, mixing.SEED, True).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    got = mixing.mix_sizes(sized, (5, 2, 1), 1.5, 2, mixing.SEED).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert len(got) == len(sizes)
     assert all(r.taken == pytest.approx(r.target, rel=0.03) for r in got), got

@@ -12,7 +12,7 @@ from vitalframe.llm.common import documents, joined_small, stored, word_count
 #: documents of a shard grow as the square root of the source.
 SHARD_UNIT = 64
 SEED = "mix-1"
-#: With ``bounded``: a source has at least so many blocks, and a shard about so many at least.
+#: A source has at least so many blocks, and a shard about so many at least.
 LEAST_BLOCKS, SHARD_BLOCKS = 256, 16
 
 
@@ -80,7 +80,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, r
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: str = SEED, bounded: bool = False
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: str = SEED
 ) -> DataFrame:
     """Words that a mix takes from each document: doc_id, size, source_size, target, taken, source.
 
@@ -89,8 +89,8 @@ def mix_sources(
     end to end in seeded order; its quota takes every block ``quota div blocks`` times and a seeded run of blocks
     once more. Blocks are counted, never listed, so no document meets more than two block borders.
 
-    With ``bounded``, a source of under LEAST_BLOCKS blocks has smaller blocks of its own and as many as meet its
-    target, and shards are not smaller than blocks; without, such a source can get far less than its target.
+    A source of under LEAST_BLOCKS blocks has smaller blocks of its own and as many as meet its target, and shards
+    are not smaller than blocks, so that small sources too come near their target.
 
     Null text or text without words has size 0 and nothing taken. A null id hashes as empty text. Repeated rows
     are laid out one after the other. An empty table gives no rows. Other columns are not read.
@@ -106,35 +106,29 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    return mix_sizes(sized, weights, share, repeat, seed, bounded)
+    return mix_sizes(sized, weights, share, repeat, seed)
 
 
-def mix_sizes(sized: DataFrame, weights: tuple[int, ...], share: float, repeat: int, seed: str, bounded: bool) -> DataFrame:
+def mix_sizes(sized: DataFrame, weights: tuple[int, ...], share: float, repeat: int, seed: str) -> DataFrame:
     """``mix_sources`` from a stored table (doc_id, source, key, size, mark)."""
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sources, weights, share, repeat)
     block = F.greatest(F.lit(1.0), F.ceil(F.sqrt("total") / 64).cast("double"))
+    own = F.greatest(F.lit(1.0), F.ceil(F.col("source_size") / LEAST_BLOCKS).cast("double"))
+    many = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("source_size") / SHARD_UNIT))).cast("long")
+    few = F.greatest(F.lit(1.0), F.floor(F.col("source_size") / (F.col("own") * SHARD_BLOCKS))).cast("long")
+    small = F.col("own") < F.col("block")
     sources = (
         sources.withColumn("block", block)
-        .withColumn("shards", F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("source_size") / SHARD_UNIT))).cast("long"))
-        .withColumn("votes", F.col("target"))
-        .withColumn("house", F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / F.col("block") + 0.5).cast("long"))
+        .withColumn("own", F.least("block", own))
+        .withColumn("shards", F.least(many, few))
+        .withColumn("votes", F.when(small, 0.0).otherwise(F.col("target")))
+        .withColumn("house", F.floor(F.sum("votes").over(W.partitionBy(F.lit(0))) / F.col("block") + 0.5).cast("long"))
     )
-    if bounded:
-        own = F.greatest(F.lit(1.0), F.ceil(F.col("source_size") / LEAST_BLOCKS).cast("double"))
-        few = F.greatest(F.lit(1.0), F.floor(F.col("source_size") / (F.col("own") * SHARD_BLOCKS))).cast("long")
-        sources = (
-            sources.withColumn("own", F.least("block", own))
-            .withColumn("shards", F.least("shards", few))
-            .withColumn("votes", F.when(F.col("own") < F.col("block"), 0.0).otherwise(F.col("target")))
-            .withColumn("house", F.floor(F.sum("votes").over(W.partitionBy(F.lit(0))) / F.col("block") + 0.5).cast("long"))
-        )
-        sources = apportion(sources, [], ["rank"]).withColumn(
-            "seats", F.when(F.col("own") < F.col("block"), F.floor(F.col("target") / F.col("own") + 0.5).cast("long")).otherwise(F.col("seats"))
-        )
-        sources = stored(sources.drop("votes", "house", "block").withColumnsRenamed({"seats": "blocks", "own": "block"}), "mix-sources")
-    else:
-        sources = stored(apportion(sources, [], ["rank"]).drop("votes", "house").withColumnRenamed("seats", "blocks"), "mix-sources")
+    sources = apportion(sources, [], ["rank"]).withColumn(
+        "seats", F.when(small, F.floor(F.col("target") / F.col("own") + 0.5).cast("long")).otherwise(F.col("seats"))
+    )
+    sources = stored(sources.drop("votes", "house", "block").withColumnsRenamed({"seats": "blocks", "own": "block"}), "mix-sources")
     n = sources.count()
 
     placed = joined_small(sized.drop("source"), sources, ["key"], n).withColumn("shard", F.pmod(_digits(F.col("mark")), "shards"))
@@ -212,10 +206,17 @@ one AS (SELECT min({{'ratio': ratio, 'rank': rank, 'level': level}}) AS first FR
 aimed AS (
   SELECT key, source, rank, source_size, least(cap, coalesce((SELECT first.level FROM one), ratio) * weight) AS target,
          greatest(1, ceil(sqrt(total) / 64))::DOUBLE AS block,
-         greatest(1, ceil(sqrt(source_size / 64.0)))::BIGINT AS shards
+         least(greatest(1, ceil(sqrt(total) / 64)), greatest(1, ceil(source_size / {LEAST_BLOCKS}.0)))::DOUBLE AS own
   FROM levels),
-voted AS (SELECT *, target AS votes, floor(sum(target) OVER () / block + 0.5)::BIGINT AS house FROM aimed),
-{_apportion_sql("given", "voted", "", "rank")},
+sharded AS (
+  SELECT *, least(greatest(1, ceil(sqrt(source_size / {SHARD_UNIT}.0))), greatest(1, floor(source_size / (own * {SHARD_BLOCKS}))))::BIGINT AS shards,
+         CASE WHEN own < block THEN 0 ELSE target END AS votes
+  FROM aimed),
+voted AS (SELECT *, floor(sum(votes) OVER () / block + 0.5)::BIGINT AS house FROM sharded),
+{_apportion_sql("shared", "voted", "", "rank")},
+given AS (
+  SELECT * EXCLUDE (seats, block, own), own AS block,
+         CASE WHEN own < block THEN floor(target / own + 0.5)::BIGINT ELSE seats END AS seats FROM shared),
 placed AS (
   SELECT d.doc_id, d.source, d.size, d.mark, g.* EXCLUDE (source), ('0x' || substr(d.mark, 1, 8))::BIGINT % g.shards AS shard
   FROM sized d JOIN given g USING (key)),

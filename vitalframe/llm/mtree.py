@@ -25,7 +25,7 @@ from vitalframe.llm.common import stored
 
 SCALE = 1024
 TREE_ROWS = 4096  # vectors per tree, about
-PAGE = 64  # vectors per leaf page
+PAGE = 512  # vectors per leaf page, scored as one product
 FANOUT = 16  # children per inner page
 QUERY_BLOCK = 512  # queries that meet a tree together, about
 
@@ -39,7 +39,7 @@ def whole_vector(embedding: Column) -> Column:
 
 def _prepared(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_vector(F.col("embedding")).alias("v"))
-    rows = rows.filter("vec_id is not null and v is not null and size(v) > 0").distinct()
+    rows = rows.filter("vec_id is not null and v is not null and size(v) > 0")
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     return rows.select("vec_id", F.size("v").alias("dim"), "v", norm.alias("norm"))
 
@@ -92,18 +92,28 @@ def build_tree(ids: np.ndarray, points: np.ndarray, longest: float) -> dict[str,
     return table | {"ids": ids[rows], "points": points[rows], "to_pivot": to_pivot, "longest": np.array(longest)}
 
 
+def ready(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A tree with its vectors as floating numbers too, and whether every product of two is exact in them."""
+    tree["exact"] = float(tree["longest"]) < 2.0**52
+    tree["real"] = tree["points"].astype(float)
+    tree["pivot"] = tree["pivot"].astype(float)
+    return tree
+
+
 def search(tree: dict[str, np.ndarray], query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the k best vectors but those of id ``own``; ties go to smaller ids."""
     reach = float((query.astype(float) ** 2).sum() + tree["longest"])
     slack = 1e-9 * reach + 1e-3
     ids, scores, least = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
 
+    real = query.astype(float)
+
     def best(lower: np.ndarray) -> np.ndarray:
         """The highest score at that distance or more."""
         return (reach - np.maximum(lower, 0) ** 2) / 2 + slack
 
     def to_pivots(nodes) -> np.ndarray:
-        return np.sqrt(np.maximum(reach - 2.0 * (tree["pivot"][nodes] @ query), 0))
+        return np.sqrt(np.maximum(reach - 2.0 * (tree["pivot"][nodes] @ real), 0))
 
     start = float(to_pivots([0])[0])
     queue = [(-float(best(start - tree["radius"][0])), 0, start)]
@@ -117,7 +127,8 @@ def search(tree: dict[str, np.ndarray], query: np.ndarray, own: int, k: int) ->
             open_ = open_[tree["ids"][open_] != own]
             if len(open_):
                 ids = np.concatenate([ids, tree["ids"][open_]])
-                scores = np.concatenate([scores, tree["points"][open_] @ query])
+                # whole numbers below 2**53: the floating product is exact
+                scores = np.concatenate([scores, (tree["real"][open_] @ real).astype(np.int64) if tree["exact"] else tree["points"][open_] @ query])
                 top = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[top], scores[top]
                 least = scores[-1] if len(ids) == k else -np.inf
@@ -139,7 +150,8 @@ def top_k(vectors: DataFrame, k: int = 10, step: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every query, a row whose id ``step`` divides.
 
     Null ids, and vectors that are null, empty or hold a null or non-finite component take no part. Only vectors of
-    equal length are compared. Equal rows are one; rows of the query's own id are never its candidates. Fewer than k
+    equal length are compared. Of rows that repeat an id each is a candidate, and a query if its id is one; rows of the
+    query's own id are never its candidates. Fewer than k
     candidates are all returned, none give no row; so does an empty table. Other columns are not read. Components of
     up to 2**20 keep all scores exact.
     """
@@ -180,7 +192,7 @@ def top_k(vectors: DataFrame, k: int = 10, step: int = 100) -> DataFrame:
         for batch in batches:
             for pages, block in zip(batch.column(0), batch.column(1)):
                 with np.load(io.BytesIO(pages.as_py())) as file:
-                    tree = {name: file[name] for name in file.files}
+                    tree = ready({name: file[name] for name in file.files})
                 block = block.values
                 queries = _matrix(block.field("v"))
                 out: list = [[], [], []]
@@ -209,7 +221,7 @@ WITH v AS (
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10
