@@ -147,20 +147,30 @@ def test_active_intervals(spark, layout):
 
 def test_thinning(spark):
     rnd, rows = random.Random(3), []
-    for s in range(3):
+    for s in range(4):
         t = 0.0
-        for i in range(500):
+        for i in range(700):
             rows.append(("d", f"s{s}", i, round(t, 3)))
-            t += rnd.choice([0.02, 0.1, 0.1, 0.13, 0.9])
-    df = spark.createDataFrame(rows, "driver_id string, session_id string, seq long, t double")
-    layout = SessionLayout(chunk_rows=32)
+            # session 2 has frames at one time, session 3 long silences
+            t += rnd.choice([[0.02, 0.1, 0.1, 0.13, 0.9], [0.1], [0.0, 0.0, 0.2, 0.5], [0.1, 0.3, 40.0, 0.001]][s])
+    df = spark.createDataFrame(rows, "driver_id string, session_id string, seq long, t double").withColumn("extra", F.lit(1))
+    layout = SessionLayout()
     got = thin_irregular(df, layout).collect()
-    for s in range(3):
-        want = walk.thin_walk([r[3] for r in rows if r[1] == f"s{s}"])
-        assert sorted(r["t"] for r in got if r["session_id"] == f"s{s}") == want
-    regular = spark.createDataFrame([("d", "s", i, i / 10.0) for i in range(320)], df.schema)
+    for s in range(4):
+        micros = [(round(r[3] * 1e6), r[2]) for r in rows if r[1] == f"s{s}"]
+        want, last = [], 0
+        for us, seq in micros:
+            if us - last >= 500_000:
+                want.append(seq)
+                last = us
+        assert sorted(r["seq"] for r in got if r["session_id"] == f"s{s}") == want
+    assert thin_irregular(df.limit(0), layout).count() == 0
+    odd = spark.createDataFrame([("d", "s", 0, None), ("d", "s", 1, -1.0), ("d", "s", None, 2.0), ("d", "s", 3, 0.4), ("d", "s", 4, 0.5), ("d", "s", 5, 0.5)], df.drop("extra").schema)
+    assert [r["seq"] for r in thin_irregular(odd, layout).collect()] == [4]
+    regular = spark.createDataFrame([("d", "s", i, i / 10.0) for i in range(320)], df.drop("extra").schema)
     kept = sorted(r["t"] for r in thin_regular(regular, layout).collect())
     assert kept == walk.thin_walk([i / 10.0 for i in range(320)])
+    assert kept == sorted(r["t"] for r in thin_irregular(regular, layout).collect())
 
 
 def golden(spark):

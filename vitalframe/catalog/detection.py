@@ -17,13 +17,13 @@ from vitalframe.catalog.common import (
     rounded,
     timeline_sql,
 )
-from vitalframe.config import TRIAL_LAYOUT
+from vitalframe.config import TRIAL_LAYOUT, SessionLayout
 from vitalframe.functions import numeric
 from vitalframe.operators.classify import parameter_table, table_log_likelihoods
-from vitalframe.operators.intervals import active_intervals, thin_regular
+from vitalframe.operators.intervals import active_intervals, thin_irregular, thin_regular
 from vitalframe.operators.watchdog import security_events
 from vitalframe.plans import detect as detect_plan
-from vitalframe.sources.testviews import frames_sql
+from vitalframe.sources.testviews import frames_sql, table
 
 KEY = [*SESSION, "seq"]
 
@@ -149,6 +149,27 @@ STATUS_FRAMES = f"""WITH {frames_sql()}
 SELECT driver_id, session_id, seq, t, mode FROM frames_v WHERE seq > 0 AND seq % 5 = 0"""
 
 
+UNEVEN_SECONDS = 21600
+
+
+def uneven_status(spark, sf):
+    """Events of a user at least six hours after the last one shown; their times are uneven."""
+    rows = table(spark, sf, "events").select(
+        "user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t")
+    )
+    kept = thin_irregular(rows, SessionLayout(("user_id",), "event_id"), period=UNEVEN_SECONDS)
+    return kept.select("user_id", "event_id", "event_type")
+
+
+UNEVEN_STATUS = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events),
+one AS (SELECT user_id, us, min(event_id) AS event_id FROM e GROUP BY ALL),
+kept AS (
+  SELECT user_id, min(us) AS us FROM one WHERE us >= {UNEVEN_SECONDS * 1000000} GROUP BY user_id
+  UNION ALL
+  SELECT k.user_id, min(o.us) AS us FROM kept k JOIN one o ON o.user_id = k.user_id AND o.us >= k.us + {UNEVEN_SECONDS * 1000000} GROUP BY k.user_id)
+SELECT e.user_id, e.event_id, e.event_type FROM kept JOIN one USING (user_id, us) JOIN e ON e.user_id = one.user_id AND e.event_id = one.event_id"""
+
+
 def security_log(spark, sf):
     return security_events(decisions(spark, sf)).select(*KEY, "t", "steering_torque_nm", "message")
 
@@ -246,6 +267,7 @@ QUERIES = {
     "response_timeline": (response_timeline, RESPONSE_TIMELINE),
     "active_spans": (active_spans, ACTIVE_SPANS),
     "status_frames": (status_frames, STATUS_FRAMES),
+    "uneven_status": (uneven_status, UNEVEN_STATUS),
     "security_log": (security_log, SECURITY_LOG),
     "telemetry_series": (telemetry_series, TELEMETRY_SERIES),
     "post_onset_frames": (post_onset_frames, POST_ONSET),

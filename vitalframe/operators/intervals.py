@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.config import SessionLayout
-from vitalframe.operators.indexing import CHUNK, chunk_frames, dense_index, own_frames, session_window
+from vitalframe.operators.indexing import chunk_frames, dense_index, own_frames, session_window
+from vitalframe.sources.tables import cut_lineage
 
 
 def active_intervals(timeline: DataFrame, layout: SessionLayout, active: str) -> DataFrame:
@@ -48,72 +49,90 @@ def thin_regular(frames: DataFrame, layout: SessionLayout, every: int = 5) -> Da
     return frames.filter((F.col(layout.order) > 0) & (F.col(layout.order) % every == 0))
 
 
+#: A stretch of session time is so many periods long: its frames and those kept are bounded by the frame rate alone.
+STRETCH_PERIODS = 64
+
+
 def thin_irregular(
     frames: DataFrame, layout: SessionLayout, time: str = "t", period: float = 0.5
 ) -> DataFrame:
-    """Frames at least ``period`` after the last frame kept, starting from time 0.
+    """Frames at least ``period`` seconds after the last frame kept, starting from time 0.
 
-    Which frame is kept depends on the one kept before.  Each chunk is reduced to
-    a small map from the time kept before it to the time kept last in it; those
-    maps are chained per session, and every chunk then keeps its frames from its
-    own entry time.  Session time must not run backwards.
-    """
-    import numpy as np
-    import pandas as pd
+    Which frame is kept depends on the one kept before, so the frames form a chain of successors. Session time is cut into
+    stretches of 64 periods. A stretch can only be entered at one of its first frames (within one period of its start, or the next
+    one), and a fold over its times tells for each of them which frame is kept last: that is one pointer from an
+    entry to an entry of the next stretch. Pointers are doubled, so the entries that a session really takes are found in a number
+    of rounds that grows as the logarithm of its stretches, on a table of a few rows per stretch. Then every
+    stretch keeps its frames from its own entry.
 
+    Times are compared to the microsecond; of frames at one time the first in order counts. Frames before time 0 or without
+    a time or position are not kept. Session time must not run backwards.
+    """
     keys = list(layout.keys)
-    plain = SessionLayout(layout.keys, layout.order, None, layout.chunk_rows, 0)
-    rows = frames.withColumn(CHUNK, F.floor(F.col(layout.order) / F.lit(plain.chunk_rows)))
-
-    def follow(t: np.ndarray, last: float) -> list[int]:
-        kept, at = [], int(np.searchsorted(t - last, period, side="left"))
-        while at < len(t):
-            kept.append(at)
-            at = int(np.searchsorted(t - t[at], period, side="left"))
-        return kept
-
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf[time].to_numpy())
-        head = pdf.iloc[:1]
-        starts = np.flatnonzero(t - t[0] < period)
-        entries = sorted({int(i) for i in starts} | {min(int(starts[-1]) + 1, len(t))})
-        exits = []
-        for i in entries:
-            at, last = i, np.nan
-            while at < len(t):
-                last = t[at]
-                at = int(np.searchsorted(t - last, period, side="left"))
-            exits.append(last)
-        return pd.DataFrame(
-            {
-                **{k: head[k].iloc[0] for k in [*keys, CHUNK]},
-                "first_t": [float(t[i]) if i < len(t) else np.inf for i in entries],
-                "exit_t": exits,
-            }
-        )
-
-    key_types = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
-    maps = rows.select(*keys, CHUNK, time).groupBy(*keys, CHUNK).applyInPandas(
-        ways, f"{key_types}, {CHUNK} bigint, first_t double, exit_t double"
+    step = round(period * 1_000_000)
+    if step < 1:
+        raise ValueError("period must be at least a microsecond")
+    span = step * STRETCH_PERIODS
+    timed = frames.select(*keys, F.round(F.col(time) * 1_000_000).cast("long").alias("_us"), F.col(layout.order).alias("_at"))
+    timed = timed.filter("_us >= 0 and _at is not null")
+    single = timed.groupBy(*keys, "_us").agg(F.min("_at").alias("_at"))
+    stretch = F.floor(F.col("_us") / F.lit(span))
+    stretches = cut_lineage(
+        single.groupBy(*keys, stretch.alias("_n")).agg(F.array_sort(F.collect_list(F.struct("_us", "_at"))).alias("_frames"))
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], 0.0
-        for chunk, options in pdf.sort_values([CHUNK, "first_t"]).groupby(CHUNK):
-            out.append((chunk, last))
-            fits = options[options["first_t"] - last >= period]
-            if len(fits) and np.isfinite(fits["first_t"].iloc[0]):
-                last = float(fits["exit_t"].iloc[0])
-        made = pd.DataFrame(out, columns=[CHUNK, "_entry_t"])
-        for k in keys:
-            made[k] = pdf[k].iloc[0]
-        return made[[*keys, CHUNK, "_entry_t"]]
-
-    entries = maps.groupBy(*keys).applyInPandas(chain, f"{key_types}, {CHUNK} bigint, _entry_t double")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, layout.order])
-        return pdf.iloc[follow(pdf[time].to_numpy(), float(pdf["_entry_t"].iloc[0]))]
-
-    joined = rows.join(entries, [*keys, CHUNK])
-    return joined.groupBy(*keys, CHUNK).applyInPandas(keep, joined.schema).drop(CHUNK, "_entry_t")
+    def last_kept(start: Column) -> Column:
+        """The time kept last in a stretch whose first kept time is ``start``."""
+        return F.aggregate("_times", start, lambda last, t: F.when(t - last >= step, t).otherwise(last))
+
+    early = F.filter("_times", lambda t: t < F.col("_n") * span + step)
+    entries = F.slice("_times", F.lit(1), F.size(early) + 1)
+    per_session = Window.partitionBy(*keys).orderBy("_n")
+
+    def entry(last: Column, options: Column) -> Column:
+        """Where a stretch is entered after ``last``; -1 if none of its frames is kept."""
+        return F.coalesce(F.array_min(F.filter(options, lambda t: t >= last + step)), F.lit(-1).cast("long"))
+
+    short = stretches.withColumn("_times", F.col("_frames._us")).withColumn("_entries", entries)
+    ways = F.transform("_entries", lambda t: F.struct(t.alias("entry"), last_kept(t).alias("last")))
+    # one row a stretch: its entries with the last frame kept, and the entries of the next stretch
+    linked = short.select(
+        *keys,
+        "_n",
+        F.lag("_n").over(per_session).isNull().alias("_first"),
+        "_entries",
+        # a stretch none of whose frames is kept leaves a last frame before its start
+        F.array_append(ways, F.struct(F.lit(-1).cast("long").alias("entry"), (F.col("_n") * span - 1).alias("last"))).alias("_ways"),
+        F.lead(F.struct(F.col("_n").alias("n"), F.col("_entries").alias("entries"))).over(per_session).alias("_next"),
+    )
+    linked = cut_lineage(linked)
+    jumps = linked.select(*keys, "_n", F.explode("_ways").alias("_w"), "_next").filter("_next is not null")
+    jumps = cut_lineage(
+        jumps.select(*keys, "_n", F.col("_w.entry").alias("_entry"), F.col("_next.n").alias("_to"), entry(F.col("_w.last"), F.col("_next.entries")).alias("_to_entry"))
+    )
+    node = [*keys, "_n", "_entry"]
+    taken = cut_lineage(linked.filter("_first").select(*keys, "_n", entry(F.lit(0), F.col("_entries")).alias("_entry")))
+    count, before = taken.count(), 0
+    while count > before:
+        before = count
+        ahead = taken.join(jumps, node).select(*keys, F.col("_to").alias("_n"), F.col("_to_entry").alias("_entry"))
+        taken = cut_lineage(taken.unionByName(ahead).distinct())
+        count = taken.count()
+        onward = jumps.select(*keys, F.col("_n").alias("_to"), F.col("_entry").alias("_to_entry"), F.col("_to").alias("_far"), F.col("_to_entry").alias("_far_entry"))
+        jumps = cut_lineage(
+            jumps.join(onward, [*keys, "_to", "_to_entry"]).select(*node, F.col("_far").alias("_to"), F.col("_far_entry").alias("_to_entry"))
+        )
+    nothing = F.array().cast(stretches.schema["_frames"].dataType)
+    kept = F.aggregate(
+        "_frames",
+        F.struct(F.lit(None).cast("long").alias("last"), nothing.alias("kept")),
+        lambda a, f: F.when(
+            (f["_us"] >= F.col("_entry")) & (F.coalesce(f["_us"] - a["last"], F.lit(step)) >= step),
+            F.struct(f["_us"].alias("last"), F.array_append(a["kept"], f).alias("kept")),
+        ).otherwise(a),
+        lambda a: a["kept"],
+    )
+    chosen = stretches.join(taken.filter("_entry >= 0"), [*keys, "_n"]).select(*keys, F.explode(kept).alias("_f"))
+    chosen = chosen.select(*keys, F.col("_f._at").alias(layout.order), F.col("_f._us").alias("_us"))
+    placed = frames.withColumn("_us", F.round(F.col(time) * 1_000_000).cast("long"))
+    return placed.join(chosen, [*keys, layout.order, "_us"], "left_semi").drop("_us")

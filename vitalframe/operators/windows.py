@@ -8,7 +8,7 @@ share them.  Starts are 0, hop, 2 hop, ...; a trailing partial window is dropped
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from math import gcd
 
@@ -172,20 +172,33 @@ def window_arrays(
     idx: str,
     channels: Sequence[str],
     spec: Windowing,
+    counts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Each full window with one value array per channel, in sample order.
 
-    A window's arrays hold ``spec.window`` values, so the collected group has a
-    fixed size.
+    Samples are gathered once, into one array per channel and pane; windows are put together from their panes, so raw
+    rows are neither repeated nor sorted per window. ``counts`` names sums over a window's samples. A window's arrays hold
+    ``spec.window`` values, so the collected groups have a fixed size.
     """
-    keys = list(keys)
-    spread = samples.withColumn(WIN, F.explode(spec.windows_of_sample(F.col(idx))))
-    packed = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *channels)))
+    keys, counts = list(keys), dict(counts or {})
+    first = F.col(idx)
+    # sort_array compares natively, array_sort through a lambda
+    packed = F.sort_array(F.collect_list(F.struct(first.alias("_i"), *[F.col(c).alias(c) for c in channels])))
+    panes = (
+        samples.groupBy(*keys, spec.pane_of(first).alias(PANE))
+        .agg(packed.alias("_s"), *[F.sum(value).alias(name) for name, value in counts.items()])
+        .filter(F.size("_s") == spec.pane)
+        .select(*keys, PANE, *[F.col(f"_s.{c}").alias(c) for c in channels], *counts)
+    )
+    if spec.panes_per_window == 1:
+        return spec.spread(panes).drop(PANE)
+    parts = F.sort_array(F.collect_list(F.struct(PANE, *channels)))
     return (
-        spread.groupBy(*keys, WIN)
-        .agg(packed.alias("_s"))
-        .filter(F.size("_s") == spec.window)
-        .select(*keys, WIN, *[F.col(f"_s.{c}").alias(c) for c in channels])
+        spec.spread(panes)
+        .groupBy(*keys, WIN)
+        .agg(parts.alias("_p"), *[F.sum(name).alias(name) for name in counts])
+        .filter(F.size("_p") == spec.panes_per_window)
+        .select(*keys, WIN, *[F.flatten(F.col(f"_p.{c}")).alias(c) for c in channels], *counts)
     )
 
 

@@ -56,8 +56,8 @@ def with_headers(spark: SparkSession, path: str, glob: str, of_header: dict[str,
 
 
 def fields(line: Column) -> Column:
-    """Comma-separated fields; commas inside double quotes do not split."""
-    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    """Comma-separated fields; commas inside double quotes do not split. One pass over the line."""
+    parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('((?:"[^"]*"|[^,"])*+),'), F.lit(1))
     return F.transform(parts, lambda p: F.btrim(F.trim(p), F.lit('"')))
 
 
