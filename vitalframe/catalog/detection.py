@@ -19,7 +19,7 @@ from vitalframe.catalog.common import (
 )
 from vitalframe.config import TRIAL_LAYOUT, SessionLayout
 from vitalframe.functions import numeric
-from vitalframe.operators.classify import parameter_table, table_log_likelihoods
+from vitalframe.operators.classify import parameter_table, table_classifier, table_log_likelihoods, weight_table
 from vitalframe.operators.intervals import active_intervals, thin_irregular, thin_regular
 from vitalframe.operators.watchdog import security_events
 from vitalframe.plans import detect as detect_plan
@@ -86,6 +86,12 @@ def frame_decisions(spark, sf):
 FRAME_DECISIONS = f"""WITH {decisions_sql()} SELECT driver_id, session_id, seq, {', '.join(DECISION)} FROM dec"""
 
 
+def table_decisions(spark, sf):
+    """The same decisions with class parameters, grip probabilities and priors looked up in tables."""
+    classify = table_classifier(parameter_table(spark), weight_table(spark))
+    return detect_plan.detect(frames(spark, sf), TRIAL_LAYOUT, classify).select(*KEY, *DECISION)
+
+
 def class_parameter_join(spark, sf):
     feats = detect_plan.features(frames(spark, sf), TRIAL_LAYOUT)
     out = table_log_likelihoods(feats, parameter_table(spark)).select(*KEY, "class", "log_likelihood")
@@ -264,6 +270,7 @@ QUERIES = {
     "class_posteriors": (class_posteriors, CLASS_POSTERIORS),
     "class_parameter_join": (class_parameter_join, _parameter_sql()),
     "frame_decisions": (frame_decisions, FRAME_DECISIONS),
+    "table_decisions": (table_decisions, FRAME_DECISIONS),
     "response_timeline": (response_timeline, RESPONSE_TIMELINE),
     "active_spans": (active_spans, ACTIVE_SPANS),
     "status_frames": (status_frames, STATUS_FRAMES),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalframe import config as C
-from vitalframe.catalog.common import num, rounded, round_sql
+from vitalframe.catalog.common import decisions_sql, num, rounded, round_sql
+from vitalframe.config import TRIAL_LAYOUT
 from vitalframe.functions import arrays as A
 from vitalframe.functions.records import (
     measured_modalities,
@@ -19,6 +20,7 @@ from vitalframe.functions.records import (
 from vitalframe.functions.spectral import band_ratio, seizure_energy_ratio
 from vitalframe.operators import windows as W
 from vitalframe.plans import activity, beats
+from vitalframe.plans.detect import detect
 from vitalframe.sources import inertial
 from vitalframe.sources import testviews as V
 
@@ -153,6 +155,23 @@ SEIZURE_RATIO = f"""WITH {_axes_sql(3)}, {spectrum_sql('ax', 'row_idx', 100.0, '
 SELECT row_idx, CASE WHEN is_whole THEN round(ratio, 6) END AS ratio FROM ratio JOIN whole USING (row_idx)"""
 
 
+MOTION = ["operational_mode", "tonic_detected", "estimated_gcs", "predicted_class", "candidate_class", "mrm_trigger_flag", "override_suppressed"]
+MOTION_NUMBERS = ["ser_2_6hz", "ser_gyro_2_6hz", "psi", "top_confidence"]
+
+
+def motion_decisions(spark, sf):
+    """Decisions of frames that carry raw motion windows: three segments an axis, both spectra, tonic frames among them."""
+    rows = detect(V.motion_view(spark, sf), TRIAL_LAYOUT)
+    return rounded(rows.select("driver_id", "session_id", "seq", *MOTION, *MOTION_NUMBERS), MOTION_NUMBERS)
+
+
+_MOTION_FRAMES = f"""{V.motion_sql()}, {spectrum_sql('axs', 'g, kind', 100.0, '3e-6', True)},
+frames_v AS (SELECT bare.*, a.ratio AS ser_2_6hz, r.ratio AS ser_gyro_2_6hz FROM bare
+  JOIN ratio a ON a.g = bare.g AND a.kind = 0 JOIN ratio r ON r.g = bare.g AND r.kind = 1)"""
+MOTION_DECISIONS = f"""WITH {decisions_sql(_MOTION_FRAMES)}
+SELECT driver_id, session_id, seq, {', '.join(MOTION)}, {round_sql(MOTION_NUMBERS)} FROM dec"""
+
+
 def generic_band_ratio(spark, sf):
     rows = V.table(spark, sf, "embeddings").select("vec_id", V.doubles().alias("v"))
     return rounded(rows.select("vec_id", band_ratio(F.col("v"), fs=50.0).alias("ratio")), ["ratio"])
@@ -444,6 +463,7 @@ QUERIES = {
     "pulse_trajectories": (pulse_trajectories, TRAJECTORIES),
     "pulse_states": (pulse_states, STATES),
     "seizure_energy_ratio": (seizure_ratio, SEIZURE_RATIO),
+    "motion_decisions": (motion_decisions, MOTION_DECISIONS),
     "band_ratio": (generic_band_ratio, BAND_RATIO),
     "segment_stats": (segment_stats, SEGMENT_STATS),
     "zipped_files": (zipped_files, ZIPPED),

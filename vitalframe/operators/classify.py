@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,6 +133,64 @@ def parameter_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "class string, feature string, mean double, std double")
 
 
+def weight_table(spark) -> DataFrame:
+    """Grip probabilities and priors as a table of (class, kind, name, probability); kind is ``grip`` or ``prior``."""
+    rows = [(cls, "grip", grip, p) for cls in C.CLASSES for grip, p in C.GRIP[cls].items()]
+    rows += [(cls, "prior", name, table[cls]) for name, table in (("usual", C.PRIOR), ("tonic", C.PRIOR_TONIC)) for cls in C.CLASSES]
+    return spark.createDataFrame(rows, "class string, kind string, name string, probability double")
+
+
+def table_classifier(params: DataFrame, weights: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A classifier for ``detect`` whose parameters are tables, with the gates of the default one.
+
+    ``params`` holds (class, feature, mean, std), ``weights`` (class, kind, name, probability). Both are pivoted to one row, a
+    scalar, so frames neither multiply nor shuffle. A feature without parameters does not count for its
+    class, a grip without a probability weighs ``GRIP_UNKNOWN``, a class without a prior cannot be.
+    """
+    features = (*VISION, "ser_2_6hz", "psi")
+    grips = sorted({g for table in C.GRIP.values() for g in table})
+    cells = {}
+    for cls in C.CLASSES:
+        for f in features:
+            own = (F.col("class") == cls) & (F.col("feature") == f)
+            cells[f"m_{cls}_{f}"] = F.max(F.when(own, F.col("mean")))
+            cells[f"s_{cls}_{f}"] = F.max(F.when(own, F.col("std")))
+    shares = {}
+    for cls in C.CLASSES:
+        for kind, names in (("grip", grips), ("prior", ("usual", "tonic"))):
+            for name in names:
+                own = (F.col("class") == cls) & (F.col("kind") == kind) & (F.col("name") == name)
+                shares[f"{kind}_{cls}_{name}"] = F.max(F.when(own, F.ln("probability")))
+    bells = params.agg(*[c.alias(n) for n, c in cells.items()]).select(F.struct("*").alias("p"))
+    logs = weights.agg(*[c.alias(n) for n, c in shares.items()]).select(F.struct("*").alias("w"))
+
+    def density(cls: str, f: str) -> str:
+        mean, std = f"_p.m_{cls}_{f}", f"_p.s_{cls}_{f}"
+        return f"coalesce(-ln({std} * sqrt(2 * pi())) - power(({f} - {mean}) / {std}, 2) / 2, 0D)"
+
+    def classify(frames: DataFrame) -> DataFrame:
+        gated = frames.withColumns(
+            {
+                "_p": bells.scalar(),
+                "_w": logs.scalar(),
+                "_vision": F.expr(f"NOT degraded_1 AND face_detected AND optical_snr_db > {double(C.MIN_OPTICAL_SNR_DB)}"),
+                "_imu": F.expr("NOT degraded_2 AND imu_heartbeat_ok"),
+            }
+        )
+        scores = {}
+        for cls in C.CLASSES:
+            grip = " ".join(f"WHEN '{g}' THEN coalesce(_w.grip_{cls}_{g}, {double(math.log(C.GRIP_UNKNOWN))})" for g in grips)
+            scores[f"_ll_{cls}"] = F.expr(
+                f"CASE WHEN _vision THEN {' + '.join(density(cls, f) for f in VISION)} ELSE 0D END"
+                f" + CASE WHEN _imu THEN {density(cls, 'ser_2_6hz')} ELSE 0D END + {density(cls, 'psi')}"
+                f" + CASE wheel_grip {grip} ELSE {double(math.log(C.GRIP_UNKNOWN))} END"
+                f" + coalesce(CASE WHEN tonic_detected THEN _w.prior_{cls}_tonic ELSE _w.prior_{cls}_usual END, double('-Infinity'))"
+            )
+        return posterior_columns(gated.withColumns(scores).drop("_p", "_w", "_vision", "_imu"))
+
+    return classify
+
+
 def table_log_likelihoods(features: DataFrame, params: DataFrame) -> DataFrame:
     """Per-class log likelihood of ungated features under a parameter table.
 

@@ -393,3 +393,62 @@ RAW_BUS_SQL = """raw AS (
   SELECT event_id, 288 + event_id % 3 AS arb_id,
          (event_id % 1000003 * 2654435761 + user_id % 65536 * 40503) * 3 + event_id AS x
   FROM events)"""
+
+
+MOTION_VECTORS = 12  # two kinds, three axes, two vectors of 64 samples each
+
+
+def motion_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as frames that carry raw motion windows of 128 samples; every fourth frame is a tonic one.
+
+    Twelve consecutive vectors are a frame: acceleration and rotation, x, y and z, two vectors laid end to end. Pulse and pitch
+    come from the first two entries. Frames that lack a vector are left out.
+    """
+    part = F.col("vec_id") % MOTION_VECTORS
+    vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / MOTION_VECTORS).alias("g"), part.alias("j"), doubles().alias("v"))
+    gathered = vectors.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), *[F.any_value(F.when(F.col("j") == k, F.col("v")), True).alias(f"v{k}") for k in range(MOTION_VECTORS)]
+    ).filter(F.col("n") == MOTION_VECTORS)
+
+    def window(first: int) -> Column:
+        axes = [F.concat(f"v{first + 2 * a}", f"v{first + 2 * a + 1}").alias(name) for a, name in enumerate("xyz")]
+        return F.arrays_zip(*axes)
+
+    return gathered.withColumns({"imu_accel_window": window(0), "imu_gyro_window": window(6)}).selectExpr(
+        "'0' AS driver_id",
+        "CAST(g div 40 AS STRING) AS session_id",
+        "g % 40 AS seq",
+        "timestamp_micros(1704067200000000 + g * 100000) AS event_time",
+        "(g % 40) / 10D AS t",
+        "imu_accel_window",
+        "imu_gyro_window",
+        *[f"{text} AS {name}" for name, text in _MOTION.items()],
+        "CAST(0.88D + (g % 4) * 0.03D AS DOUBLE) AS fsr_pressure",
+        "0.5D AS steering_torque_nm",
+        "g % 5 <> 4 AS imu_heartbeat_ok",
+        "true AS face_detected",
+        "false AS brake_pedal_pressed",
+        "8.5D AS optical_snr_db",
+    )
+
+
+#: The same text in both dialects, over the group number g and vectors v0.
+_MOTION = {
+    "ear": "CAST(CASE g % 4 WHEN 3 THEN 0.1 WHEN 2 THEN 0.16 ELSE 0.31 END AS DOUBLE)",
+    "wheel_grip": "CASE g % 4 WHEN 3 THEN 'CLENCHED' WHEN 1 THEN 'DISENGAGED' ELSE 'ACTIVE' END",
+    "rppg_hr_bpm": "75 + 20 * element_at(v0, 1)",
+    "pitch_deg": "10 * element_at(v0, 2)",
+}
+
+
+def motion_sql() -> str:
+    """CTEs ending in ``frames_v`` but for the two band-energy columns, and ``axs`` (g, kind, axis, v): a row per axis and segment."""
+    texts = ", ".join(f"{re.sub(r'element_at[(]v0, ([12])[)]', r'v0[\1]::DOUBLE', text)} AS {name}" for name, text in _MOTION.items())
+    return f"""vecs AS (SELECT vec_id // {MOTION_VECTORS} AS g, vec_id % {MOTION_VECTORS} AS j, embedding AS v FROM embeddings),
+whole AS (SELECT g, max(v) FILTER (j = 0) AS v0 FROM vecs GROUP BY g HAVING count(*) = {MOTION_VECTORS}),
+laid AS (SELECT a.g, a.j // 6 AS kind, a.j % 6 // 2 AS axis, list_concat(a.v, b.v) AS v
+  FROM vecs a JOIN vecs b ON a.g = b.g AND b.j = a.j + 1 JOIN whole ON whole.g = a.g WHERE a.j % 2 = 0),
+axs AS (SELECT g, kind, axis * 3 + s AS axis, v[s * 32 + 1 : s * 32 + 64] AS v FROM laid, range(0, 3) r(s)),
+bare AS (SELECT g, '0' AS driver_id, (g // 40)::VARCHAR AS session_id, g % 40 AS seq, make_timestamp(1704067200000000 + g * 100000) AS event_time,
+  (g % 40) / 10.0::DOUBLE AS t, {texts}, 0.88::DOUBLE + (g % 4) * 0.03::DOUBLE AS fsr_pressure, 0.5::DOUBLE AS steering_torque_nm, g % 5 <> 4 AS imu_heartbeat_ok,
+  true AS face_detected, false AS brake_pedal_pressed, 8.5::DOUBLE AS optical_snr_db FROM whole)"""
