@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line matches."""
-    return drop_lines(docs, short=True)
+    return drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +34,22 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words from, with size, source_size, target and taken; repeated rows share theirs."""
-    mix = stored(mix_sources(docs).filter("taken > 0"), "mixed")
-    mix = mix.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken")
+    """Documents that the mix takes words from, with size, source_size, target and taken.
+
+    A document is its id, source and text: rows without an id and rows that share one are told apart by their texts. Rows
+    equal in all three share what the mix takes from them evenly, rounded up.
+    """
+    docs = docs.drop("size", "source_size", "target", "taken", "_digest").withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
+    own = ["doc_id", "source", "_digest"]
+    mix = mix_sources(docs, carry=("_digest",)).groupBy(*own).agg(
+        F.max("size").alias("size"),
+        F.max("source_size").alias("source_size"),
+        F.max("target").alias("target"),
+        F.ceil(F.avg("taken")).cast("long").alias("taken"),
     )
-    docs = docs.drop("size", "source_size", "target", "taken")
-    return docs.join(mix, docs["doc_id"].eqNullSafe(mix["_id"])).drop("_id")
+    mix = stored(mix.filter("taken > 0").withColumnsRenamed({c: f"_{c}" for c in own}), "mixed")
+    same = [docs[c].eqNullSafe(mix[f"_{c}"]) for c in own]
+    return docs.join(mix, same).drop(*[f"_{c}" for c in own], "_digest")
 
 
 STAGES = [
