@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join with prefix, positional and length filters.
 
-A line's tokens are its distinct pairs of neighbouring words, A-Z lower-cased; single words are too few to be rare. Lines of
-under MIN_WORDS words are never matched. A line goes if an earlier line, in the order (doc_id, line number),
-has a token set of Jaccard similarity THRESHOLD or more.
+A line's tokens are its distinct pairs of neighbouring words, A-Z lower-cased; single words are too few to be rare. A line of
+under MIN_WORDS words has one token, all its words in order. A line goes if an earlier line, in the order (doc_id, line
+number), has a token set of Jaccard similarity THRESHOLD or more; lines without words stay.
 
 Two sets that similar share a token among the rarest few of each (the prefix). The order is by a rarity class,
 taken from counts in a fixed number of hash buckets over the whole corpus, then by hash; any fixed order is
@@ -23,8 +23,6 @@ THRESHOLD = 85
 BUCKETS = 1 << 16
 #: Documents whose wanted line numbers are broadcast at most; more are joined by shuffle.
 WANTED = 300_000
-#: A line of at least MIN_WORDS words; no more of it is read.
-ENOUGH = rf"^[\x20\x09-\x0D]*({WORD}{GAP}){{{MIN_WORDS - 1}}}[^\x20\x09-\x0D]"
 
 
 def _pairs(words: Column) -> Column:
@@ -38,7 +36,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def each_line(rows: DataFrame, make, least: int = MIN_WORDS) -> DataFrame:
+def each_line(rows: DataFrame, make, least: int) -> DataFrame:
     """(doc_id, line_no, made): ``make(words)`` of every line with at least ``least`` words.
 
     The words are bound once by an array of one element and a generator, so no later step splits a line again.
@@ -55,7 +53,7 @@ def each_line(rows: DataFrame, make, least: int = MIN_WORDS) -> DataFrame:
 
 def rarity(docs: DataFrame) -> Column:
     """Array literal: the rarity class (four per doubling) of each bucket of token hashes, counted over all lines."""
-    tokens = each_line(lines_of(docs), _pairs).select(F.explode("made").alias("t"))
+    tokens = each_line(lines_of(docs), _pairs, MIN_WORDS).select(F.explode("made").alias("t"))
     counts = tokens.groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     classes = ["0"] * BUCKETS
     for row in counts.select("b", F.floor(F.log2("n") * 4).cast("int").alias("c")).toLocalIterator():
@@ -63,10 +61,10 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
 
-def _token_sets(rows: DataFrame, classes: Column, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, tokens) of lines: distinct tokens, rarest first: class above, 54 bits of hash below.
+def _token_sets(rows: DataFrame, classes: Column, least: int = 1) -> DataFrame:
+    """(doc_id, line_no, tokens) of lines with ``least`` words: distinct tokens, rarest first: class above, 54 bits of hash below.
 
-    With ``short``, also lines of fewer words: their tokens are null, null and the two halves of a digest of all words.
+    The one token of a line of under MIN_WORDS words is written as null, null and the two halves of a digest of its words.
     """
 
     def ranked(t: Column) -> Column:
@@ -75,9 +73,9 @@ def _token_sets(rows: DataFrame, classes: Column, short: bool = False) -> DataFr
     def made(w: Column) -> Column:
         tokens = F.sort_array(F.array_distinct(F.transform(_pairs(w), ranked)))
         none = F.lit(None).cast("long")
-        return F.when(F.size(w) >= MIN_WORDS, tokens).otherwise(F.array(none, none, F.xxhash64(w), F.xxhash64(F.lit(7), w))) if short else tokens
+        return F.when(F.size(w) >= MIN_WORDS, tokens).otherwise(F.array(none, none, F.xxhash64(w), F.xxhash64(F.lit(7), w)))
 
-    return each_line(rows, made, 1 if short else MIN_WORDS).withColumnRenamed("made", "tokens")
+    return each_line(rows, made, least).withColumnRenamed("made", "tokens")
 
 
 def _required(n: Column, m: Column) -> Column:
@@ -101,7 +99,7 @@ def _sets_for(docs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(lines) if lines.count() <= WANTED else lines, "doc_id")
     numbered = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda r: F.array_contains("wanted", r["line_no"]))
     rows = texts.select("doc_id", F.explode(numbered).alias("r")).select("doc_id", "r.line_no", "r.line")
-    return stored(_token_sets(rows, classes), "line-sets")
+    return stored(_token_sets(rows, classes, MIN_WORDS), "line-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
@@ -121,21 +119,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, near) of every line that an earlier one makes superfluous; near: no equal set came before.
 
-    With ``short``, lines of under MIN_WORDS words go too if an earlier line has the same words in the same order.
-
+    Short lines match equal ones alone, so they meet in the grouping of equal sets and have no prefix.
     Equal sets are one, represented by their first line. Tokens that only one set has in its prefix drop out.
     Each set first meets the earliest set that shares a prefix token, which is linear in any group of copies; only
     sets that found no match that way meet all earlier ones that share a token.
     """
     classes = rarity(docs)
-    lines = _token_sets(lines_of(docs), classes, short)
+    lines = _token_sets(lines_of(docs), classes)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * THRESHOLD / F.lit(100.0) - 1e-9) + 1).cast("int"))
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))))
-    lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), parity.alias("parity"), (F.when(F.col("tokens")[0].isNotNull(), prefix).otherwise(F.array().cast("array<bigint>")) if short else prefix).alias("prefix"))
+    lines = lines.select("doc_id", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), n.alias("n"), parity.alias("parity"), F.when(F.col("tokens")[0].isNotNull(), prefix).otherwise(F.array().cast("array<bigint>")).alias("prefix"))
     first = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("s"))
     first = stored(first.select("s.*"), "first-lines")
 
@@ -164,7 +161,7 @@ def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     seen = docs.filter("text is not null and doc_id is not null").select(
         "doc_id",
         F.filter(
-            F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]" if short else ENOUGH), i)),
+            F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)),
             lambda i: i.isNotNull(),
         ).alias("seen"),
     )
@@ -199,13 +196,13 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents with superfluous lines taken out of ``text``, and n_chars, where there is one, set anew.
 
-    A document of which nothing but blank lines is left goes; one that had no words from the start stays.
-    ``short`` as in ``removed_lines``.
+    A document of which nothing but blank lines is left goes; one that had no words from the start stays. Documents
+    without an id keep all lines.
     """
-    gone = removed_lines(docs, short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"]))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left").withColumn("text", text)
@@ -225,9 +222,10 @@ WITH split AS (
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 worded AS (
   SELECT doc_id, line_no, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM split),
-long AS (SELECT * FROM worded WHERE len(w) >= {MIN_WORDS}),
 sets AS (
-  SELECT doc_id, line_no, list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM long),
+  SELECT doc_id, line_no, CASE WHEN len(w) < {MIN_WORDS} THEN ['whole line: ' || array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+  FROM worded WHERE len(w) > 0),
 classes AS (SELECT s, min((doc_id, line_no)) AS first, row_number() OVER () AS k, len(s) AS n FROM sets GROUP BY s),
 tokens AS (SELECT k, n, first, unnest(s) AS t FROM classes),
 near AS (

@@ -80,9 +80,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, r
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: str = SEED
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: str = SEED, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Words that a mix takes from each document: doc_id, size, source_size, target, taken, source.
+    """Words that a mix takes from each document: doc_id, size, source_size, target, taken, source and the ``carry`` columns.
 
     Sources in code-point order (null last) weigh ``weights`` in turn. The mix is cut into equal-token blocks;
     sources get blocks, then the shards of a source get theirs, by highest quotients. A shard lays its documents
@@ -92,10 +92,11 @@ def mix_sources(
     A source of under LEAST_BLOCKS blocks has smaller blocks of its own and as many as meet its target, and shards
     are not smaller than blocks, so that small sources too come near their target.
 
-    Null text or text without words has size 0 and nothing taken. A null id hashes as empty text. Repeated rows
+    Null text or text without words has size 0 and nothing taken. A row without an id is placed by its text. Repeated rows
     are laid out one after the other. An empty table gives no rows. Other columns are not read.
     """
-    mark = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
+    mark = F.md5(F.concat(F.lit(seed + ":"), own))
     sized = stored(
         docs.select(
             "doc_id",
@@ -103,14 +104,15 @@ def mix_sources(
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"),
             word_count(F.col("text")).alias("size"),
             mark.alias("mark"),
+            *carry,
         ),
         "mix-sizes",
     )
-    return mix_sizes(sized, weights, share, repeat, seed)
+    return mix_sizes(sized, weights, share, repeat, seed, carry)
 
 
-def mix_sizes(sized: DataFrame, weights: tuple[int, ...], share: float, repeat: int, seed: str) -> DataFrame:
-    """``mix_sources`` from a stored table (doc_id, source, key, size, mark)."""
+def mix_sizes(sized: DataFrame, weights: tuple[int, ...], share: float, repeat: int, seed: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``mix_sources`` from a stored table (doc_id, source, key, size, mark and the ``carry`` columns)."""
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sources, weights, share, repeat)
     block = F.greatest(F.lit(1.0), F.ceil(F.sqrt("total") / 64).cast("double"))
@@ -163,7 +165,7 @@ def mix_sizes(sized: DataFrame, weights: tuple[int, ...], share: float, repeat:
         + overlap(edge(F.col("from")), edge(F.least(last, F.col("cells"))))
         + overlap(F.lit(0).cast("long"), edge(F.greatest(F.lit(0), last - F.col("cells"))))
     )
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", *carry)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +191,7 @@ OP8_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS mark
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, '')))) AS mark
   FROM documents),
 src AS (
   SELECT key, source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
