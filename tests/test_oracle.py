@@ -22,6 +22,7 @@ def test_query_equals_sql(spark, con, sf, name):
     assert equal, message
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql])
+# ``model_answers`` collects the whole audit
+@pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql and n != "model_audit"])
 def test_query_runs(spark, sf, name):
     assert REGISTRY[name][0](spark, sf).collect()
