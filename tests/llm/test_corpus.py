@@ -403,9 +403,10 @@ def test_units_are_cut_at_their_places(spark):
 def test_one_document_lines(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p\nx\nx\na b c d e f g h i j k l m n o p\na b c d e f g h i j k l m n o q\nz y", "en", "a", 1)], DOCS)
     (row,) = linededup.line_report(docs).collect()
-    assert (row.n_lines, row.n_repeated, row.n_near, row.removed) == (6, 1, 1, [3, 4])
+    # a short line that repeats an earlier one goes like any other
+    assert (row.n_lines, row.n_repeated, row.n_near, row.removed) == (6, 2, 1, [2, 3, 4])
     (row,) = linededup.drop_lines(docs).collect()
-    assert row.text == "a b c d e f g h i j k l m n o p\nx\nx\nz y" and row.n_chars == len(row.text)
+    assert row.text == "a b c d e f g h i j k l m n o p\nx\nz y" and row.n_chars == len(row.text)
 
 
 def test_short_lines_of_the_pipeline(spark):
