@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import oracle
 from llm import brute
-from vitalframe.llm import classlm, components, decontaminate, induced, langid, linededup, minhash, mixing, mtree, substrings, toxicity, unitdedup
+from vitalframe.llm import classlm, common, components, decontaminate, induced, langid, linededup, minhash, mixing, mtree, substrings, toxicity, unitdedup
 from vitalframe.llm.registry import registry
 
 REGISTRY = registry()
@@ -84,6 +84,24 @@ def test_leaks_equal_brute_force(spark, sf, rows):
         assert got[key][0] == pytest.approx(s) and got[key][1] == p
 
 
+def test_leaks_of_short_items_and_small_pieces_of_long_texts(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "Forty two"), (2, "a b c d e f g")], "item_id long, text string")
+    rows = [(10, " forty  TWO "), (11, "forty two three"), (12, "so forty two it is then"), (13, "x " * 40 + "a b c d e f g" + " y" * 40), (14, None), (15, "two")]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
+    want = {(10, 1, 1.0, 0, 2), (13, 2, 1.0, 40, 7)}
+    for windows in (1 << 12, 3):
+        monkeypatch.setattr(decontaminate, "WINDOWS", windows)
+        assert {tuple(r) for r in decontaminate.leaks(docs, items).collect()} == want
+
+
+def test_long_regular_words_are_told_apart():
+    bits = np.array([bin(i).count("1") & 1 for i in range(2048)])
+    data = np.concatenate([97 + bits, 98 - bits]).astype(np.uint8)
+    cuts = np.array([0, 2048]), np.array([2048, 4096])
+    assert len(set(common.range_hashes(common.prefix_sums(data), *cuts).tolist())) == 1
+    assert len(set(common.word_hashes(data, *cuts).tolist())) == 2
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     data = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 12))) for i in range(40)]

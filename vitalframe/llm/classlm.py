@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import documents, lowered, prefix_sums, range_hashes, remainder, sent, stored, text_slices, word_ranges
+from vitalframe.llm.common import documents, lowered, remainder, sent, stored, text_slices, word_hashes, word_ranges
 
 HEAD = 1 << 18  # most words whose counts and classes travel to the tasks
 CLUSTERED = HEAD  # symbols from here on are the endings of words outside the head
@@ -41,7 +41,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """(hash, ending, bounds) of all words."""
     data = lowered(data)
     start, end, bounds = word_ranges(data, offsets)
-    hashes = range_hashes(prefix_sums(data), start, end)
+    hashes = word_hashes(data, start, end)
     last = data[end - 1].astype(np.int64)
     before = np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0).astype(np.int64)
     return hashes, (last * 31 + before * 17) % ENDINGS, bounds

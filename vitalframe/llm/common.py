@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 1 << 20
+LONG_WORD = 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +117,15 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words given by their byte ranges. Polynomials modulo 2**64 collide on some long regular strings (such as
+    Thue-Morse words), so words of over ``LONG_WORD`` bytes are hashed with XXH64."""
+    out = range_hashes(prefix_sums(data), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about ``limit`` bytes; null is empty."""
     column = column.cast(pa.large_binary())

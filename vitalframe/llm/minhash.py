@@ -20,11 +20,10 @@ from vitalframe.llm.common import (
     lowered,
     mixed,
     only,
-    prefix_sums,
-    range_hashes,
     shingle_hashes,
     stored,
     text_slices,
+    word_hashes,
     word_ranges,
 )
 from vitalframe.llm.components import components
@@ -47,7 +46,7 @@ def text_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """Sorted distinct shingle hashes of each text and their bounds."""
     data = lowered(data)
     start, end, bounds = word_ranges(data, offsets)
-    grams, bounds = shingle_hashes(range_hashes(prefix_sums(data), start, end), bounds, SHINGLE)
+    grams, bounds = shingle_hashes(word_hashes(data, start, end), bounds, SHINGLE)
     sets = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     out = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
     return np.concatenate(sets) if sets else grams[:0], out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import LOWER, UPPER, documents, lowered, mixed, prefix_sums, range_hashes, stored, text_slices, word_ranges
+from vitalframe.llm.common import LOWER, UPPER, documents, lowered, mixed, stored, text_slices, word_hashes, word_ranges
 
 MIN_WORDS = 6
 # Characters that end a unit.
@@ -38,7 +38,7 @@ def units_of(data: np.ndarray, offsets: np.ndarray):
     text = np.searchsorted(offsets, first, "right") - 1
     low = lowered(data)
     start, stop, bounds = word_ranges(low, np.append(first, len(data)))
-    hashes = range_hashes(prefix_sums(low), start, stop)
+    hashes = word_hashes(low, start, stop)
     count = np.diff(bounds)
     # a digest is a sum over the words, each mixed with its place
     place = np.arange(len(hashes)) - np.repeat(bounds[:-1], count)
