@@ -418,6 +418,30 @@ def test_units_are_cut_at_their_places(spark):
     assert {r.doc_id: r.text for r in unitdedup.drop_units(docs).collect()}[1] == text.replace("ONE two  three four five six.", "")
 
 
+def test_passages_go_wherever_they_begin(spark):
+    rng = np.random.default_rng(3)
+
+    def prose(n, stops):
+        words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        return " ".join(w + "." if stops and i % 17 == 16 else w for i, w in enumerate(words))
+
+    for stops, least in ((True, 0.6), (False, 0.6)):
+        passages = [prose(80, stops) for _ in range(20)]
+        rows = [(2 * i + k, f"{prose(9 + 7 * k, False)} {p} {prose(11, False)}.", None, None, None) for i, p in enumerate(passages) for k in (0, 1)]
+        # a text in a script without blanks, and a short sentence that follows the same sentence
+        rows += [(d, "\u6587\u5b57\u306e\u5217" * 9 + "\u3002" + str(d) + " own.", None, None, None) for d in (100, 101)]
+        rows += [(d, f"Start {d}. This one sentence has some seven words. Yes it has. The end {d}.", None, None, None) for d in (200, 201)]
+        rows += [(300, "Other words. Yes it has.", None, None, None)]
+        kept = {r.doc_id: r.text for r in unitdedup.drop_units(spark.createDataFrame(rows, DOCS)).collect()}
+        text = {r[0]: r[1] for r in rows}
+        gone = [1 - len(kept[2 * i + 1]) / len(text[2 * i + 1]) for i in range(20)]
+        own = [len(p) / len(text[2 * i + 1]) for i, p in enumerate(passages)]
+        assert sum(gone) / sum(own) >= least and all(g <= o for g, o in zip(gone, own)) and all(gone)
+        assert all(kept[2 * i] == text[2 * i] for i in range(20))
+        assert kept[100] == text[100] and kept[101] == "101 own."
+        assert kept[200] == text[200] and kept[201].split() == ["Start", "201.", "The", "end", "201."] and kept[300] == text[300]
+
+
 def test_one_document_lines(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p\nx\nx\na b c d e f g h i j k l m n o p\na b c d e f g h i j k l m n o q\nz y", "en", "a", 1)], DOCS)
     (row,) = linededup.line_report(docs).collect()
