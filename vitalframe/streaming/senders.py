@@ -6,12 +6,10 @@ columns. What a sender's frames are numbered with or accepted by therefore does
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,73 +17,130 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from vitalframe import config as C
 from vitalframe.functions.codec import pack_commands
 from vitalframe.operators.audit import frame_checks
-from vitalframe.streaming.buffers import Blocks, complete
+from vitalframe.streaming.buffers import complete
 
-COUNTER = T.StructType([T.StructField("counter", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
 MICROS = "time_micros"
+#: Rows of a sender that wait in one value of state, in arrival order; more go to time buckets, one value each.
+SMALL = 256
 
 
 class CounterProcessor(StatefulProcessor):
     """Keeps one number per sender and hands it to ``advance`` with each run of released rows.
 
-    The number is never forgotten: it is what tells a replay from a new frame however long a sender was silent.
+    The number is never forgotten: it is what tells a replay from a new frame however long a sender was silent. A sender has
+    one timer, at the end of its earliest bucket with waiting rows, so a sender costs a few state calls, not a few per bucket.
     """
 
     start = 0
 
     def __init__(self, keys: Sequence[str], held_schema: T.StructType, out_columns: list[str], order: Sequence[str], bucket_ms: int):
         self.keys, self.held_schema, self.out_columns = list(keys), held_schema, out_columns
-        self.order, self.bucket_ms = [MICROS, *order], bucket_ms
+        self.order, self.bucket_ms = [held_schema.names.index(c) for c in (MICROS, *order)], bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counter = handle.getValueState("counter", COUNTER)
-        self.held = Blocks(handle, "waiting", self.held_schema)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counter, buckets = self.counter.get() or (self.start, [])
-        buckets = list(buckets)
-        for part in rows:
-            part = part[self.held_schema.names]
-            for bucket, new in part.groupby(part[MICROS].to_numpy() // (1000 * self.bucket_ms)):
-                bucket = int(bucket)
-                if bucket in buckets:
-                    new = pd.concat([self.held.get(bucket), new], ignore_index=True)
-                else:
-                    buckets.append(bucket)
-                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-                self.held.put(bucket, new)
-        self.counter.update((counter, buckets))
+        rows = T.ArrayType(self.held_schema)
+        state = [("counter", T.LongType()), ("due", T.LongType()), ("buckets", T.ArrayType(T.LongType())), ("few", rows)]
+        self.sender = handle.getValueState("sender", T.StructType([T.StructField(*f) for f in state]))
+        self.held = handle.getMapState("waiting", "bucket long", T.StructType([T.StructField("rows", rows)]))
+        self.out = Row(*self.out_columns)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        counter, due, buckets, few = self._load()
+        first = self._first(buckets, few)
+        for row in rows:
+            few.append(tuple(row[n] for n in self.held_schema.names))
+            bucket = self._bucket(few[-1])
+            first = bucket if first is None else min(first, bucket)
+            if len(few) > SMALL * 16:
+                few = self._spread(few, buckets)
+        if len(few) > SMALL or buckets:
+            few = self._spread(few, buckets)
+        self._save(counter, due, buckets, few, first)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        counter, buckets = self.counter.get() or (self.start, [])
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        counter, due, buckets, few = self._load()
         watermark = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(b for b in buckets if (b + 1) * self.bucket_ms <= watermark)
-        for bucket in ready:
-            rows = self.held.take(bucket).sort_values(self.order, kind="stable", ignore_index=True)
-            out, counter = self.advance(rows, counter)
-            for name, value in zip(self.keys, key):
-                out[name] = value
-            yield out[self.out_columns]
-        self.counter.update((int(counter), [b for b in buckets if b not in ready]))
+        passed = lambda b: (b + 1) * self.bucket_ms <= watermark
+        ready = {b: [] for b in buckets if passed(b)}
+        for row in few:
+            if passed(self._bucket(row)):
+                ready.setdefault(self._bucket(row), []).append(row)
+        for bucket in sorted(ready):
+            waiting = ready[bucket]
+            if bucket in buckets:
+                waiting = self._take(bucket) + waiting
+                buckets.remove(bucket)
+            # rows without a value in an order column come last
+            waiting.sort(key=lambda r: [(r[i] is None, 0 if r[i] is None else r[i]) for i in self.order])
+            counter, added = self.advance(waiting, counter)
+            own = dict(zip(self.keys, key))
+            for row, more in zip(waiting, added):
+                values = own | dict(zip(self.held_schema.names, row)) | more
+                yield self.out(*[values[n] for n in self.out_columns])
+        few = [r for r in few if not passed(self._bucket(r))]
+        self._save(counter, -1 if due <= watermark else due, buckets, few, self._first(buckets, few))
 
     def close(self) -> None:
         pass
 
-    def advance(self, batch: pd.DataFrame, counter: int) -> tuple[pd.DataFrame, int]:
+    def _bucket(self, row: tuple) -> int:
+        return row[self.order[0]] // (1000 * self.bucket_ms)
+
+    def _first(self, buckets: list[int], few: list[tuple]) -> int | None:
+        return min([*buckets, *[self._bucket(r) for r in few]], default=None)
+
+    def _load(self) -> tuple[int, int, list[int], list[tuple]]:
+        counter, due, buckets, few = self.sender.get() or (self.start, -1, [], [])
+        return counter, due, list(buckets), [tuple(r) for r in few]
+
+    def _save(self, counter: int, due: int, buckets: list[int], few: list[tuple], first: int | None) -> None:
+        """Store the sender; its timer goes to the end of its ``first`` bucket."""
+        at = -1 if first is None else (first + 1) * self.bucket_ms
+        if at != due:
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            if at >= 0:
+                self.handle.registerTimer(at)
+        self.sender.update((int(counter), at, buckets, few))
+
+    def _spread(self, rows: list[tuple], buckets: list[int]) -> list[tuple]:
+        """Move rows to their buckets; nothing is left."""
+        parts: dict[int, list[tuple]] = {}
+        for row in rows:
+            parts.setdefault(self._bucket(row), []).append(row)
+        for bucket, new in parts.items():
+            if bucket in buckets:
+                new = [tuple(r) for r in self.held.getValue((bucket,))[0]] + new
+            else:
+                buckets.append(bucket)
+            self.held.updateValue((bucket,), (new,))
+        return []
+
+    def _take(self, bucket: int) -> list[tuple]:
+        (rows,) = self.held.getValue((bucket,))
+        self.held.removeKey((bucket,))
+        return [tuple(r) for r in rows]
+
+    def advance(self, rows: list[tuple], counter: int) -> tuple[int, Iterable[dict]]:
+        """The number after these rows, and what each row is given."""
         raise NotImplementedError
 
 
 class ReplayGuard(CounterProcessor):
     """Accepts a valid frame whose counter exceeds every accepted one."""
 
-    def advance(self, batch, counter):
-        valid = batch["valid"].to_numpy(dtype=bool)
-        numbers = np.where(valid, batch["freshness_counter"].to_numpy(), np.iinfo(np.int64).min)
-        highest = np.maximum.accumulate(np.concatenate([[counter], numbers]))
-        fresh = batch["freshness_counter"].to_numpy() > highest[:-1]
-        return batch.assign(accepted=valid & fresh, fresh=fresh), highest[-1]
+    def advance(self, rows, counter):
+        valid_at, number_at = self.held_schema.names.index("valid"), self.held_schema.names.index("freshness_counter")
+        added = []
+        for row in rows:
+            number = row[number_at]
+            fresh = number is not None and number > counter
+            accepted = bool(row[valid_at]) and fresh
+            added.append({"accepted": accepted, "fresh": fresh})
+            counter = number if accepted else counter
+        return counter, added
 
 
 class Numbering(CounterProcessor):
@@ -93,9 +148,8 @@ class Numbering(CounterProcessor):
 
     start = C.COUNTER_START
 
-    def advance(self, batch, counter):
-        numbers = counter + 1 + np.arange(len(batch))
-        return batch.assign(freshness_counter=numbers), numbers[-1]
+    def advance(self, rows, counter):
+        return counter + len(rows), [{"freshness_counter": counter + 1 + i} for i in range(len(rows))]
 
 
 def in_order(
@@ -117,7 +171,7 @@ def in_order(
     prepared = complete(rows.withWatermark(time, delay), [*keys, time]).withColumn(MICROS, F.unix_micros(time))
     held = T.StructType([f for f in prepared.schema if f.name not in (*keys, time)])
     schema = T.StructType([prepared.schema[k] for k in keys] + held.fields + added)
-    advanced = prepared.groupBy(*keys).transformWithStateInPandas(
+    advanced = prepared.groupBy(*keys).transformWithState(
         statefulProcessor=processor(keys, held, schema.names, order, int(bucket_seconds * 1000)),
         outputStructType=schema,
         outputMode="Append",
