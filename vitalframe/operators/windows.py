@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 PANE = "_pane"
 WIN = "win"
+CHUNK = "_chunk"
+#: Windows (without overlap) of one chunk of a series; a chunk's rows are shuffled together.
+CHUNK_WINDOWS = 32
 
 
 @dataclass(frozen=True)
@@ -182,20 +185,32 @@ def window_arrays(
     """
     keys, counts = list(keys), dict(counts or {})
     first = F.col(idx)
+    inner = list(keys)
+    if spec.panes_per_window > 1:
+        # a chunk is a stretch of panes with those that its last windows reach into: panes and windows of a chunk
+        # are made where its rows lie after one shuffle
+        k, run = spec.panes_per_window, CHUNK_WINDOWS * max(spec.panes_per_window, spec.panes_per_hop)
+        pane = spec.pane_of(first)
+        chunks = F.array_distinct(F.array(F.floor(F.greatest(pane - (k - 1), F.lit(0)) / F.lit(run)), F.floor(pane / F.lit(run))))
+        inner.append(CHUNK)
+        summed = {name: value.alias(name) for name, value in counts.items()}
+        samples = samples.select(*keys, first, *channels, *summed.values(), F.explode(chunks).alias(CHUNK)).repartition(*inner)
+        counts = {name: F.col(name) for name in counts}
     # sort_array compares natively, array_sort through a lambda
     packed = F.sort_array(F.collect_list(F.struct(first.alias("_i"), *[F.col(c).alias(c) for c in channels])))
     panes = (
-        samples.groupBy(*keys, spec.pane_of(first).alias(PANE))
+        samples.groupBy(*inner, spec.pane_of(first).alias(PANE))
         .agg(packed.alias("_s"), *[F.sum(value).alias(name) for name, value in counts.items()])
         .filter(F.size("_s") == spec.pane)
-        .select(*keys, PANE, *[F.col(f"_s.{c}").alias(c) for c in channels], *counts)
+        .select(*inner, PANE, *[F.col(f"_s.{c}").alias(c) for c in channels], *counts)
     )
     if spec.panes_per_window == 1:
         return spec.spread(panes).drop(PANE)
     parts = F.sort_array(F.collect_list(F.struct(PANE, *channels)))
+    own = F.filter(spec.windows_of_pane(F.col(PANE)), lambda w: F.floor(w * spec.panes_per_hop / F.lit(run)) == F.col(CHUNK))
     return (
-        spec.spread(panes)
-        .groupBy(*keys, WIN)
+        panes.withColumn(WIN, F.explode(own))
+        .groupBy(*inner, WIN)
         .agg(parts.alias("_p"), *[F.sum(name).alias(name) for name in counts])
         .filter(F.size("_p") == spec.panes_per_window)
         .select(*keys, WIN, *[F.flatten(F.col(f"_p.{c}")).alias(c) for c in channels], *counts)
