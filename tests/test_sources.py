@@ -234,3 +234,13 @@ def test_ecg_ingest(spark, tmp_path):
     assert [r["lead1"] for r in got] == [(a - 1024) / 200 for a, _ in digital]
     assert [r["lead2"] for r in got] == [(b - 1024) / 200 for _, b in digital]
     assert sorted((r["sample"], r["symbol"]) for r in ann.collect()) == [(18, "+"), (118, "N"), (338, "V"), (638, "A")]
+
+
+def test_lines_are_numbered_without_a_shuffle_of_text(spark, tmp_path):
+    from vitalframe.sources.lines import numbered_lines
+
+    (tmp_path / "a.log").write_text("\n".join(f"line {i}" for i in range(50)))
+    rows = numbered_lines(spark, str(tmp_path), "*.log")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(path" not in plan.split("BroadcastExchange")[0]
+    assert sorted((r["idx"], r["value"]) for r in rows.collect()) == [(i, f"line {i}") for i in range(50)]

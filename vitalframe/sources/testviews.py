@@ -238,9 +238,13 @@ def body_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Channel number k is acceleration axis k % 3 scaled by 1 + (k + 1) * STRETCH.
     """
+    return stretched(body_view(spark, sf_dir))
+
+
+def stretched(body: DataFrame) -> DataFrame:
+    """Rows of ``body_view`` with all 17 channels."""
     from vitalframe.sources.body_log import CHANNELS
 
-    body = body_view(spark, sf_dir)
     axes = ("acc_x", "acc_y", "acc_z")
     return body.select(
         "subject_id",
