@@ -193,6 +193,21 @@ def test_nothing_is_rejected_without_labels(spark):
     assert toxicity.clean(docs, spark.createDataFrame([(1, 0, 1)], LABELS)).count() == 2
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """Texts of any length, all labels of a kind and all shards; of repeated ids one row, and equal weights in every run."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 900)
+    docs = [(i, "calm words " * 20 if i % 2 else "calm words " * 2050 + "vile slur", None, None, 0) for i in range(60)]
+    docs += [(i, f"calm words {i}", None, None, 0) for i in range(60, 4500)] + [(1, "calm words again", None, None, 0)]
+    docs = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, 0, int(i < 60 and i % 2 == 0)) for i in range(4500)], LABELS)
+    rows = toxicity.training_rows(docs, labels)
+    known = labels.filter(common.remainder(labels.doc_id, 5) != 0)
+    assert rows.count() == known.count() > 3000
+    assert rows.select("shard").distinct().count() > 1
+    first, again = (toxicity.train(docs, labels, epochs=2) for _ in range(2))
+    assert first.learned and (first.flat() == again.flat()).all() and (first.thresholds == again.thresholds).all()
+
+
 def test_small_sources_meet_their_target(spark):
     docs = [(1000 * s + i, "w " * words, None, f"s{s}", 0) for s, (n, words) in enumerate([(5, 20), (25, 20), (100, 20), (100, 100), (400, 900)]) for i in range(n)]
     for r in mixing.mix_sources(spark.createDataFrame(docs, DOCS)).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():

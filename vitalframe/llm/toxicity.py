@@ -1,4 +1,5 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained by Spark over all labelled rows: shards learn
+side by side in numpy, and after each pass their changes are averaged.
 
 A word's vector is the sum of three rows of one hashed table: the whole word and its first four and five
 bytes, so inflected forms share what was learned about their stem. Filters of several widths slide over the
@@ -8,28 +9,34 @@ languages, told by the letters of the text alone, has its own threshold, which i
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import WORD, documents, lowered, prefix_sums, range_hashes, remainder, sent, text_slices, word_ranges
+from vitalframe.llm.common import documents, joined_small, lowered, prefix_sums, range_hashes, remainder, sent, stored, text_slices, word_ranges
 
 BUCKETS = 1 << 15
 PAD = BUCKETS
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Bounds of the labelled sample that the model is fitted on; at most so many documents per label, and only
-#: documents with at most so many words. Scoring reads every word of every text.
-TRAIN_PER_LABEL = 3000
-TRAIN_WORDS = 4000
+#: Labelled rows of a shard; a task goes through one shard, batch by batch.
+SHARD_ROWS = 8192
+#: Texts and words of a gradient step, and of the rows that are put in a new order at a time; a longer text is a step of its own.
+STEP_TEXTS, STEP_WORDS = 48, 1 << 18
+POOL_TEXTS, POOL_WORDS = 2048, 1 << 21
 EPOCHS = 8
+#: Step size of the first pass; it falls evenly, since the moments of the steps begin anew with each pass.
+RATE = 0.01
+#: Changes of weights are added up as whole numbers of this unit, so their sum does not depend on the order.
+UNIT = 2.0**-32
+#: Logits are counted in steps of 1 / LOGIT_STEPS between -LOGIT_END and LOGIT_END to find thresholds.
+LOGIT_STEPS, LOGIT_END = 128, 32
 
 # Second bytes of two-byte letters (first byte C3) that mark a group of languages.
 LETTERS = {1: "äöüßÄÖÜ", 2: "éèêàâçîôûÉÈÊÀÇ", 3: "ñóíáúÑÓÍÁÚ"}
@@ -101,6 +108,23 @@ class Model:
         tops, _ = self.pooled(*padded(ids, bounds))
         return np.maximum(tops, 0) @ self.weights + self.bias
 
+    def flat(self) -> np.ndarray:
+        """All weights as rows of DIM numbers: the table, then the rest."""
+        rest = np.concatenate([*(k.ravel() for k in self.kernels), *self.shifts, self.weights, [self.bias]])
+        return np.concatenate([self.table, np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)]).astype(np.float64)
+
+    def with_flat(self, rows: np.ndarray) -> Model:
+        """The model whose weights these rows are."""
+        rest, at = rows[BUCKETS + 1 :].ravel(), 0
+        parts = []
+        for like in (*self.kernels, *self.shifts, self.weights):
+            parts.append(rest[at : at + like.size].reshape(like.shape).astype(np.float32))
+            at += like.size
+        n = len(WIDTHS)
+        return replace(
+            self, table=rows[: BUCKETS + 1].astype(np.float32), kernels=parts[:n], shifts=parts[n : 2 * n], weights=parts[-1], bias=float(np.float32(rest[at]))
+        )
+
     def scores(self, logits: np.ndarray, groups: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(logits - self.thresholds[groups], -30, 30)))
 
@@ -128,15 +152,27 @@ class _Adam:
         value[at] -= (lift * m[at] / (np.sqrt(v[at]) + 1e-7)).astype(np.float32)
 
 
-def _learn(model: Model, texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, epochs: int) -> None:
-    """Stochastic gradient steps. Only the words under a filter's maximum get a gradient."""
-    adam = _Adam(0.01)
-    positive = max(labels.mean(), 1e-3)
-    weight = np.where(labels > 0, 0.5 / positive, 0.5 / max(1 - positive, 1e-3))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 48)):
-            if not len(batch):
-                continue
+def _steps(texts: list[np.ndarray], order: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of the texts of each gradient step."""
+    part, size = [], 0
+    for i in order:
+        if part and (len(part) == STEP_TEXTS or size + len(texts[i]) > STEP_WORDS):
+            yield np.array(part)
+            part, size = [], 0
+        part.append(i)
+        size += len(texts[i])
+    if part:
+        yield np.array(part)
+
+
+def _learn(model: Model, pools: Iterator[tuple[list[np.ndarray], np.ndarray]], positive: float, rng: np.random.Generator, rate: float) -> None:
+    """One pass of stochastic gradient steps over pools of (word ids, labels); ``positive`` is the share of label 1 among all
+    rows. Only the words under a filter's maximum get a gradient."""
+    adam = _Adam(rate)
+    positive = min(max(positive, 1e-3), 1 - 1e-3)
+    for texts, labels in pools:
+        weight = np.where(labels > 0, 0.5 / positive, 0.5 / (1 - positive))
+        for batch in _steps(texts, rng.permutation(len(texts))):
             adam.step += 1
             bounds = np.concatenate([[0], np.cumsum([len(texts[i]) for i in batch])])
             ids, first, end = padded(np.concatenate([texts[i] for i in batch]), bounds)
@@ -173,75 +209,152 @@ def _learn(model: Model, texts: list[np.ndarray], labels: np.ndarray, rng: np.ra
             adam("table", model.table, total[keep], used[keep])
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float | None:
-    """The middle of the gap that makes the fewest mistakes; None without both labels."""
-    if not 0 < labels.sum() < len(labels):
+def _threshold(counts: np.ndarray) -> float | None:
+    """The middle of the gap that makes the fewest mistakes, of (value, label 0, label 1) rows in order; None without both labels."""
+    if not len(counts) or not counts[:, 1].sum() or not counts[:, 2].sum():
         return None
-    order = np.argsort(logits, kind="stable")
-    x, y = logits[order], labels[order]
-    mistakes = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    x, no, yes = counts.T
+    mistakes = np.concatenate([[0], np.cumsum(yes)]) + np.concatenate([np.cumsum(no[::-1])[::-1], [0]])
     edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
     best = np.flatnonzero(mistakes == mistakes.min())
     return float(edges[best[len(best) // 2]])
 
 
-def fit(texts: list[bytes], labels: list[int], seed: int = 9, epochs: int = EPOCHS) -> Model:
-    """Train on four fifths of the texts; calibrate the thresholds on the rest, then on all where a group is short."""
-    rng = np.random.default_rng(seed)
-    model = _fresh(rng)
-    y = np.asarray(labels, np.float32)
-    if not len(y) or not 0 < y.sum() < len(y):
-        model.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row to learn from, stored: (shard, h, doc_id, label, text, aside). All that follow from the ids alone are the same in
+    every run; a shard lies together in one file, in the order of ``h``. A fifth is set aside for the thresholds."""
+    spark = docs.sparkSession
+    known = labels.filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull())
+    known = stored(known.select("doc_id", F.col("toxic").cast("int").alias("label")).distinct(), "toxicity_labels")
+    n = known.count()
+    shards = max(1, -(-n // SHARD_ROWS))
+    texts = docs.filter(remainder(F.col("doc_id"), 5) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = joined_small(texts, known, ["doc_id"], n, 500_000).withColumn("h", F.xxhash64("doc_id"))
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    # of rows that repeat an id one is learned from
+    first = F.row_number().over(Window.partitionBy("shard", "h", "doc_id", "label").orderBy("text"))
+    rows = rows.withColumn("_n", first).filter("_n = 1").drop("_n").sortWithinPartitions("shard", "h", "doc_id", "label")
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 4
+    kept = stored(rows.select("shard", "h", "doc_id", "label", "text", aside.alias("aside")), "toxicity_rows")
+    return kept.select("shard", "label", "aside", "text")
+
+
+def _pools(batches: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Texts of several slices together, up to the size of a pool."""
+    texts, labels, size = [], [], 0
+    for some, marks in batches:
+        for text, mark in zip(some, marks):
+            texts.append(text)
+            labels.append(mark)
+            size += len(text)
+            if len(texts) == POOL_TEXTS or size > POOL_WORDS:
+                yield texts, np.asarray(labels, np.float32)
+                texts, labels, size = [], [], 0
+    if texts:
+        yield texts, np.asarray(labels, np.float32)
+
+
+CHANGES = "slot int, touched long, " + ", ".join(f"d{k} long" for k in range(DIM))
+
+
+def _pass(rows: DataFrame, model: Model, positive: float, seed: int, rate: float) -> Model:
+    """One pass over all ``rows``: each shard learns from the same model, and each weight moves by the mean of the changes of the
+    shards that changed it. Sums are made in tasks; what reaches the driver has the size of the model."""
+    shared = sent(rows.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                shard = batch.column(0).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if b > a:
+                        yield int(shard[a]), batch.slice(a, b - a)
+
+        def words(of: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for _, batch in of:
+                marks = batch.column(1).to_numpy(zero_copy_only=False)
+                for first, end, data, offsets in text_slices(batch.column(3)):
+                    ids, bounds = word_ids(data, offsets)
+                    yield np.split(ids, bounds[1:-1]), marks[first:end]
+
+        for shard, some in groupby(parts(), key=lambda p: p[0]):
+            own = shared()
+            before = own.flat()
+            _learn(own, _pools(words(some)), positive, np.random.default_rng([seed, shard]), rate)
+            change = np.rint((own.flat() - before) / UNIT).astype(np.int64)
+            slots = np.flatnonzero(change.any(axis=1))
+            columns = [pa.array(slots.astype(np.int32)), pa.array(np.ones(len(slots), np.int64))]
+            columns += [pa.array(np.ascontiguousarray(change[slots, k])) for k in range(DIM)]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "touched", *(f"d{k}" for k in range(DIM))])
+
+    changes = rows.mapInArrow(run, CHANGES).groupBy("slot").agg(F.sum("touched").alias("touched"), *[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM)])
+    found = changes.toArrow()  # at most one row per row of the model
+    moved = model.flat()
+    total = np.stack([found.column(f"d{k}").to_numpy() for k in range(DIM)], axis=1)
+    moved[found.column("slot").to_numpy()] += total * UNIT / found.column("touched").to_numpy()[:, None]
+    return model.with_flat(moved)
+
+
+def _logit_counts(rows: DataFrame, model: Model) -> np.ndarray:
+    """(group of languages, aside, logit, rows of label 0, of label 1) of all ``rows``, logits in steps."""
+    shared = sent(rows.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch.column(3)):
+                logits = np.clip(own.logits(*word_ids(data, offsets)), -LOGIT_END, LOGIT_END)
+                step = np.floor(logits * LOGIT_STEPS).astype(np.int32)
+                columns = [pa.array(language_groups(data, offsets).astype(np.int32)), batch.column(2).slice(first, end - first)]
+                columns += [pa.array(step), batch.column(1).slice(first, end - first)]
+                yield pa.RecordBatch.from_arrays(columns, ["language", "aside", "step", "label"])
+
+    told = rows.mapInArrow(run, "language int, aside boolean, step int, label int").groupBy("language", "aside", "step")
+    found = told.agg(F.count_if(F.col("label") == 0).alias("no"), F.count_if(F.col("label") == 1).alias("yes")).toArrow()
+    table = np.stack([found.column(i).to_numpy().astype(np.float64) for i in range(5)], axis=1)
+    table[:, 2] = (table[:, 2] + 0.5) / LOGIT_STEPS
+    return table[np.lexsort(table.T[:3])]
+
+
+def _summed(table: np.ndarray) -> np.ndarray:
+    """(logit, label 0, label 1) of rows of ``_logit_counts``, each logit once, in order."""
+    values, slot = np.unique(table[:, 2], return_inverse=True)
+    return np.stack([values, np.bincount(slot, table[:, 3], len(values)), np.bincount(slot, table[:, 4], len(values))], axis=1)
+
+
+def train(docs: DataFrame, labels: DataFrame, seed: int = 9, epochs: int = EPOCHS) -> Model:
+    """The model learned from every labelled row, on four fifths of them; the rest gives the thresholds, or all where it lacks a label.
+
+    Each pass goes over all rows, shard by shard in tasks; the driver holds nothing but weights and counts.
+    """
+    rows = training_rows(docs, labels)
+    model = _fresh(np.random.default_rng(seed))
+    sizes = {(r["aside"], r["label"]): r["n"] for r in rows.groupBy("aside", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    no, yes = ({a: sizes.get((a, k), 0) for a in (False, True)} for k in (0, 1))
+    n, ones = sum(sizes.values()), sum(yes.values())
+    if not 0 < ones < n:
+        model.bias = float(np.log((ones + 1) / (n - ones + 1)))
         model.weights[:] = 0
         model.learned = False
         return model
-    raw = [np.frombuffer(t, np.uint8) for t in texts]
-    ids = [word_ids(t, np.array([0, len(t)]))[0] for t in raw]
-    groups = np.array([language_groups(t, np.array([0, len(t)]))[0] for t in raw])
-    aside = np.arange(len(y)) % 5 == 4
-    if not 0 < y[~aside].sum() < (~aside).sum():
-        aside[:] = False
-    _learn(model, [t for t, a in zip(ids, aside) if not a], y[~aside], rng, epochs)
-    logits = np.concatenate([model.logits(t, np.array([0, len(t)])) for t in ids])
-    base = _threshold(logits[aside], y[aside])
-    base = _threshold(logits, y) if base is None else base
+    if no[False] and yes[False]:
+        fitted, positive = rows.filter("not aside"), yes[False] / (no[False] + yes[False])
+    else:
+        fitted, positive = rows, ones / n
+    for k in range(epochs):
+        model = _pass(fitted, model, positive, seed + k, RATE * (1 - k / epochs))
+    table = _logit_counts(rows, model)
+    aside = table[table[:, 1] > 0] if no[False] and yes[False] else table[:0]
+    base = _threshold(_summed(aside))
+    base = _threshold(_summed(table)) if base is None else base
     for g in range(GROUPS):
-        own = groups == g
-        found = _threshold(logits[own & aside], y[own & aside]) if y[own & aside].sum() >= 5 else None
+        own = _summed(aside[aside[:, 0] == g])
+        found = _threshold(own) if own[:, 2].sum() >= 5 else None
         model.thresholds[g] = base if found is None else found
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded labelled sample: (doc_id, toxic, text, h). It is drawn from the labels alone, in an order that only
-    depends on the ids, so that at most 2 * TRAIN_PER_LABEL ids meet the documents."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull())
-    known = known.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label"), F.xxhash64("doc_id").alias("h")).distinct()
-    parts = [known.filter(F.col("label") == k).orderBy("h", "label_id").limit(TRAIN_PER_LABEL) for k in (0, 1)]
-    return (
-        docs.filter(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) <= TRAIN_WORDS)
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(parts[0].unionByName(parts[1])), F.col("doc_id") == F.col("label_id"))
-        .groupBy("doc_id", "label", "h")
-        .agg(F.min("text").alias("text"))
-    )
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model fitted on the bounded sample, in one task: the driver receives the weights only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
-        for batch in batches:  # at most 2 * TRAIN_PER_LABEL texts of at most TRAIN_WORDS words
-            texts += [t.encode() for t in batch.column(0).to_pylist()]
-            toxic += batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit(texts, toxic))], pa.binary())], ["model"])
-
-    rows = training_rows(docs, labels).repartition(1).sortWithinPartitions("h", "doc_id", "label")
-    found = rows.select("text", "label").mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else fit([], [])
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and n_words of every document; reads the whole text and nothing else.
 
