@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.models.learned import TrainedModel, usable
-from vitalframe.sources.tables import shared_folder
+from vitalframe.sources.tables import cut_lineage, shared_folder, union_all
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, shares array<double>"
-#: Node tables of up to so many rows (some 100 bytes each) are broadcast; larger ones are joined by shuffle.
+#: Trees of together up to so many nodes (some 100 bytes each) are broadcast at a time; one larger tree is joined by shuffle.
 BROADCAST_NODES = 200_000
 
 
@@ -86,30 +86,54 @@ def forest_tables(model: TrainedModel) -> ForestTables:
     return ForestTables(nodes, scaling, classes, max((t.depth for t in forest.trees), default=0))
 
 
-def score_forest(tables: ForestTables, rows: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
-    """keys, prediction (as text) and probability, an array in class order, of every row.
+def _tree_groups(sizes: list[tuple[int, int]]) -> list[tuple[list[int], bool]]:
+    """Trees that are followed together, and whether their nodes may be broadcast."""
+    groups: list[tuple[list[int], int]] = []
+    for tree, n in sizes:
+        if groups and groups[-1][1] + n <= BROADCAST_NODES:
+            groups[-1] = ([*groups[-1][0], tree], groups[-1][1] + n)
+        else:
+            groups.append(([tree], n))
+    return [(trees, n <= BROADCAST_NODES) for trees, n in groups]
 
-    Each row goes down all trees at once, one join with the node table per level; a row's leaves meet in one
-    aggregate that is combined where the row is. ``keys`` must tell rows apart. Rows that are not ``usable`` get nulls.
-    """
-    spark = rows.sparkSession
-    scaling = {r["feature"]: (r["centre"], r["factor"]) for r in tables.scaling.collect()}  # one row per feature
-    classes = [r["class"] for r in tables.classes.orderBy("position").collect()]
-    centres, factors = (F.array(*[F.lit(scaling[i][k]) for i in range(len(scaling))]) for k in (0, 1))
-    scaled = F.zip_with(F.zip_with(F.col(features), centres, lambda x, m: x - m), factors, lambda x, f: x * f)
-    known = rows.withColumn("_usable", usable(features))
-    roots = tables.nodes.agg(F.sort_array(F.collect_set("tree")).alias("_trees"), F.count("*").alias("n")).first()
-    nodes = tables.nodes.withColumnsRenamed({"tree": "_tree", "node": "_node"})
-    if roots["n"] <= BROADCAST_NODES:
+
+def _group_votes(tables: ForestTables, rows: DataFrame, keys: list[str], trees: list[int], small: bool, classes: int) -> DataFrame:
+    """keys and, per class, the sum of the shares of the leaves that a row reaches in ``trees``."""
+    nodes = tables.nodes.filter(F.col("tree").isin(trees)).withColumnsRenamed({"tree": "_tree", "node": "_node"})
+    if small:
         nodes = F.broadcast(nodes)
-    at = known.filter("_usable").select(*keys, scaled.alias("_x"), F.explode(F.lit(roots["_trees"])).alias("_tree"), F.lit(0).alias("_node"))
+    at = rows.select(*keys, "_x", F.explode(F.lit(trees)).alias("_tree"), F.lit(0).alias("_node"))
     for _ in range(tables.depth):
         step = at.join(nodes.select("_tree", "_node", "feature", "threshold", "left", "right"), ["_tree", "_node"])
         value = F.get("_x", F.greatest("feature", F.lit(0)))
         ahead = F.when(F.col("feature") < 0, F.col("_node")).when(value <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
         at = step.select(*keys, "_x", "_tree", ahead.alias("_node"))
     leaves = at.join(nodes.select("_tree", "_node", "shares"), ["_tree", "_node"])
-    votes = leaves.groupBy(*keys).agg(*[F.sum(F.get("shares", F.lit(i))).alias(f"_v{i}") for i in range(len(classes))])
+    return leaves.groupBy(*keys).agg(*[F.sum(F.get("shares", F.lit(i))).alias(f"_v{i}") for i in range(classes)])
+
+
+def score_forest(tables: ForestTables, rows: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
+    """keys, prediction (as text) and probability, an array in class order, of every row.
+
+    Each row goes down many trees at once, one join with the node table per level; a row's leaves meet in one
+    aggregate that is combined where the row is. Where the trees are too large to travel at once, groups of them are followed one after the
+    other, and only the sums of their leaves are written: rows are never shuffled from level to level.
+    ``keys`` must tell rows apart. Rows that are not ``usable`` get nulls.
+    """
+    scaling = {r["feature"]: (r["centre"], r["factor"]) for r in tables.scaling.collect()}  # one row per feature
+    classes = [r["class"] for r in tables.classes.orderBy("position").collect()]
+    centres, factors = (F.array(*[F.lit(scaling[i][k]) for i in range(len(scaling))]) for k in (0, 1))
+    scaled = F.zip_with(F.zip_with(F.col(features), centres, lambda x, m: x - m), factors, lambda x, f: x * f)
+    sizes = [(r["tree"], r["count"]) for r in tables.nodes.groupBy("tree").count().orderBy("tree").collect()]  # one row per tree
+    groups = _tree_groups(sizes)
+    known = (cut_lineage(rows.select(*keys, features)) if len(groups) > 1 else rows).withColumn("_usable", usable(features))
+    start = known.filter("_usable").select(*keys, scaled.alias("_x"))
+    parts = [_group_votes(tables, start, keys, trees, small, len(classes)) for trees, small in groups]
+    if len(parts) > 1:
+        sums = [F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(classes))]
+        votes = union_all(*[cut_lineage(p) for p in parts]).groupBy(*keys).agg(*sums)
+    else:
+        votes = parts[0]
     total = sum((F.col(f"_v{i}") for i in range(len(classes))), F.lit(0.0))
     probability = F.array(*[F.col(f"_v{i}") / total for i in range(len(classes))])
     best = F.array_position("probability", F.array_max("probability")).cast("int")
