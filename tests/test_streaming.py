@@ -123,6 +123,31 @@ def test_shuffled_files_equal_batch(spark, frames, tmp_path, parts, files):
     assert {r["event_time"] for r in out.select("event_time").collect()} == {r["event_time"] for r in frames.select("event_time").collect()}
 
 
+def test_a_block_is_one_column_wise_value():
+    """Waiting frames are stored as one Arrow stream and come back as they were, nulls too."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from vitalframe.streaming.buffers import Blocks
+
+    class Store(dict):
+        def getMapState(self, *_):
+            return self
+
+        def getValue(self, key):
+            return self[key]
+
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+    store = Store()
+    held = Blocks(store, "held", T._parse_datatype_string("seq long, ear double, mode string, face_detected boolean"))
+    rows = pd.DataFrame({"seq": [3, 5], "ear": [0.25, None], "mode": ["Normal", None], "face_detected": [True, None]})
+    held.put(7, rows)
+    assert isinstance(store[(7,)][0], bytes)
+    back = held.take(7)
+    assert not store and back.astype(object).where(back.notna(), None).values.tolist() == [[3, 0.25, "Normal", True], [5, None, None, None]]
+
+
 def test_late_and_repeated_frames_are_counted(spark, frames, tmp_path):
     """A late frame is lost to its session, and the observed counts tell how many were."""
     one = frames.filter("driver_id = '1' and session_id = '0'")

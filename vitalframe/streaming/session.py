@@ -31,7 +31,7 @@ from vitalframe.streaming.buffers import Blocks, complete
 KEYS = ("driver_id", "session_id")
 LAYOUT = SessionLayout(order="pos", max_rows=None)
 #: Frames of a block of the reorder buffer, and frames that are worked on at a time.
-HELD_ROWS = 64
+HELD_ROWS = 512
 PIECE_ROWS = 2048
 
 STATE = T.StructType(
@@ -145,30 +145,33 @@ class SessionProcessor(StatefulProcessor):
         free = self._free(new, state)
         if free:
             yield new.iloc[:free]
+        fresh = {}
         for block, rows in new.iloc[free:].groupby(new["seq"].iloc[free:].to_numpy() // HELD_ROWS):
             block, until = int(block), int(rows["event_us"].max()) // 1000
             if block in state["blocks"]:
                 rows = self._fresh(pd.concat([self.held.get(block), rows], ignore_index=True), state)
             self.held.put(block, rows)
+            fresh[block] = rows
             if until > state["blocks"].get(block, -1):
                 state["blocks"][block] = until
                 self.handle.registerTimer(until + 2 - until % 2)
-        yield from self._unblocked(state)
+        yield from self._unblocked(state, fresh)
 
-    def _unblocked(self, state: dict) -> Iterator[pd.DataFrame]:
-        """Waiting frames that continue the sequence."""
+    def _unblocked(self, state: dict, known: dict[int, pd.DataFrame] | None = None) -> Iterator[pd.DataFrame]:
+        """Waiting frames that continue the sequence; blocks that are ``known`` are not read again."""
         while state["blocks"]:
             block = min(state["blocks"])
             if block > state["next_seq"] // HELD_ROWS:
                 return
-            rows = self._fresh(self.held.get(block), state)
+            rows = known[block] if known and block in known else self.held.get(block)
+            rows = self._fresh(rows, state)
             free = self._free(rows, state)
             if free < len(rows):
                 if free:
                     self.held.put(block, rows.iloc[free:])
                     yield rows.iloc[:free]
                 return
-            self.held.take(block)
+            self.held.drop(block)
             del state["blocks"][block]
             if free:
                 yield rows
