@@ -226,6 +226,44 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == {(d, c) for d, (_, c) in brute.near(rows).items()}
 
 
+
+def test_near_copies_edited_apart_are_not_verified(spark, monkeypatch):
+    """Copies of one text at similarity 0.66 to each other agree in many min-hashes; they are told apart before full sets meet."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for d in range(40):
+        own = list(base)
+        for i in rng.choice(np.arange(0, 50), 6, replace=False) * 6:
+            own[i] = f"own{d}x{i}"
+        texts.append(" ".join(own))
+    texts.append(texts[7].replace("w299", "other"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, whole = [], minhash.confirmed
+
+    def confirmed(pairs, sets):
+        met.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(minhash, "confirmed", confirmed)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {d: c for d, (_, c) in brute.near(list(enumerate(texts))).items()}
+    assert got[40] == 7 and max(met) < 100  # 780 pairs in all, of which some 4% are at 0.73 to 0.75
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 8, 140, 141, 900, 5000):
+        grams = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64) * np.uint64(2)
+        for apart in sorted({0, n // 8, n // 7, n // 7 + 1}):  # shingles of the first set that the second lacks
+            sets = [np.sort(grams[:n]), np.sort(grams[apart:n])]
+            words = minhash.parities(np.concatenate(sets), np.array([0, n, n + len(sets[1])]))
+            odd = sum(int(x).bit_count() for x in words[0] ^ words[1])
+            assert odd <= apart and (odd - apart) % 2 == 0
+            if 100 * (n - apart) >= 75 * n:
+                assert odd * 175 <= (2 * n - apart) * 25
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.llm.common import (
@@ -35,6 +35,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Pairs that meet outside the leader rounds are verified if so many of the 96 min-hashes agree. At similarity 0.75
 #: 72 do on average; fewer than 54 have a chance of 1 in 70,000.
 AGREEING = 54
+#: 64-bit words of a set's parities. Each shingle belongs to one of 64 * PARITY classes, and a bit tells whether the set has an
+#: odd number of a class. Two sets have at least as many different shingles as they have different bits, which rules out
+#: pairs for certain; sets of some 700 shingles and more fill the classes, and for them the min-hashes decide.
+PARITY = 16
 #: Rounds in which a table's documents meet a seeded leader of that table before the rest meet each other.
 LEADER_ROUNDS = 3
 
@@ -71,6 +75,17 @@ def band_values(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out, sketch
 
 
+def parities(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, PARITY) words of the parities of the shingle classes."""
+    out = np.zeros((len(bounds) - 1, PARITY), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        bit, word = np.uint64(1) << (grams >> np.uint64(58)), (grams >> np.uint64(50)) % np.uint64(PARITY)
+        for k in range(PARITY):
+            out[full, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[:-1][full])
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -80,7 +95,7 @@ def _rows(values: pa.Array, width: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set) and bands of every document."""
+    """doc_id, n_shingles, set_key (a digest of the whole set), bands, sketch and parity of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +115,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array([f"{a:016x}{b:016x}" if c else None for a, b, c in zip(*keys, n)], pa.string()),
                         _rows(_signed(bands.reshape(-1)), bands.shape[1]),
                         _rows(pa.array(sketch.reshape(-1).view(np.int8)), sketch.shape[1]),
+                        _rows(_signed(parities(grams, bounds).reshape(-1)), PARITY),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    ["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<tinyint>"
+        run, "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<tinyint>, parity array<long>"
     )
 
 
@@ -173,26 +189,36 @@ def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _still_apart(keys: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, node, comp, main, sketch) of the tables whose nodes are in several components; main: the largest one's."""
+    """(key, node, comp, main, form) of the tables whose nodes are in several components; main: the largest one's."""
     rows = stored(_labelled(keys, links), "apart")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    return rows.join(main.drop("kinds"), "key").join(reps.select("node", "sketch"), "node")
+    return rows.join(main.drop("kinds"), "key").join(reps.select("node", "form"), "node")
+
+
+def _form() -> Column:
+    """Size, parity words and min-hashes of a set; words are fields, since a table compares all its pairs by them."""
+    return F.struct(F.col("n_shingles").alias("n"), *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)], "sketch")
 
 
-def _agree(a, b):
-    """Number of equal min-hashes of two sketches."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _may_link(a: Column, b: Column) -> Column:
+    """Whether two forms (``_form``) may belong to linked sets: sizes and parities rule out for certain, then min-hashes are counted."""
+    n, m = a["n"], b["n"]
+    sizes = DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
+    odd = sum((F.bit_count(a[f"p{k}"].bitwiseXOR(b[f"p{k}"])) for k in range(PARITY)), F.lit(0))
+    near = odd * (DENOMINATOR + NUMERATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
+    same = F.size(F.filter(F.zip_with(a["sketch"], b["sketch"], lambda x, y: x == y), lambda equal: equal))
+    return sizes & near & (same >= AGREEING)
 
 
 def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) that connect all representatives (node, bands, sketch) as all links of the tables would.
+    """Confirmed links (u, v) that connect all representatives (node, bands, form) as all links of the tables would.
 
     Only components count, so a pair inside one need not meet. First every node meets the node that shares tables
     with most others, the likely original of a group of copies. In the next rounds every table has a seeded leader of
     its own that the nodes of other components meet. Last, all that is still outside a table's main component meets
-    all other components there. The min-hashes go along, so that pairs that share a common passage and little else
-    are never made.
+    all other components there. Parities and min-hashes go along, so that pairs that share a common passage and little else,
+    or copies edited too far apart, are never made.
     """
     keys = stored(table_keys(reps), "tables")
     crowd = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
@@ -208,16 +234,16 @@ def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     keys = keys.drop("_n")
     for turn in range(LEADER_ROUNDS):
         rows = _still_apart(keys, links, reps)
-        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "comp", "sketch")).alias("lead"))
-        met = rows.join(lead, "key").filter((F.col("comp") != F.col("lead.comp")) & (_agree(F.col("sketch"), F.col("lead.sketch")) >= AGREEING))
+        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "comp", "form")).alias("lead"))
+        met = rows.join(lead, "key").filter((F.col("comp") != F.col("lead.comp")) & _may_link(F.col("form"), F.col("lead.form")))
         pairs = met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
         links = stored(links.unionByName(confirmed(pairs, sets)), "found")
 
     rows = _still_apart(keys, links, reps)
-    outer = rows.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
+    outer = rows.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("form").alias("fx"))
     pairs = (
         outer.join(rows, "key")
-        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))) & (_agree(F.col("sketch"), F.col("sx")) >= AGREEING))
+        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))) & _may_link(F.col("form"), F.col("fx")))
         .select(F.greatest("x", "node").alias("u"), F.least("x", "node").alias("v"))
         .distinct()
     )
@@ -234,11 +260,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = stored(signatures(docs), "signatures")
     named = rows.filter("set_key is not null and doc_id is not null")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first(_form()).alias("form")), "classes")
     repeated = (
         named.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b").select("doc_id")
     )
-    links = node_links(classes.select("node", "bands", "sketch"), docs)
+    links = node_links(classes.select("node", "bands", "form"), docs)
     # classes of other texts under the same id are one node
     ties = named.join(repeated, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
     links = links.unionByName(ties.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
