@@ -282,6 +282,28 @@ def test_components(spark):
     assert got == {x: top(x) for x in parent if x not in alone}
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1800)] + [(9000 + k, 9001 + k) for k in range(400)]
+    table = spark.createDataFrame(links, "u long, v long").repartition(7).cache()
+    written = []
+    plain = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or plain(df, name))
+    once = components.components(table).orderBy("node").collect()
+    assert written == ["links", "stars"]
+    monkeypatch.setattr(components, "LINKS", 100)
+    assert components.components(table).orderBy("node").collect() == once
+    assert "large" in written
+    assert {r.component for r in once if r.node >= 9000} == {9000}
+
+
+def test_forms_joined_by_shuffle_find_the_same_links(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 3 = 0")
+    few = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "FORMS", 0)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == few
+
+
 def test_mix_is_near_its_targets_and_repeats(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = mixing.mix_sources(docs).orderBy("doc_id").collect()

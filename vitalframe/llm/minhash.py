@@ -39,6 +39,8 @@ AGREEING = 54
 #: odd number of a class. Two sets have at least as many different shingles as they have different bits, which rules out
 #: pairs for certain; sets of some 700 shingles and more fill the classes, and for them the min-hashes decide.
 PARITY = 16
+#: Sets whose forms are broadcast at most (some 6 MB); more are joined by shuffle.
+FORMS = 20_000
 #: Rounds in which a table's documents meet a seeded leader of that table before the rest meet each other.
 LEADER_ROUNDS = 3
 
@@ -188,12 +190,19 @@ def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
     return keys.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
 
 
-def _still_apart(keys: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, node, comp, main, form) of the tables whose nodes are in several components; main: the largest one's."""
+def _still_apart(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node, comp, main) of the tables whose nodes are in several components; main: the largest one's."""
     rows = stored(_labelled(keys, links), "apart")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    return rows.join(main.drop("kinds"), "key").join(reps.select("node", "form"), "node")
+    return stored(rows.join(main.drop("kinds"), "key"), "apart-tables")
+
+
+def _forms_of(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, form) of the nodes of ``rows``; few are broadcast, so that no shuffle carries them."""
+    nodes = stored(rows.select("node").distinct(), "apart-nodes")
+    forms = only(reps.select("node", "form"), nodes, "node")
+    return F.broadcast(forms) if nodes.count() <= FORMS else forms
 
 
 def _form() -> Column:
@@ -233,20 +242,25 @@ def node_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     links = stored(confirmed(first, sets), "found")
     keys = keys.drop("_n")
     for turn in range(LEADER_ROUNDS):
-        rows = _still_apart(keys, links, reps)
-        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "comp", "form")).alias("lead"))
-        met = rows.join(lead, "key").filter((F.col("comp") != F.col("lead.comp")) & _may_link(F.col("form"), F.col("lead.form")))
+        rows = _still_apart(keys, links)
+        forms = _forms_of(rows, reps)
+        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node", "comp")).alias("lead"))
+        met = rows.join(lead, "key").filter(F.col("comp") != F.col("lead.comp"))
+        # the same two meet in many tables; their forms are looked up once
         pairs = met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
+        pairs = pairs.join(forms.withColumnsRenamed({"node": "u", "form": "fu"}), "u").join(forms.withColumnsRenamed({"node": "v", "form": "fv"}), "v")
+        pairs = pairs.filter(_may_link(F.col("fu"), F.col("fv"))).select("u", "v")
         links = stored(links.unionByName(confirmed(pairs, sets)), "found")
 
-    rows = _still_apart(keys, links, reps)
-    outer = rows.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("form").alias("fx"))
-    pairs = (
-        outer.join(rows, "key")
-        .filter((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node"))) & _may_link(F.col("form"), F.col("fx")))
-        .select(F.greatest("x", "node").alias("u"), F.least("x", "node").alias("v"))
-        .distinct()
-    )
+    rows = _still_apart(keys, links)
+    forms = _forms_of(rows, reps)
+    outer = rows.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    others = forms.withColumnsRenamed({"node": "x", "form": "fx"})
+    apart = (F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") > F.col("node")))
+    # the pairs of a table may be very many: forms come to the tables, and the join itself compares them
+    may = _may_link(F.col("form"), F.col("fx"))
+    met = outer.join(others, "x").join(rows.join(forms, "node"), "key").filter(apart & may)
+    pairs = met.select(F.greatest("x", "node").alias("u"), F.least("x", "node").alias("v")).distinct()
     return links.unionByName(confirmed(pairs, sets))
 
 
