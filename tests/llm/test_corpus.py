@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -132,6 +133,34 @@ def test_crowded_anchor_is_split(spark, monkeypatch):
     assert got == brute.repeats(rows)
 
 
+def test_little_but_repeats_is_sorted():
+    rng = random.Random(21)
+
+    def noise(k: int) -> bytes:
+        return bytes(rng.randrange(97, 123) for _ in range(k))
+
+    passages = [noise(size) for size in (80, 120, 199, 200, 260, 420)]
+    texts = [noise(rng.randrange(150, 400)) + passages[k % 6] + noise(rng.randrange(150, 400)) for k in range(60)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    _, low, n, anchor, key, _ = substrings.anchors(data, np.cumsum([0, *map(len, texts)]))
+    often = np.isin(key, [k for k in set(key.tolist()) if (key == k).sum() > 1])
+    low, n, at, key = low[often], n[often], (anchor - low)[often], key[often].view(np.int64)
+    strings = [data[a : a + c + substrings.SPAN - 1] for a, c in zip(low, n)]
+    text, base = np.concatenate(strings), np.cumsum([0, *map(len, strings)])[:-1]
+    piece, first, count = substrings.may_repeat(text, base, key, n, at, np.ones(len(n), bool))
+    line, head = substrings.shard_line(text, base[piece], at[piece], first, count)
+    order, shared = induced.suffix_array(line)
+    same = shared > substrings.SPAN - substrings.GRAM
+    hit = set(order[same | np.append(same[1:], False)].tolist())
+    found = {int(low[p] + f + k) for p, f, c, h in zip(piece, first, count, head) for k in range(c) if h + k in hit}
+    windows = [data[w : w + substrings.SPAN].tobytes() for w in range(len(data) - substrings.SPAN + 1)]
+    twice = Counter(windows)
+    assert found == {w for w in range(len(windows)) if twice[windows[w]] > 1}
+    assert 0 < len(line) < 0.6 * len(text)
+    alone = substrings.may_repeat(text, base, key, n, at, np.zeros(len(n), bool))
+    assert len(alone[0]) == 0 and len(substrings.shard_line(text, base[:0], at[:0], *alone[1:])[0]) == 1
+
+
 def test_suffix_arrays_equal_sorting():
     rng = np.random.default_rng(1)
     for turn in range(80):

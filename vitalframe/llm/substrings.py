@@ -4,8 +4,9 @@ A shard must hold everything that may be equal to what it holds. So every SPAN-b
 the GRAM-byte string in it with the least hash (the first of equals): equal windows have equal anchors at equal
 places. Neighbouring windows of one anchor form a piece. Anchors that occur once cannot hold a repeat. Pieces that
 occur twice as a whole are repeats without further work. What is left, pieces that agree only in part, is sorted:
-all pieces of an anchor go to one shard, whose suffix array with common prefixes is built by induction on
-disk-backed queues (``induced``). A window is a repeat if its suffix shares SPAN bytes with a neighbour in order.
+all pieces of an anchor go to one shard. Windows whose surroundings stand in one piece alone drop out there, and an anchor
+becomes one symbol. The suffix array of the rest, with common prefixes, is built by induction on disk-backed
+queues (``induced``). A window is a repeat if its suffix shares all SPAN bytes with a neighbour in order.
 
 An anchor of very many different pieces is split before: the windows at a range of places relative to the anchor
 have a common core and are filed anew under it, in narrower ranges until the group is small or a range is one window.
@@ -30,6 +31,8 @@ GRAM = 80
 CROWD = 512
 RANGES = (16, 4, 1)
 SHARD_BYTES = 1_000_000
+#: Windows of a range whose common bytes are looked for in other pieces before a shard is sorted.
+CORE = 8
 
 _FILED = "uid long, n_bytes long, lo array<int>, anchor array<long>, at array<int>, piece array<long>"
 
@@ -164,6 +167,52 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def may_repeat(text: np.ndarray, base: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, live: np.ndarray):
+    """(piece, first window, windows) of the runs that need sorting; piece i begins at byte ``base[i]`` of ``text``.
+
+    Equal windows have their anchor at equal places, so they share the bytes that all windows of a range of CORE
+    places have in common. Ranges whose common bytes stand in no other piece of the key, or in known ones only, drop out.
+    """
+    at, n = at.astype(np.int64), n.astype(np.int64)
+    low_j, high_j = np.maximum(at - n + 1, 0) // CORE, at // CORE
+    count = high_j - low_j + 1
+    piece = np.repeat(np.arange(len(key)), count)
+    j = np.repeat(high_j + low_j, count) - _ranges(low_j, count)  # falling places are rising windows
+    core = base[piece] + at[piece] - j * CORE
+    common = mixed(range_hashes(prefix_sums(text), core, core - CORE + 1 + SPAN) + mixed(key[piece].view(np.uint64) + j.astype(np.uint64)))
+    _, kind = np.unique(common, return_inverse=True)
+    kept = np.flatnonzero((np.bincount(kind)[kind] > 1) & (np.bincount(kind, live[piece])[kind] > 0)) if len(kind) else kind
+    piece, j = piece[kept], j[kept]
+    low, stop = np.maximum(at[piece] - (j + 1) * CORE + 1, 0), np.minimum(at[piece] - j * CORE + 1, n[piece])
+    fresh = np.ones(len(piece), bool)
+    fresh[1:] = (piece[1:] != piece[:-1]) | (low[1:] != stop[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(piece))[: len(first)] - 1
+    return piece[first], low[first], stop[last] - low[first]
+
+
+def shard_line(text: np.ndarray, base: np.ndarray, at: np.ndarray, low: np.ndarray, n: np.ndarray):
+    """(symbols, head of each run) of a shard: 0 ends it, 1 ends a run, bytes follow, and then the anchors.
+
+    Every window of a run holds its whole anchor, so one symbol stands for it, the same for equal bytes: windows
+    are equal if SPAN - GRAM + 1 symbols are.
+    """
+    raw, seen = text.tobytes(), {}
+    name = np.array([seen.setdefault(raw[x : x + GRAM], len(seen)) for x in (base + at).tolist()], np.int32)
+    size = n + SPAN - 1
+    byte = _ranges(base + low, size)
+    past = byte - np.repeat(base + at, size)
+    symbols = text[byte].astype(np.int32) + 2
+    symbols[past == 0] = name + 258
+    symbols = symbols[(past <= 0) | (past >= GRAM)]
+    length = n + SPAN - GRAM
+    head = np.concatenate([[0], np.cumsum(length + 1)])
+    line = np.ones(head[-1] + 1, np.int32)
+    line[_ranges(head[:-1], length)] = symbols
+    line[-1] = 0
+    return line, head[:-1]
+
+
 def _sorted_repeats(rows: DataFrame) -> DataFrame:
     """(uid, lo, n): runs of repeated windows among the pieces of each key, by suffix arrays of shards."""
     size = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
@@ -171,18 +220,16 @@ def _sorted_repeats(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)  # about SHARD_BYTES: keys of at most CROWD pieces, dealt by hash
-        uid, lo, n, live = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("uid", "lo", "n", "live"))
+        key, uid, lo, n, at, live = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("key", "uid", "lo", "n", "at", "live"))
         strings = [s for p in parts for s in p.column("data").to_pylist()]
         text = np.frombuffer(b"".join(strings), np.uint8)
-        length = np.array([len(s) for s in strings])
-        # symbols: 0 ends the shard, 1 ends a piece, bytes follow
-        line = np.ones(len(text) + len(strings) + 1, np.int32)
-        head = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-        line[_ranges(head, length)] = text.astype(np.int32) + 2
-        line[-1] = 0
+        base = np.concatenate([[0], np.cumsum([len(s) for s in strings])])[:-1]
+        piece, low, n = may_repeat(text, base, key, n, at, live)
+        line, head = shard_line(text, base[piece], at[piece], low, n)
+        uid, lo, live = uid[piece], lo[piece] + low, live[piece]
         order, shared = suffix_array(line)
-        same = shared >= SPAN
-        same[:-1] |= shared[1:] >= SPAN
+        same = shared >= SPAN - GRAM + 1
+        same[:-1] |= shared[1:] >= SPAN - GRAM + 1
         hit = np.zeros(len(line), bool)
         hit[order[same]] = True
         starts = _ranges(head, n)
@@ -199,7 +246,7 @@ def _sorted_repeats(rows: DataFrame) -> DataFrame:
         )
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    return rows.select(shard.alias("shard"), "uid", "lo", "n", "live", "data").groupBy("shard").applyInArrow(run, "uid long, lo int, n int")
+    return rows.select(shard.alias("shard"), "key", "uid", "lo", "n", "at", "live", "data").groupBy("shard").applyInArrow(run, "uid long, lo int, n int")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -235,9 +282,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         left = own.join(sizes.select("key"), "key").select("key", "rep.uid", "rep.lo", "rep.n", "rep.at", ((F.col("m") == 1) & (F.col("known") == 0)).alias("live"), "rep.data")
         small.append(left.join(big, "key", "left_anti"))
         rows = left.join(big, "key")
-    together = small[0].select("key", "uid", "lo", "n", "live", "data")
+    together = small[0].select("key", "uid", "lo", "n", "at", "live", "data")
     for more in small[1:]:
-        together = together.unionByName(more.select("key", "uid", "lo", "n", "live", "data"))
+        together = together.unionByName(more.select("key", "uid", "lo", "n", "at", "live", "data"))
     return spans.unionByName(_sorted_repeats(together))
 
 
