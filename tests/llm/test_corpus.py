@@ -555,6 +555,18 @@ def test_one_document_lines(spark):
     assert row.text == "a b c d e f g h i j k l m n o p\nx\nz y" and row.n_chars == len(row.text)
 
 
+def test_every_blank_parts_words_of_a_line(spark):
+    words = "Ein Satz über die Grenzen DER Stadt hinaus".split()
+    blanks = [" ", "  ", "\t", "\v", "\f", "\r", " \t ", "\r \f"]
+    rows = [(k, f"{b}{b.join(words)}{b}") for k, b in enumerate(blanks)] + [(90, "\u00a0".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = linededup.each_line(linededup.lines_of(docs), lambda w: w, 1)
+    got = {r.doc_id: r.made for r in plan.collect()}
+    assert len({tuple(got[k]) for k in range(len(blanks))}) == 1 and len(got[0]) == len(words) and len(got[90]) == 1
+    removed = {r.doc_id: r.removed for r in linededup.line_report(docs).collect()}
+    assert removed == {0: [], 90: []} | {k: [0] for k in range(1, len(blanks))}
+
+
 def test_short_lines_of_the_pipeline(spark):
     text = "Les.\nALL rights  reserved\n漢字漢字漢字\n\nrights all reserved"
     docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, "les.\nmore here\nall rights reserved\n漢字漢字漢字\n\n漢字", "en", "a", 1), (3, "LES.", "en", "a", 1)], DOCS)

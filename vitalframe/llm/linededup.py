@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from vitalframe.llm.common import GAP, LOWER, UPPER, WORD, documents, stored
 
 MIN_WORDS = 5
+#: Blanks inside a line besides the space.
+OTHER_BLANKS = "\t\v\f\r"
 #: Jaccard threshold in hundredths.
 THRESHOLD = 85
 #: Buckets of the rarity counts; the table of one small number per bucket is part of the plan.
@@ -46,7 +48,11 @@ def each_line(rows: DataFrame, make, least: int) -> DataFrame:
     # are equal as before. translate() takes about five times as long.
     bytewise = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
     folded = F.lower(F.when(F.length("line") == F.octet_length("line"), F.col("line")).otherwise(bytewise))
-    words = F.array_remove(F.split(folded, GAP), "")
+    # a split at one plain character needs no regular expression
+    blanks = F.lit(False)
+    for c in OTHER_BLANKS:
+        blanks |= F.contains(F.col("line"), F.lit(c))
+    words = F.array_remove(F.when(blanks, F.split(folded, GAP)).otherwise(F.split(folded, " ")), "")
     enough = F.filter(F.array(words), lambda w: F.size(w) >= least)
     return rows.select("doc_id", "line_no", F.explode(F.transform(enough, make)).alias("made"))
 
