@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -237,6 +238,15 @@ def test_toxicity_learns_from_every_label(spark, monkeypatch):
     assert first.learned and (first.flat() == again.flat()).all() and (first.thresholds == again.thresholds).all()
 
 
+def test_training_leaves_no_broadcast_files(spark, sf):
+    def files() -> int:
+        return len(os.listdir(spark.sparkContext._temp_dir))
+
+    before = files()
+    model = toxicity.train(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")), epochs=2)
+    assert model.learned and files() == before
+
+
 def test_small_sources_meet_their_target(spark):
     docs = [(1000 * s + i, "w " * words, None, f"s{s}", 0) for s, (n, words) in enumerate([(5, 20), (25, 20), (100, 20), (100, 100), (400, 900)]) for i in range(n)]
     for r in mixing.mix_sources(spark.createDataFrame(docs, DOCS)).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():

@@ -260,7 +260,8 @@ CHANGES = "slot int, touched long, " + ", ".join(f"d{k} long" for k in range(DIM
 def _pass(rows: DataFrame, model: Model, positive: float, seed: int, rate: float) -> Model:
     """One pass over all ``rows``: each shard learns from the same model, and each weight moves by the mean of the changes of the
     shards that changed it. Sums are made in tasks; what reaches the driver has the size of the model."""
-    shared = sent(rows.sparkSession, model)
+    boxes = []
+    shared = sent(rows.sparkSession, model, boxes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -290,6 +291,7 @@ def _pass(rows: DataFrame, model: Model, positive: float, seed: int, rate: float
 
     changes = rows.mapInArrow(run, CHANGES).groupBy("slot").agg(F.sum("touched").alias("touched"), *[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM)])
     found = changes.toArrow()  # at most one row per row of the model
+    boxes.pop().destroy()
     moved = model.flat()
     total = np.stack([found.column(f"d{k}").to_numpy() for k in range(DIM)], axis=1)
     moved[found.column("slot").to_numpy()] += total * UNIT / found.column("touched").to_numpy()[:, None]
@@ -298,7 +300,8 @@ def _pass(rows: DataFrame, model: Model, positive: float, seed: int, rate: float
 
 def _logit_counts(rows: DataFrame, model: Model) -> np.ndarray:
     """(group of languages, aside, logit, rows of label 0, of label 1) of all ``rows``, logits in steps."""
-    shared = sent(rows.sparkSession, model)
+    boxes = []
+    shared = sent(rows.sparkSession, model, boxes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared()
@@ -312,6 +315,7 @@ def _logit_counts(rows: DataFrame, model: Model) -> np.ndarray:
 
     told = rows.mapInArrow(run, "language int, aside boolean, step int, label int").groupBy("language", "aside", "step")
     found = told.agg(F.count_if(F.col("label") == 0).alias("no"), F.count_if(F.col("label") == 1).alias("yes")).toArrow()
+    boxes.pop().destroy()
     table = np.stack([found.column(i).to_numpy().astype(np.float64) for i in range(5)], axis=1)
     table[:, 2] = (table[:, 2] + 0.5) / LOGIT_STEPS
     return table[np.lexsort(table.T[:3])]
