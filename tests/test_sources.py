@@ -249,6 +249,25 @@ def test_lines_are_numbered_without_a_shuffle_of_text(spark, tmp_path):
     assert sorted((r["idx"], r["value"]) for r in rows.collect()) == [(i, f"line {i}") for i in range(50)]
 
 
+def test_small_files_do_not_move_the_splits_of_large_ones(spark, tmp_path):
+    """Spark cuts files by the bytes of all it reads; lines of large files keep their numbers where small ones lie beside them."""
+    text = "".join(f"line {i} {'x' * (i % 37)}\n" for i in range(5000))
+    put(f"{tmp_path}/large.log", text)
+    for k in range(40):
+        put(f"{tmp_path}/small{k}.log", "".join(f"{k} {i} {'y' * 40}\n" for i in range(30)))
+    sizes = {"spark.sql.files.openCostInBytes": "4096", "spark.sql.files.maxPartitionBytes": "1m"}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        rows = lines.numbered_lines(spark, str(tmp_path), "*.log").collect()
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert {r["idx"]: r["value"] for r in rows if r["path"].endswith("large.log")} == dict(enumerate(text.splitlines()))
+    for k in range(40):
+        assert sorted(r["idx"] for r in rows if r["path"].endswith(f"/small{k}.log")) == list(range(30))
+
+
 def test_hr_csv_of_many_sessions(spark, tmp_path):
     """Lines of several sessions in one file, also when they alternate or the file is split; files without the column are one session."""
     body = "".join(f"{i / 10},s{i % 3},{60 + i % 30}\n" for i in range(3000))

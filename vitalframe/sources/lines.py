@@ -69,20 +69,24 @@ def line_runs(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, start, header, lines): stretches of lines of one file, the file's position of the first and its first line.
 
     Lines are numbered where they are read and never shuffled. Only files above the split size are read a second time, for
-    the number of lines of their splits; that list has at most bytes / split size rows.
+    the number of lines of their splits; that list has at most bytes / split size rows. Spark cuts files by the bytes of all
+    files it reads, so these files are read alone both times: a filter on their size also takes away the others.
     """
-    lines = text_lines(spark, path, glob)
-    runs = lines.select("path", "block", "value").mapInArrow(_runs, RUNS)
-    large = lines.filter(F.col("size") > _unsplit(spark)).select("path", "block", "value").mapInArrow(_runs, RUNS)
-    splits = large.groupBy("path", "block").agg(
+    lines, unsplit = text_lines(spark, path, glob), _unsplit(spark)
+    whole = lines.filter(F.col("size") <= unsplit).select("path", "block", "value").mapInArrow(_runs, RUNS)
+    runs = lines.filter(F.col("size") > unsplit).select("path", "block", "value").mapInArrow(_runs, RUNS)
+    splits = runs.groupBy("path", "block").agg(
         F.sum(F.size("lines")).alias("_n"), F.max(F.when(F.col("block") == 0, F.col("header"))).alias("_head")
     )
     file = Window.partitionBy("path")
     earlier = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    later = splits.select("path", "block", F.sum("_n").over(earlier).alias("_before"), F.max("_head").over(file).alias("_head")).filter("block > 0")
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    later = splits.select("path", "block", before, F.max("_head").over(file).alias("_head")).filter("block > 0")
     header = F.when(F.col("block") == 0, F.col("header")).otherwise(F.col("_head"))
-    start = F.col("first") + F.coalesce("_before", F.lit(0))
-    return runs.join(F.broadcast(later), ["path", "block"], "left").select("path", start.alias("start"), header.alias("header"), "lines")
+    lost = F.raise_error(F.lit("a file was cut in two ways")).cast("long")
+    start = F.col("first") + F.when(F.col("block") == 0, 0).otherwise(F.coalesce("_before", lost))
+    numbered = runs.join(F.broadcast(later), ["path", "block"], "left").select("path", start.alias("start"), header.alias("header"), "lines")
+    return whole.select("path", F.col("first").alias("start"), "header", "lines").unionByName(numbered)
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
