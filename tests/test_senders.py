@@ -68,3 +68,16 @@ def test_many_rows_wait_in_buckets_and_go_out_in_order():
     assert len(handle.timers) == 1
     assert _numbered(handle, [[]], [10**9])[-1] == (n - 1, 1000 + n)
     assert not handle.timers and not handle.maps
+
+
+def test_waiting_rows_are_read_once_however_many_batches_come():
+    handle, reads = Handle(), []
+    handle.getMapState = lambda *_: SimpleNamespace(
+        getValue=lambda k: reads.append(k) or handle.maps[k], updateValue=handle.maps.__setitem__, removeKey=handle.maps.pop
+    )
+    n = senders.SMALL + 1
+    batches = [[(t % 5, t) for t in range(k * n, (k + 1) * n)] for k in range(6)]
+    assert _numbered(handle, batches, [-1] * 6) == [] and reads == []
+    out = _numbered(handle, [[(7, -1)]], [10**9])
+    assert out == [(t, 1001 + i) for i, t in enumerate([*sorted(range(6 * n), key=lambda t: (t % 5, t)), -1])]
+    assert len(reads) == len(set(reads)) == 6 and not handle.maps

@@ -6,7 +6,9 @@ columns. What a sender's frames are numbered with or accepted by therefore does
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator, Sequence
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -20,7 +22,7 @@ from vitalframe.operators.audit import frame_checks
 from vitalframe.streaming.buffers import complete
 
 MICROS = "time_micros"
-#: Rows of a sender that wait in one value of state, in arrival order; more go to time buckets, one value each.
+#: Rows of a sender that wait in one value of state, in arrival order; more go to parts of time buckets, one value each.
 SMALL = 256
 
 
@@ -40,21 +42,27 @@ class CounterProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         rows = T.ArrayType(self.held_schema)
-        state = [("counter", T.LongType()), ("due", T.LongType()), ("buckets", T.ArrayType(T.LongType())), ("few", rows)]
+        numbers = T.ArrayType(T.LongType())
+        state = [("counter", T.LongType()), ("due", T.LongType()), ("buckets", numbers), ("parts", numbers), ("few", rows)]
         self.sender = handle.getValueState("sender", T.StructType([T.StructField(*f) for f in state]))
-        self.held = handle.getMapState("waiting", "bucket long", T.StructType([T.StructField("rows", rows)]))
+        # a part is one binary value, written once and read once: rows that come later are another part
+        self.held = handle.getMapState("waiting", "bucket long, part long", T.StructType([T.StructField("rows", T.BinaryType())]))
         self.out = Row(*self.out_columns)
+        self.pick = None
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         counter, due, buckets, few = self._load()
         first = self._first(buckets, few)
         for row in rows:
-            few.append(tuple(row[n] for n in self.held_schema.names))
+            if self.pick is None:
+                at = [row.__fields__.index(n) for n in self.held_schema.names]
+                self.pick = itemgetter(*at) if len(at) > 1 else lambda values: (values[at[0]],)
+            few.append(self.pick(tuple(row)))
             bucket = self._bucket(few[-1])
             first = bucket if first is None else min(first, bucket)
             if len(few) > SMALL * 16:
                 few = self._spread(few, buckets)
-        if len(few) > SMALL or buckets:
+        if len(few) > SMALL:
             few = self._spread(few, buckets)
         self._save(counter, due, buckets, few, first)
         return iter(())
@@ -70,15 +78,15 @@ class CounterProcessor(StatefulProcessor):
         for bucket in sorted(ready):
             waiting = ready[bucket]
             if bucket in buckets:
-                waiting = self._take(bucket) + waiting
-                buckets.remove(bucket)
+                waiting = self._take(bucket, buckets.pop(bucket)) + waiting
             # rows without a value in an order column come last
             waiting.sort(key=lambda r: [(r[i] is None, 0 if r[i] is None else r[i]) for i in self.order])
             counter, added = self.advance(waiting, counter)
-            own = dict(zip(self.keys, key))
+            names = {n: i for i, n in enumerate([*self.keys, *self.held_schema.names])}
+            own = tuple(key)
             for row, more in zip(waiting, added):
-                values = own | dict(zip(self.held_schema.names, row)) | more
-                yield self.out(*[values[n] for n in self.out_columns])
+                values = own + row
+                yield self.out(*[more[n] if n in more else values[names[n]] for n in self.out_columns])
         few = [r for r in few if not passed(self._bucket(r))]
         self._save(counter, -1 if due <= watermark else due, buckets, few, self._first(buckets, few))
 
@@ -88,14 +96,15 @@ class CounterProcessor(StatefulProcessor):
     def _bucket(self, row: tuple) -> int:
         return row[self.order[0]] // (1000 * self.bucket_ms)
 
-    def _first(self, buckets: list[int], few: list[tuple]) -> int | None:
+    def _first(self, buckets: dict[int, int], few: list[tuple]) -> int | None:
         return min([*buckets, *[self._bucket(r) for r in few]], default=None)
 
-    def _load(self) -> tuple[int, int, list[int], list[tuple]]:
-        counter, due, buckets, few = self.sender.get() or (self.start, -1, [], [])
-        return counter, due, list(buckets), [tuple(r) for r in few]
+    def _load(self) -> tuple[int, int, dict[int, int], list[tuple]]:
+        """Number, timer, parts of each bucket and rows that wait in no bucket."""
+        counter, due, buckets, parts, few = self.sender.get() or (self.start, -1, [], [], [])
+        return counter, due, dict(zip(buckets, parts)), [tuple(r) for r in few]
 
-    def _save(self, counter: int, due: int, buckets: list[int], few: list[tuple], first: int | None) -> None:
+    def _save(self, counter: int, due: int, buckets: dict[int, int], few: list[tuple], first: int | None) -> None:
         """Store the sender; its timer goes to the end of its ``first`` bucket."""
         at = -1 if first is None else (first + 1) * self.bucket_ms
         if at != due:
@@ -103,25 +112,27 @@ class CounterProcessor(StatefulProcessor):
                 self.handle.deleteTimer(due)
             if at >= 0:
                 self.handle.registerTimer(at)
-        self.sender.update((int(counter), at, buckets, few))
+        self.sender.update((int(counter), at, list(buckets), list(buckets.values()), few))
 
-    def _spread(self, rows: list[tuple], buckets: list[int]) -> list[tuple]:
-        """Move rows to their buckets; nothing is left."""
-        parts: dict[int, list[tuple]] = {}
+    def _spread(self, rows: list[tuple], buckets: dict[int, int]) -> list[tuple]:
+        """Move rows to new parts of their buckets; nothing is left."""
+        found: dict[int, list[tuple]] = {}
         for row in rows:
-            parts.setdefault(self._bucket(row), []).append(row)
-        for bucket, new in parts.items():
-            if bucket in buckets:
-                new = [tuple(r) for r in self.held.getValue((bucket,))[0]] + new
-            else:
-                buckets.append(bucket)
-            self.held.updateValue((bucket,), (new,))
+            found.setdefault(self._bucket(row), []).append(row)
+        for bucket, new in found.items():
+            part = buckets.get(bucket, 0)
+            self.held.updateValue((bucket, part), (pickle.dumps(new, pickle.HIGHEST_PROTOCOL),))
+            buckets[bucket] = part + 1
         return []
 
-    def _take(self, bucket: int) -> list[tuple]:
-        (rows,) = self.held.getValue((bucket,))
-        self.held.removeKey((bucket,))
-        return [tuple(r) for r in rows]
+    def _take(self, bucket: int, parts: int) -> list[tuple]:
+        """Rows of a bucket in the order they came."""
+        rows = []
+        for part in range(parts):
+            (held,) = self.held.getValue((bucket, part))
+            self.held.removeKey((bucket, part))
+            rows += pickle.loads(bytes(held))
+        return rows
 
     def advance(self, rows: list[tuple], counter: int) -> tuple[int, Iterable[dict]]:
         """The number after these rows, and what each row is given."""
